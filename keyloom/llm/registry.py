@@ -33,7 +33,83 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES = {"op1_packing": op1_packing, "op2_bpe": op2_bpe}
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+keyed AS (
+  SELECT doc_id, line, pos, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+repeated AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT doc_id, line, pos, r.keeper IS NOT NULL AND r.keeper <> doc_id AS gone FROM keyed LEFT JOIN repeated r USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.exact_dedup import duplicate_groups
+
+    return duplicate_groups(table(spark, sf_dir, "documents"), keep="largest")
+
+
+OP4_SQL = """
+WITH n AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM n
+"""
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.substring_dedup import remove_repeated_passages
+
+    out = remove_repeated_passages(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(ws[p:p + 34], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS p FROM w WHERE len(ws) >= 35)),
+starts AS (
+  SELECT doc_id, p FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS pos FROM starts),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM w),
+kept AS (
+  SELECT words.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY words.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) AS BIGINT) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=75, shingle=5)
+
+
+_QUERIES = {
+    "op1_packing": op1_packing,
+    "op2_bpe": op2_bpe,
+    "op3_line_dedup": op3_line_dedup,
+    "op4_exact_dedup": op4_exact_dedup,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_minhash": op6_minhash,
+}
+_SQL = {"op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL}
 
 
 def queries() -> dict:
@@ -41,4 +117,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_SQL)
