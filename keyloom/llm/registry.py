@@ -101,6 +101,58 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=75, shingle=5)
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.quality_rules import judged
+
+    return judged(table(spark, sf_dir, "documents")).drop("d2")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.quality_classifier import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from keyloom.llm.chat import format_conversations, read_back
+
+    said = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return read_back(format_conversations(turns.unionByName(extra)))
+
+
+OP9_SQL = """
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (
+  SELECT *, replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '</s>', '<' || chr(92) || '/s>'),
+    '[INST]', '[' || chr(92) || 'INST]'), '[/INST]', '[' || chr(92) || '/INST]') AS escaped FROM c)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(escaped) + length('<|im_start|><|im_sep|><|im_end|>')) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from keyloom.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _QUERIES = {
     "op1_packing": op1_packing,
     "op2_bpe": op2_bpe,
@@ -108,8 +160,13 @@ _QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_minhash": op6_minhash,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_quality_classifier": op8_quality_classifier,
+    "op9_chat": op9_chat,
+    "op10_token_counts": op10_token_counts,
+    "pipeline": pipeline,
 }
-_SQL = {"op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL}
+_SQL = {"op3_line_dedup": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op9_chat": OP9_SQL}
 
 
 def queries() -> dict:
