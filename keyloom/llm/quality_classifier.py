@@ -134,6 +134,13 @@ class _Sample:
 
     @staticmethod
     def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> _Sample:
+        # Rare features go first, by counts in 2**24 places, so that the many words seen once take no memory.
+        places = np.zeros(1 << 24, dtype=np.uint16)
+        for _, feature in parts:
+            np.add.at(places, (feature >> np.uint64(40)).astype(np.int64), 1)
+        for i, (doc, feature) in enumerate(parts):
+            common = places[(feature >> np.uint64(40)).astype(np.int64)] >= 3
+            parts[i] = (doc[common], feature[common])
         doc, feature = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         parts.clear()
         keys, n = np.unique(feature, return_counts=True)
@@ -243,7 +250,7 @@ def co_train(sample: list[tuple], rounds: int = 3, features: int = 20_000, sure:
     return Model(models[0], models[1], blend)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 12_000, unlabelled: int = 2000, most_bytes: int = 8192, rounds: int = 3, features: int = 20_000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 10_000, unlabelled: int = 2000, most_bytes: int = 8192, rounds: int = 3, features: int = 20_000) -> Model | None:
     """Fit on at most ``labelled`` and ``unlabelled`` rows, those with the least hashes of their ids. A document is bad if it is
     of low quality or toxic. Of a very long text the sample has whole words up to ``most_bytes``; scoring reads all."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.greatest(1 - F.min("quality"), F.max("toxic")) > 0).cast("int").alias("bad")).where("bad is not null")

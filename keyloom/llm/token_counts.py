@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import bounded_batches, texts
 
 SPACE = "▁"
-_NODES = 600_000
-_WORDS = 400_000
+_NODES = 300_000
+_WORDS = 800_000
 _UNIT = 1 << 20
 
 
@@ -37,50 +37,59 @@ def sentencepiece_scores(path: str) -> dict[str, int]:
     return rank_scores([m.id_to_piece(i) for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))])
 
 
-class Counter:
-    """A trie of pre-tokens. A node is [score, -count, children]; a character that no piece has is its UTF-8 bytes."""
+class Counter(dict):
+    """A trie of pre-tokens, and the counts of whole pre-tokens as a dictionary that asks the trie for what it lacks.
+
+    A node is [score, -count, children]; a character that no piece has is its UTF-8 bytes. Pieces are kept by their last
+    character first, so that those that end at a node are found by walking back from it until none goes on."""
 
     def __init__(self, scores: dict[str, int]):
-        self.scores = scores
+        super().__init__()
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0) - 2 * _UNIT
+        self.ends: dict = {}
+        for piece, score in scores.items():
+            at = self.ends
+            for c in reversed(piece):
+                at = at.setdefault(c, {})
+            at[""] = score
         self.root: list = [0, 0, {}]
         self.nodes = 0
-        self.known: dict[str, int] = {}
 
     def insert(self, word: str) -> int:
         """The number of tokens in the best segmentation: the highest score, of those the fewest tokens."""
-        node, path = self.root, [self.root]
-        scores, longest = self.scores, self.longest
+        node, path, ends = self.root, [self.root], self.ends
         for i, c in enumerate(word):
             child = node[2].get(c)
             if child is None:
                 n = len(c.encode("utf-8", errors="surrogatepass"))
-                best = (node[0] + n * self.byte, node[1] - n)
-                for j in range(max(0, i + 1 - longest), i + 1):
-                    s = scores.get(word[j : i + 1])
+                score, fewest = node[0] + n * self.byte, node[1] - n
+                at, j = ends.get(c), i
+                while at is not None:
+                    s = at.get("")
                     if s is not None:
                         before = path[j]
-                        best = max(best, (before[0] + s, before[1] - 1))
-                child = node[2][c] = [best[0], best[1], {}]
+                        s += before[0]
+                        if s > score or s == score and before[1] - 1 > fewest:
+                            score, fewest = s, before[1] - 1
+                    j -= 1
+                    at = at.get(word[j]) if j >= 0 else None
+                child = node[2][c] = [score, fewest, {}]
                 self.nodes += 1
             node = child
             path.append(node)
         return -node[1]
 
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = self.insert(SPACE + word.decode("utf-8", errors="replace"))
+        return n
+
     def count(self, words: list[bytes]) -> int:
-        known = self.known
-        total = 0
-        for w in words:
-            n = known.get(w)
-            if n is None:
-                if self.nodes > _NODES:
-                    self.root, self.nodes = [0, 0, {}], 0
-                if len(known) > _WORDS:
-                    known.clear()
-                n = known[w] = self.insert(SPACE + w.decode("utf-8", errors="replace"))
-            total += n
-        return total
+        if self.nodes > _NODES:
+            self.root, self.nodes = [0, 0, {}], 0
+        if len(self) > _WORDS:
+            self.clear()
+        return sum(map(self.__getitem__, words))
 
 
 _counters: dict[str, Counter] = {}
