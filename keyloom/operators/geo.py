@@ -21,6 +21,11 @@ def geopos(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"lon": lon, "lat": lat})
 
 
+def stored(points: DataFrame) -> DataFrame:
+    """Points as a set holds them: the centres of their cells. Distances between members are between these."""
+    return geopos(geoadd(points))
+
+
 def geohash(cells: DataFrame) -> DataFrame:
     return cells.withColumn("hash", geohash_text(F.col("score")))
 

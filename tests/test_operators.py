@@ -233,7 +233,7 @@ def test_backpressure(spark, strategy):
 
 def test_geo(spark):
     p = spark.createDataFrame([("Sicily", "Palermo", 13.361389, 38.115556), ("Sicily", "Catania", 15.087269, 37.502669), ("ny", "lic market", -73.9454966, 40.747533)], "key string, member string, lon double, lat double").cache()
-    d = geo.geodist(p, spark.createDataFrame([("Sicily", "Palermo", "Catania"), ("Sicily", "Palermo", "none")], "key string, member1 string, member2 string"), "km").collect()
+    d = geo.geodist(geo.stored(p), spark.createDataFrame([("Sicily", "Palermo", "Catania"), ("Sicily", "Palermo", "none")], "key string, member1 string, member2 string"), "km").collect()
     assert sorted((r.dist is not None, round(r.dist or 0, 4)) for r in d) == [(False, 0), (True, 166.2742)]
     assert {r.member: r.hash for r in geo.geohash(geo.geoadd(p)).collect()}["Palermo"] == "sqc8b49rny0"
     assert {r.member: r.score for r in geo.geoadd(p).collect()}["Catania"] == 3479447370796909
