@@ -52,8 +52,10 @@ def statistics(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sourc
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr("transform(words, w -> xxhash64(w))").alias("h"),
     )
-    # Windows sorted by hash, then place: equal ones are neighbours.
-    sorted_ = counted.withColumn("s", F.expr("CASE WHEN n_words >= 8 THEN sort_array(transform(sequence(1, cast(n_words AS int) - 7), i -> struct(xxhash64(slice(h, i, 8)) AS h, i AS p))) END")).drop("h")
+    # A hash of each window. Texts where all differ, nearly all, are done; in the others windows are sorted by hash, then
+    # place, so that equal ones are neighbours.
+    windows = counted.withColumn("w", F.expr("CASE WHEN n_words >= 8 THEN transform(sequence(1, cast(n_words AS int) - 7), i -> xxhash64(slice(h, i, 8))) END")).drop("h")
+    sorted_ = windows.withColumn("s", F.expr("CASE WHEN size(array_distinct(w)) < size(w) THEN sort_array(transform(w, (x, i) -> struct(x AS h, i + 1 AS p))) END")).drop("w")
     places = sorted_.withColumn("p", F.expr("sort_array(transform(filter(s, (x, i) -> coalesce(get(s, i - 1).h = x.h, false) OR coalesce(get(s, i + 1).h = x.h, false)), x -> x.p))")).drop("s")
     covered = F.expr("coalesce(aggregate(p, struct(0L AS n, 0 AS upto), (a, x) -> struct(a.n + x + 8 - greatest(a.upto, x) AS n, x + 8 AS upto), a -> a.n), 0L)")
     return places.withColumn("n_repeat_words", covered).drop("p")
