@@ -80,3 +80,9 @@ def geosearch_by_member(points: DataFrame, key: str, member, **options) -> DataF
     if at is None:
         raise ValueError("could not decode requested member")
     return geosearch(points.where(F.col("key") == key), at.lon, at.lat, **options)
+
+
+def geosearch_store(found: DataFrame, key: str, store_dist: bool = False) -> DataFrame:
+    """The result of a search as an ordered set: scores are cells, or distances."""
+    score = F.col("dist") if store_dist else geohash_encode(F.col("lon"), F.col("lat")).cast("double")
+    return found.select(F.lit(key).alias("key"), "member", score.alias("score"))

@@ -110,3 +110,40 @@ def access_order(access: DataFrame) -> DataFrame:
     pairs = following.groupBy("key", "next_key").agg(F.count(F.lit(1)).alias("n"))
     total = pairs.groupBy("key").agg(F.sum("n").alias("_t"))
     return pairs.join(total, "key").select("key", "next_key", "n", (F.col("n") / F.col("_t")).alias("p"))
+
+
+def dbsize(space: DataFrame, now_ms=None) -> DataFrame:
+    rows = space if now_ms is None else space.where(live(F.col("expire_ms"), now_ms))
+    return rows.groupBy("type").agg(F.count(F.lit(1)).alias("keys"))
+
+
+def random_key(space: DataFrame, seed: int = 0) -> DataFrame:
+    """One key, by a seeded order; a top-1 that each task cuts first."""
+    return space.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(1)
+
+
+def scan_members(table: DataFrame, key: str, column: str = "member", after=None, match: str | None = None, count: int = 10) -> DataFrame:
+    """A page of one collection in the order of a column, after a value: the paging of sets, ordered sets and hashes."""
+    rows = table.where(F.col("key") == key)
+    rows = rows if after is None else rows.where(F.col(column) > after)
+    rows = rows if match is None else rows.where(glob(F.col(column), match))
+    return rows.orderBy(column).limit(count)
+
+
+def take(table: DataFrame, probes: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(what the probes name, what is left): reading and deleting at once."""
+    return table.join(probes.select(*on), on, "left_semi"), table.join(probes.select(*on), on, "left_anti")
+
+
+def touch(space: DataFrame, probes: DataFrame, now_ms: int) -> DataFrame:
+    """The keyspace with the access times of the probes moved to now."""
+    hit = probes.select("key", F.lit(True).alias("_t")).distinct()
+    return space.join(hit, "key", "left").withColumn("access_ms", F.when(F.col("_t"), F.lit(now_ms).cast("long")).otherwise(F.col("access_ms"))).drop("_t")
+
+
+def encoding(kind: str, elements, longest) -> object:
+    """The compact or full form that a collection of so many elements, the longest of so many bytes, would have. Limits are fixed
+    values of the data model: 128 elements and 64 bytes (512 elements for hashes)."""
+    most = 512 if kind == "hash" else 128
+    full = {"hash": "hashtable", "set": "hashtable", "zset": "skiplist"}[kind]
+    return F.when((elements <= most) & (longest <= 64), F.lit("listpack")).otherwise(F.lit(full))

@@ -179,3 +179,33 @@ def backpressure(ops: DataFrame, strategy: str, max_pending: int, sample_rate: i
 
     rows = ops.select("stream", F.col("ord").cast("long"), "op", F.col("n").cast("long")).repartition("stream").sortWithinPartitions("stream", "ord")
     return rows.mapInArrow(walk, "stream string, ord long, result int, pending long")
+
+
+def xgroup_create(groups: DataFrame, stream: DataFrame, key: str, grp: str, id_: str = "$", entries_read: int | None = None) -> DataFrame:
+    """The groups with a new one that begins after an id, ``$`` for the stream's last. A group that exists is an error."""
+    spark = groups.sparkSession
+    if not groups.where((F.col("key") == key) & (F.col("grp") == grp)).isEmpty():
+        raise ValueError("the group exists")
+    if id_ == "$":
+        last = stream.where(F.col("key") == key).agg(F.max(F.struct("ms", "seq")).alias("l"), F.count(F.lit(1)).alias("n")).first()
+        ms, seq, n = (last.l.ms, last.l.seq, last.n) if last.l else (0, 0, 0)
+    else:
+        (ms, seq), n = parse_id(id_)[0], 0
+    new = spark.createDataFrame([(key, grp, ms, seq, n if entries_read is None else entries_read)], "key string, grp string, last_ms long, last_seq long, entries_read long")
+    return groups.unionByName(new)
+
+
+def xgroup_setid(groups: DataFrame, key: str, grp: str, id_: str, entries_read: int = 0) -> DataFrame:
+    (ms, seq), _ = parse_id(id_)
+    at = (F.col("key") == key) & (F.col("grp") == grp)
+    put = lambda c, v: F.when(at, F.lit(v).cast("long")).otherwise(F.col(c))
+    return groups.withColumns({"last_ms": put("last_ms", ms), "last_seq": put("last_seq", seq), "entries_read": put("entries_read", entries_read)})
+
+
+def xgroup_destroy(groups: DataFrame, pending: DataFrame, key: str, grp: str) -> tuple[DataFrame, DataFrame]:
+    gone = (F.col("key") == key) & (F.col("grp") == grp)
+    return groups.where(~gone), pending.where(~gone)
+
+
+def xgroup_delconsumer(pending: DataFrame, key: str, grp: str, consumer: str) -> DataFrame:
+    return pending.where(~((F.col("key") == key) & (F.col("grp") == grp) & (F.col("consumer") == consumer)))

@@ -121,3 +121,12 @@ def lcs(pairs: DataFrame, a: str = "a", b: str = "b", min_match_len: int = 0) ->
         return pd.DataFrame(out, columns=["lcs", "lcs_len", "matches"])
 
     return pairs.withColumn("_l", run(F.col(a), F.col(b))).select("*", "_l.*").drop("_l")
+
+
+def setex(kv: DataFrame, new: DataFrame, now_ms: int, ttl_ms: int) -> DataFrame:
+    """(key, val, expire_ms) with ``new`` written and given a time; other keys keep theirs. A time of 0 or less is an error."""
+    if ttl_ms <= 0:
+        raise ValueError("invalid expire time")
+    n = new.select("key", F.col("val").alias("_new"), F.lit(now_ms + ttl_ms).cast("long").alias("_t"))
+    both = kv.select("key", "val", "expire_ms").join(n, "key", "full_outer")
+    return both.select("key", F.coalesce("_new", "val").alias("val"), F.coalesce("_t", "expire_ms").alias("expire_ms"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.operators import crdt, observability, pubsub, streams, timeseries
+from keyloom.operators import crdt, observability, pubsub, scripting, streams, timeseries
 from keyloom.plans.base import SAMPLES, STREAM, samples, stream
 from keyloom.plans.registry import query
 from keyloom.sources.tables import read
@@ -245,3 +245,25 @@ def command_stats(spark, d):
 @query("quota_refusals", "WITH g AS (SELECT event_type AS ns, (epoch_us(ts) // 1000) // 1000 AS second, count(*) AS n FROM events GROUP BY 1, 2) SELECT ns, second, n, n - 1 AS refused FROM g WHERE n > 1")
 def quota_refusals(spark, d):
     return observability.over_quota(samples(spark, d).select(F.col("series").alias("ns"), "ts"), 1)
+
+
+# -- functions and transactions
+
+
+@query("function_call", "SELECT event_id, lpad(event_type, 12, '.') AS padded, translate(event_type, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS toggled FROM events")
+def function_call(spark, d):
+    import string
+
+    f = scripting.Functions()
+    f.load("text", {"leftpad": lambda c: F.lpad(c, 12, "."), "toggle": lambda c: F.translate(c, string.ascii_letters, string.ascii_letters.swapcase())}, read_only=("leftpad", "toggle"))
+    return read(spark, d, "events").select("event_id", f.call("leftpad", F.col("event_type")).alias("padded"), f.call("toggle", F.col("event_type"), read_only=True).alias("toggled"))
+
+
+@query("transaction_exec", "SELECT user_id AS tx, max(event_id) % 2 = 0 AS done FROM events GROUP BY 1")
+def transaction_exec(spark, d):
+    e = read(spark, d, "events")
+    log = e.select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), F.col("event_type").alias("val"))
+    last = log.groupBy("key").agg(F.max("version").alias("version"))
+    watches = last.select(F.col("key").alias("tx"), "key", F.when(F.col("version") % 2 == 0, F.col("version")).otherwise(0).alias("version"))
+    batch = last.select(F.col("key").alias("tx"), "key", (F.col("version") + 1).alias("version"), F.lit("new").alias("val"))
+    return scripting.execute(log, batch, watches)[1]

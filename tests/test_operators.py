@@ -3,6 +3,7 @@
 import math
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -345,3 +346,46 @@ def test_tables(spark, tmp_path):
     assert vals(space, "key", "type") == [("a", "string"), ("b", "string"), ("l", "list")]
     page = tables.scan(space, count=2)
     assert [r.key for r in tables.scan(space, after=page.collect()[-1].key).collect()] == ["l"]
+
+
+def test_functions_and_transactions(spark):
+    from keyloom.operators import scripting
+
+    f = scripting.Functions()
+    f.load("lib", {"twice": lambda c: c * 2, "slow": scripting.pandas_function("long")(plus_one)}, read_only=("twice",))
+    row = spark.range(3).select(f.call("twice", F.col("id")).alias("a"), f.call("slow", F.col("id")).alias("b")).collect()
+    assert [tuple(r) for r in row] == [(0, 1), (2, 2), (4, 3)] and f.list("l*") == [("lib", "slow", False), ("lib", "twice", True)]
+    for bad in (lambda: f.load("lib", {}), lambda: f.load("other", {"twice": None}), lambda: f.call("none"), lambda: f.call("slow", F.col("id"), read_only=True), lambda: f.delete("none")):
+        with pytest.raises(ValueError):
+            bad()
+    log = spark.createDataFrame([("a", 1, "x"), ("b", 5, "y")], "key string, version long, val string")
+    batch = spark.createDataFrame([(1, "a", 2, "n"), (2, "b", 6, "n"), (3, "c", 1, "n")], "tx long, key string, version long, val string")
+    watches = spark.createDataFrame([(1, "a", 1), (2, "b", 4), (3, "c", None)], "tx long, key string, version long")
+    after, outcome = scripting.execute(log, batch, watches)
+    assert vals(outcome, "tx", "done") == [(1, True), (2, False), (3, True)] and after.count() == 4
+
+
+def plus_one(s: pd.Series) -> pd.Series:
+    return s + 1
+
+
+def test_small_operators(spark):
+    s = spark.createDataFrame([("s", 5, 0), ("s", 7, 1)], "key string, ms long, seq long")
+    g = spark.createDataFrame([], "key string, grp string, last_ms long, last_seq long, entries_read long")
+    g = streams.xgroup_create(g, s, "s", "g")
+    assert vals(g, "last_ms", "last_seq", "entries_read") == [(7, 1, 2)]
+    assert vals(streams.xgroup_setid(g, "s", "g", "5-0"), "last_ms", "last_seq") == [(5, 0)]
+    with pytest.raises(ValueError):
+        streams.xgroup_create(g, s, "s", "g", "0")
+    p = spark.createDataFrame([("s", "g", 5, 0, "c")], "key string, grp string, ms long, seq long, consumer string")
+    assert streams.xgroup_delconsumer(p, "s", "g", "c").count() == 0 and [d.count() for d in streams.xgroup_destroy(g, p, "s", "g")] == [0, 0]
+    kv = spark.createDataFrame([("a", "x", None), ("b", "y", 9)], "key string, val string, expire_ms long")
+    assert vals(strings.setex(kv, kv.where("key = 'a'"), 100, 50), "key", "expire_ms") == [("a", 150), ("b", 9)]
+    got, left = keyspace.take(kv, kv.where("key = 'a'"), ["key"])
+    assert got.count() == 1 and left.count() == 1
+    h = spark.createDataFrame([("h", f"f{i}") for i in range(9)], "key string, member string")
+    assert [r.member for r in keyspace.scan_members(h, "h", after="f2", match="f[3-5]", count=2).collect()] == ["f3", "f4"]
+    space = kv.select("key", F.lit("string").alias("type"), "expire_ms", F.lit(0).cast("long").alias("access_ms"))
+    assert keyspace.dbsize(space, 10).first()["keys"] == 1 and keyspace.random_key(space).count() == 1
+    assert vals(keyspace.touch(space, space.where("key = 'a'"), 5), "key", "access_ms") == [("a", 5), ("b", 0)]
+    assert spark.range(1).select(keyspace.encoding("zset", F.lit(200), F.lit(3)).alias("e")).first().e == "skiplist"
