@@ -38,7 +38,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages that are repeated; a text that had none is unchanged, the others have their words joined by
     one space. ``n_chars`` is counted anew; documents of which nothing is left stay, with an empty text."""
     keyed = docs.select("doc_id", "text", F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"}).alias("of"))
-    cut = remove_repeated_passages(keyed, id_col="of", text_col="text")
+    cut = remove_repeated_passages(keyed, id_col="of", text_col="text", layout=True)
     of = F.from_json("of", "doc_id long, lang string, source string")
     return cut.select(of.alias("of"), "text").select("of.doc_id", "text", "of.lang", "of.source", F.length("text").cast("long").alias("n_chars"))
 

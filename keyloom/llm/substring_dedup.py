@@ -63,8 +63,9 @@ def _anchors(w: _Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarra
     return runs, _sliding(runs, window - anchor + 1, np.minimum), w.whole(window)
 
 
-def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, bits: int | None = None) -> DataFrame:
-    """(id, text, n_words, n_removed): the words that are in no repeated passage, joined by one space.
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, bits: int | None = None, layout: bool = False) -> DataFrame:
+    """(id, text, n_words, n_removed): the words that are in no repeated passage, joined by one space. With ``layout`` a text
+    that loses no word stays as it is, white space included.
 
     Words are runs of bytes other than ASCII white space, unchanged. Each word covered by a window of ``window`` words of
     one row whose words also start anywhere else, the same row included, goes; windows are judged on the input. Rows are
@@ -72,10 +73,6 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     empty; short texts keep all words. Null ids are ids like others. Only the columns named are read. An empty table
     gives no rows.
     """
-    return spans(docs, id_col, text_col, window, bits)
-
-
-def spans(docs: DataFrame, id_col: str, text_col: str, window: int, bits: int | None = None) -> DataFrame:
     bounded_batches(docs.sparkSession)
     anchor = min(_ANCHOR, max(1, window // 2))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
@@ -213,7 +210,7 @@ def spans(docs: DataFrame, id_col: str, text_col: str, window: int, bits: int |
                     np.add.at(change, s[:, 0], 1)
                     np.add.at(change, s[:, 1], -1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
-                out.append(b" ".join(words))
+                out.append(text if layout and not got else b" ".join(words))
                 removed.append(n[-1] - len(words))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], ["id", "text", "n_words", "n_removed"])
 

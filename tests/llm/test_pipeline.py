@@ -36,7 +36,8 @@ def test_each_stage_against_brute_force(spark, tmp_path):
     stay = {c[0] for c in brute_components([(r.doc_id, r.text) for r in before]) if c[3]}
     assert sorted(after) == sorted(r for r in before if r.doc_id in stay)
     before, after = seen["passages"]
-    cut = {d: t for d, t, _, _ in brute_spans([(r.doc_id, r.text) for r in before], 35)}
+    whole = {r.doc_id: r.text for r in before}
+    cut = {d: t if gone else whole[d] for d, t, _, gone in brute_spans([*whole.items()], 35)}
     assert {r.doc_id: r.text for r in after} == cut and {r.doc_id: (r.lang, r.source) for r in after} == {r.doc_id: (r.lang, r.source) for r in before}
     before, after = seen["packing"]
     library, expected = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), set()
