@@ -4,9 +4,11 @@ Two permutations give the whole signature: sigma places a shingle, and coordinat
 shifted by k, over the places of a set. With pi stored twice in a row the coordinates of one shingle are one contiguous
 slice, so a signature is a minimum over slices.
 
-Documents with the same words are one class; only classes are banded. In a bucket of classes each is verified against
-a centre (not against all), on the full sets; where a bucket still holds several components after two centres, all pairs
-across components are verified, so no link of a bucket is lost and no bucket emits the pairs inside a component.
+Documents with the same words are one class; only classes are banded. In a bucket of classes each is verified, on the
+full sets, against one centre and against its neighbours in the order of the bands that follow, where the most alike
+stand together: pairs grow with the rows, not with the square of a bucket. Where a bucket still holds several components
+after that, its sets meet in one task (in blocks of bounded size), which counts all intersections across components as
+products of matrices and emits one link for two components: no link of a bucket is lost, and no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from keyloom.llm.common import bounded_batches, mix, release, rolling, row_key,
 
 _PLACES = 1 << 20
 _PER_TASK = 256
+_BLOCK = 1 << 19  # shingles of one side of a block
+_CELLS = 1 << 22
 
 
 def shingle_sets(values: list[bytes], k: int = 5) -> list[np.ndarray]:
@@ -78,24 +82,54 @@ def _circulant(*key: int) -> Circulant:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each component of edges (a, b), by alternating large and small stars.
 
-    The edges of a round are a table in the shared folder; nothing but a count and a sum comes to the driver. A hub's
+    The edges of a round are a table in the shared folder; only whether a round is the last comes to the driver. A hub's
     edges meet its minimum in a join that adaptive execution can split.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    mark = None
     while True:
+        # Every edge points down. Done when it points at a root, and from a node with no other edge.
+        inner = now.join(now.select(F.col("b").alias("a")).distinct(), "a", "left_semi").select("a")
+        if inner.unionByName(now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")).isEmpty():
+            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         new = written(small, "stars")
-        got = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         release(now)
         now = new
-        if tuple(got) == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        mark = tuple(got)
+
+
+def _links(names: list, labels: list, sets: list[np.ndarray], threshold: int) -> Iterator[pa.RecordBatch]:
+    """A link for each two labels that have one, from all intersections of a block."""
+    n = np.array([len(s) for s in sets])
+    _, label = np.unique(np.array(labels, dtype=object), return_inverse=True)
+    if len(sets) < 2 or label.max() == 0:
+        return
+    _, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    owner, column = np.repeat(np.arange(len(sets)), n), number[place]
+    common = count[place] > 1
+    owner, column = owner[common], column[common]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    inter = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    columns = int(column[-1]) + 1 if len(column) else 0
+    width = min(columns, max(64, _CELLS // len(sets)))
+    for at in range(0, columns, max(1, width)):
+        a, b = np.searchsorted(column, (at, at + width))
+        dense = np.zeros((len(sets), width), dtype=np.float32)
+        dense[owner[a:b], column[a:b] - at] = 1
+        inter += dense @ dense.T
+    linked = 100 * inter >= threshold * (n[:, None] + n[None, :] - inter)
+    x, y = np.nonzero(np.triu(linked, 1))
+    apart = label[x] != label[y]
+    x, y = x[apart], y[apart]
+    if len(x):
+        pair = np.minimum(label[x], label[y]).astype(np.int64) * len(names) + np.maximum(label[x], label[y])
+        first = np.unique(pair, return_index=True)[1]
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in side[first]], pa.binary()) for side in (x, y)], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75, shingle: int = 5, bands: int = 32, rows: int = 4) -> DataFrame:
@@ -128,14 +162,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             )
 
     signed = written(keyed.mapInArrow(sign, f"id {kind}, _k1 long, _k2 long, class binary, n long, bands array<long>"), "minhash-signed")
-    classes = signed.where("bands is not null").dropDuplicates(["class"]).select("class", "n", "_k1", "_k2", "bands")
-    every = written(classes.select("class", "n", "_k1", "_k2", F.explode("bands").alias("band")), "minhash-bands")
+    classes = signed.where("bands is not null").dropDuplicates(["class"]).select("class", "n", "bands")
+    # ``next`` has bits of the two bands that follow: it puts what shares more of them side by side.
+    follow = f"shiftleft(shiftrightunsigned(get(bands, (i + 1) % {bands}), 32), 32) | shiftrightunsigned(get(bands, (i + 2) % {bands}), 32)"
+    every = written(classes.select("class", "n", F.expr(f"explode(transform(bands, (b, i) -> struct(b AS band, {follow} AS next)))").alias("e")).select("class", "n", "e.*"), "minhash-bands")
     shared = every.groupBy("band").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("band")
     # From here on only classes that share a bucket: their buckets, and their texts.
     buckets = written(every.join(shared, "band"), "minhash-buckets")
-    wanted = buckets.select("_k1", "_k2", "class").distinct()
-    held = written(keyed.select("text", "_k1", "_k2").join(wanted.hint("shuffle_hash"), ["_k1", "_k2"]).dropDuplicates(["class"]).select("class", "text"), "minhash-texts")
     release(every)
+    wanted = signed.where("bands is not null").select("_k1", "_k2", "class").join(buckets.select("class").distinct(), "class", "left_semi").dropDuplicates(["class"])
+    held = written(keyed.select("text", "_k1", "_k2").join(wanted.hint("shuffle_hash"), ["_k1", "_k2"]).dropDuplicates(["class"]).select("class", "text"), "minhash-texts")
 
     def against_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, centre = None, None
@@ -164,26 +200,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     fits = f"100 * least(n, cn) >= {threshold} * greatest(n, cn)"
     stars = buckets.groupBy("band").agg(F.min(F.struct("class", "n")).alias("c")).select("band", F.col("c.class").alias("a"), F.col("c.n").alias("cn"))
-    tried = written(buckets.join(stars, "band").where(f"class <> a and {fits}").select("a", F.col("class").alias("b")).distinct(), "minhash-tried")
-    edges = written(verified(tried), "minhash-edges")
-    labels = connected(edges)
-    for last in (False, True):
-        of = buckets.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("band", "class", "n", F.coalesce("label", "class").alias("label"))
-        mixed = of.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("class", "n", "label")).alias("c")).where("low <> high")
-        if last:
-            left = of.join(mixed.select("band"), "band")
-            right = left.select("band", F.col("class").alias("a"), F.col("n").alias("cn"), F.col("label").alias("other"))
-            pairs = left.join(right, "band").where(f"a < class and label <> other and {fits}")
-        else:
-            pairs = of.join(mixed.select("band", F.col("c.class").alias("a"), F.col("c.n").alias("cn"), F.col("c.label").alias("other")), "band").where(f"label <> other and {fits}")
-        pairs = pairs.select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        new = written(pairs, "minhash-tried")
-        if new.isEmpty():
-            continue
-        more = written(verified(new), "minhash-edges")
-        tried, edges = tried.unionByName(new), edges.unionByName(more)
-        if not more.isEmpty():
-            labels = connected(edges)
+    to_centre = buckets.join(stars, "band").where(f"class <> a and {fits}").select("a", F.col("class").alias("b"))
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                band, member, n = row
+                out += [(min(x, member), max(x, member)) for b, x, m in last if b == band and 100 * min(m, n) >= threshold * max(m, n)]
+                last = [*last[-1:], row]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    # Ranges, not keys, are dealt out: a bucket of any size is split, and only the pairs at a cut are left to what follows.
+    order = ["band", "next", "class"]
+    beside = buckets.repartitionByRange(*order).sortWithinPartitions(*order).select("band", "class", "n").mapInArrow(neighbours, "a binary, b binary")
+    labels = connected(verified(written(to_centre.unionByName(beside).distinct(), "minhash-pairs")))
+    of = written(buckets.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("band", "class", "n", F.coalesce("label", "class").alias("label")), "minhash-labels")
+    mixed = of.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("total")).where("low <> high")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, labels_, sets = None, [], [], []
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for *key, name, label, s in zip(*columns, shingle_sets(texts(batch.column(5)), shingle), strict=True):
+                if key != now:
+                    if now is not None:
+                        yield from _links(names, labels_, sets, threshold)
+                    now, names, labels_, sets = key, [], [], []
+                names.append(name)
+                labels_.append(label)
+                sets.append(s)
+        if now is not None:
+            yield from _links(names, labels_, sets, threshold)
+
+    size = mixed.select("band", F.ceil(F.col("total") / _BLOCK).cast("int").alias("parts"))
+    dealt = of.join(size, "band").withColumn("p", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = dealt.select("band", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "class", "label").join(held, "class")
+    found = blocks.select("band", "i", "j", "class", "label", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "class").mapInArrow(across, "a binary, b binary")
+    more = written(found, "minhash-edges")
+    if not more.isEmpty():  # the labels stand for all links so far
+        labels = connected(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
     ids = signed.where("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     linked = ids.join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("label", "class").alias("label"))
     roots = linked.groupBy("label").agg(F.min("least").alias("component_id"))

@@ -174,3 +174,17 @@ def test_connected_components(spark):
 
 def test_filter_sizes_are_bounded():
     assert size_for(0) == 1 << 20 and size_for(1 << 40) == 1 << 29 and hashlib.sha256(b"").hexdigest()[:4] == "e3b0"
+
+
+def test_links_of_a_block_match_all_pairs(monkeypatch):
+    from keyloom.llm.minhash import _links
+
+    monkeypatch.setattr("keyloom.llm.minhash._CELLS", 1000)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(25, 40), replace=False), rng.integers(0, 1 << 63, rng.integers(0, 4)).astype(np.uint64)])) for _ in range(60)]
+    labels, names = [b"%d" % (i % 7) for i in range(60)], [b"n%02d" % i for i in range(60)]
+    near = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+    want = {frozenset((labels[i], labels[j])) for i in range(60) for j in range(i) if labels[i] != labels[j] and near(sets[i], sets[j])}
+    got = [(names.index(a), names.index(b)) for batch in _links(names, labels, sets, 75) for a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+    assert all(near(sets[i], sets[j]) for i, j in got) and {frozenset((labels[i], labels[j])) for i, j in got} == want and len(got) == len(want) > 0
