@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import shutil
+import tempfile
 import uuid
 
 import numpy as np
@@ -34,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
+    if not named and spark.sparkContext.master.startswith("local["):  # one machine, as in tests
+        named = tempfile.mkdtemp(prefix="keyloom-")
+        atexit.register(shutil.rmtree, named, True)
+    elif not named:
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
