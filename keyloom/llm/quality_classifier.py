@@ -11,7 +11,7 @@ every document is scored, in one pass without a shuffle, and the model that is b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import bounded_batches, mix, texts, word_bounds, word_hashes
 
 _MASK_BITS = 22
+_FEATURE = np.uint64(0xFFFFFFFFFFFFFF00)
+_LEAST = 3  # documents of the sample that a feature is in
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Classes of bytes: other, letter a-z, letter A-Z, digit, white space, line end, the rest of ASCII, beyond ASCII.
@@ -115,6 +117,7 @@ class View:
 
     def score(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         """The calibrated log odds of each of n documents; a feature counts once."""
+        feature = feature & _FEATURE
         some = np.flatnonzero(self.mask[(feature >> np.uint64(64 - _MASK_BITS)).astype(np.int64)])
         doc, feature = doc[some], feature[some]
         at = np.minimum(np.searchsorted(self.keys, feature), max(0, len(self.keys) - 1))
@@ -133,46 +136,56 @@ class _Sample:
     number: np.ndarray
 
     @staticmethod
-    def of(parts: list[tuple[np.ndarray, np.ndarray]]) -> _Sample:
-        # Rare features go first, by counts in 2**24 places, so that the many words seen once take no memory.
+    def of(make: Callable[[int, int], tuple[np.ndarray, np.ndarray]], n: int, step: int = 200) -> _Sample:
+        """``make`` gives the features of documents a to b. They are made twice: first to count them in 2**24 places, then to
+        keep those that are not rare, so that the many words seen once never stand in memory together."""
+
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for a in range(0, n, step):
+                d, f = make(a, min(n, a + step))
+                both = np.unique((f & _FEATURE) | d.astype(np.uint64))  # fewer than 256 documents a step
+                yield (both & ~_FEATURE).astype(np.int32) + np.int32(a), both & _FEATURE
+
         places = np.zeros(1 << 24, dtype=np.uint16)
-        for _, feature in parts:
-            np.add.at(places, (feature >> np.uint64(40)).astype(np.int64), 1)
-        for i, (doc, feature) in enumerate(parts):
-            common = places[(feature >> np.uint64(40)).astype(np.int64)] >= 3
-            parts[i] = (doc[common], feature[common])
-        doc, feature = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        parts.clear()
-        keys, n = np.unique(feature, return_counts=True)
-        keys = keys[n >= 3]
-        at = np.minimum(np.searchsorted(keys, feature), max(0, len(keys) - 1)).astype(np.int32)
-        good = keys[at] == feature if len(keys) else np.zeros(len(feature), dtype=bool)
-        return _Sample(keys, doc[good], at[good])
+        for _, f in parts():
+            np.add.at(places, (f >> np.uint64(40)).astype(np.int64), 1)
+        kept = []
+        for d, f in parts():
+            common = places[(f >> np.uint64(40)).astype(np.int64)] >= _LEAST
+            kept.append((d[common], f[common]))
+        doc, feature = np.concatenate([p[0] for p in kept]), np.concatenate([p[1] for p in kept])
+        kept.clear()
+        keys, at = np.unique(feature, return_inverse=True)
+        return _Sample(keys, doc, at.astype(np.int32))
 
 
 def _fit(s: _Sample, y: np.ndarray, use: np.ndarray, most: int, least_z: float, steps: int) -> View:
     """Keep the features that tell the classes apart (a likelihood ratio test), then fit weights by gradient steps."""
-    keep = use[s.doc]
-    d, f = s.doc[keep], s.number[keep]
     rows = np.flatnonzero(use)
     n1, n0 = y[rows].sum(), (1 - y[rows]).sum()
     q = n1 / (n1 + n0)
-    n = np.bincount(f, minlength=len(s.keys))
-    a = np.bincount(f, weights=y[d], minlength=len(s.keys))
+    n, a = np.zeros(len(s.keys), dtype=np.int64), np.zeros(len(s.keys))
+    pieces = [slice(i, i + (1 << 20)) for i in range(0, len(s.doc), 1 << 20)]
+    for piece in pieces:
+        d, f = s.doc[piece], s.number[piece]
+        d, f = d[use[d]], f[use[d]]
+        n += np.bincount(f, minlength=len(s.keys))
+        a += np.bincount(f, weights=y[d], minlength=len(s.keys))
     b = n - a
     with np.errstate(divide="ignore", invalid="ignore"):
         g2 = 2 * (np.where(a > 0, a * np.log(a / (n * q)), 0) + np.where(b > 0, b * np.log(b / (n * (1 - q))), 0))
     z = np.sqrt(np.maximum(np.nan_to_num(g2), 0))
-    good = (z >= least_z) & (n >= 3)
+    good = (z >= least_z) & (n >= _LEAST)
     if good.sum() > most:
         good &= z >= np.sort(z[good])[-most]
     number = np.cumsum(good) - 1
-    inside = good[f]
-    d, c = d[inside], number[f[inside]]
     k = int(good.sum())
-    place = np.zeros(len(y), dtype=np.int64)
+    place = np.zeros(len(y), dtype=np.int32)
     place[rows] = np.arange(len(rows))
-    d, target = place[d], y[rows]
+    inside = [np.flatnonzero(good[s.number[p]] & use[s.doc[p]]) + p.start for p in pieces]
+    d = np.concatenate([place[s.doc[i]] for i in inside] or [place[:0]]).astype(np.int64)
+    c = np.concatenate([number[s.number[i]] for i in inside] or [number[:0]])
+    target = y[rows]
     w, bias = np.zeros(k), float(np.log((n1 + 1) / (n0 + 1)))
     m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
     for t in range(1, steps + 1):
@@ -208,16 +221,10 @@ def co_train(sample: list[tuple], rounds: int = 3, features: int = 20_000, sure:
         return None
     rows = labelled + pool
     values = [r[0] for r in rows]
-    samples = []
-    for make in (lambda a, b: text_features(values[a:b]), lambda a, b: record_features(values[a:b], [r[1] for r in rows[a:b]], [r[2] for r in rows[a:b]])):
-        parts = []
-        for a in range(0, len(rows), 500):
-            d, f = make(a, min(len(rows), a + 500))
-            order = np.lexsort((f, d))
-            d, f = d[order], f[order]
-            new = np.concatenate([[True], (d[1:] != d[:-1]) | (f[1:] != f[:-1])])
-            parts.append(((d[new] + a).astype(np.int32), f[new]))
-        samples.append(_Sample.of(parts))
+    samples = [
+        _Sample.of(lambda a, b: text_features(values[a:b]), len(rows)),
+        _Sample.of(lambda a, b: record_features(values[a:b], [r[1] for r in rows[a:b]], [r[2] for r in rows[a:b]]), len(rows)),
+    ]
     held = np.zeros(len(rows), dtype=bool)
     held[: len(labelled)] = np.arange(len(labelled)) % 4 == 3
     if len(np.unique(y0[held[: len(labelled)]])) < 2:
@@ -228,7 +235,7 @@ def co_train(sample: list[tuple], rounds: int = 3, features: int = 20_000, sure:
     use = [base.copy(), base.copy()]
     models: list[View] = []
     for turn in range(rounds):
-        models = [_fit(samples[i], y[i], use[i], features, (3.5, 2.0)[i], 100 if turn == rounds - 1 or not pool else 40) for i in range(2)]
+        models = [_fit(samples[i], y[i], use[i], features, (3.5, 2.0)[i], 80 if turn == rounds - 1 or not pool else 25) for i in range(2)]
         if turn == rounds - 1 or not pool:
             break
         for i in range(2):
@@ -250,20 +257,31 @@ def co_train(sample: list[tuple], rounds: int = 3, features: int = 20_000, sure:
     return Model(models[0], models[1], blend)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 10_000, unlabelled: int = 2000, most_bytes: int = 8192, rounds: int = 3, features: int = 20_000) -> Model | None:
-    """Fit on at most ``labelled`` and ``unlabelled`` rows, those with the least hashes of their ids. A document is bad if it is
-    of low quality or toxic. Of a very long text the sample has whole words up to ``most_bytes``; scoring reads all."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 10_000, unlabelled: int = 2000, most_bytes: int = 20 << 20, rounds: int = 3, features: int = 20_000) -> Model | None:
+    """Fit on a sample of whole texts: at most ``labelled`` and ``unlabelled`` rows, those with the least hashes of their ids, and of
+    these as many, in that order, as fit in ``most_bytes`` (a fifth of it for the unlabelled). A document is bad if it is of
+    low quality or toxic."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.greatest(1 - F.min("quality"), F.max("toxic")) > 0).cast("int").alias("bad")).where("bad is not null")
     rank = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    chosen = known.orderBy(rank, "doc_id").limit(labelled)
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("binary").alias("text"), "lang", "source").where("doc_id is not null")
-    # Both broadcast sides are bounded by the limits.
-    first = ids.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    free = ids.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").orderBy(rank, "doc_id").limit(unlabelled).distinct()
-    second = ids.join(F.broadcast(free), "doc_id").dropDuplicates(["doc_id"]).withColumn("bad", F.lit(None).cast("int"))
-    rows = first.unionByName(second, allowMissingColumns=True).select("doc_id", F.substring(F.col("text"), 1, most_bytes).alias("text"), "lang", "source", "bad").collect()
-    rows.sort(key=lambda r: (hash_of(r.doc_id), r.doc_id))
-    sample = [(bytes(r.text or b"") if len(r.text or b"") < most_bytes else bytes(r.text).rsplit(None, 1)[0], r.lang, r.source, r.bad) for r in rows]
+    # What is broadcast is bounded by the limits.
+    chosen = known.orderBy(rank, "doc_id").limit(labelled)
+    free = ids.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(rank, "doc_id").limit(unlabelled).withColumn("bad", F.lit(None).cast("int"))
+    sample = []
+    for some, most in ((chosen, most_bytes), (free, most_bytes // 5)):
+        sizes = ids.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.max("bad").alias("bad")).withColumn("r", rank).collect()
+        taken, left = [], most
+        for r in sorted(sizes, key=lambda r: (r.r, r.doc_id)):
+            if r.n <= left:
+                taken.append((r.doc_id, r.bad))
+                left -= r.n
+        if not taken:
+            continue
+        pick = docs.sparkSession.createDataFrame(taken, "doc_id long, bad int")
+        rows = ids.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).withColumn("r", rank).collect()
+        rows.sort(key=lambda r: (r.r, r.doc_id))
+        sample += [(bytes(r.text or b""), r.lang, r.source, r.bad) for r in rows]
+        del rows
     return co_train(sample, rounds=rounds, features=features)
 
 
