@@ -28,7 +28,7 @@ _WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}
 #: A unit is a run without white space, with the one space before it. No word crosses a unit's end.
 _UNITS = re.compile(f"[{_S}]+(?![^{_S}])| ?[^{_S}]+|[{_S}]+")
 _PUNCTUATION = ".,;:!?|&%$*#)"
-_CACHE = 500_000
+_CACHE = 1_000_000
 _LONG = 48
 _NEVER = np.int64(1) << 40
 
@@ -332,7 +332,7 @@ def coder(path: str) -> Bpe:
     return _coders[path]
 
 
-def slices(values: list[bytes], most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(values: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of about ``most`` bytes, so that what is held at once does not depend on the length of the texts."""
     start = size = 0
     for i, v in enumerate(values):
