@@ -2,16 +2,18 @@
 
 The text view has the presence of words, their beginnings and endings, and how often words recur. The metadata view has
 language, source, size, and the make-up of lines and characters, and never sees a word. Each round both are fitted on their own
-labels, and each gives the documents of the unlabelled pool that it is surest of to the other. At the end each view is
-calibrated on labelled documents that neither was fitted on, and the calibrated views are combined.
+labels, calibrated on labelled documents that neither was fitted on, and all documents of the unlabelled pool that one is sure of
+are given to the other. At the end the calibrated views are combined.
 
-Fitting takes a bounded sample of labelled and unlabelled rows (``labelled`` and ``unlabelled``), chosen by a hash of the id;
-every document is scored, in one pass without a shuffle, and the model that is broadcast has at most ``features`` weights.
+The labelled rows are bounded (``labelled``, by a hash of the id). The pool is every other row: each exchange scores all of it
+in one pass, and what is summed of it, how many taught documents have a feature and how many of these are bad, leaves a task in
+place of rows. Every document is scored, in one pass without a shuffle; a view that is broadcast has at most ``features``
+weights.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import bounded_batches, mix, texts, word_bounds, word_hashes
+from keyloom.llm.common import bounded_batches, mix, release, texts, word_bounds, word_hashes, written
 
 _MASK_BITS = 22
 _FEATURE = np.uint64(0xFFFFFFFFFFFFFF00)
@@ -45,13 +47,16 @@ def text_features(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_bounds(buf)
     doc = np.searchsorted(np.cumsum([len(v) + 1 for v in values]), starts, side="right")
     words = word_hashes(buf, starts, ends)
-    docs, feats = [doc], [words]
+    order = np.lexsort((words, doc))
+    new = np.concatenate([[True], (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(words) else np.empty(0, dtype=bool)
+    n = np.bincount(doc, minlength=len(values))
+    one = order[new]
+    doc, starts, ends = doc[one], starts[one], ends[one]
+    distinct = np.bincount(doc, minlength=len(values))
+    docs, feats = [doc], [words[one]]
     for kind, (a, b) in enumerate(((starts, np.minimum(starts + 4, ends)), (starts, np.minimum(starts + 5, ends)), (starts, np.minimum(starts + 6, ends)), (np.maximum(ends - 2, starts), ends)), start=1):
         docs.append(doc)
         feats.append(mix(word_hashes(buf, a, b) ^ np.uint64(kind)))
-    order = np.lexsort((words, doc))
-    new = np.concatenate([[True], (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(words) else np.empty(0, dtype=bool)
-    n, distinct = np.bincount(doc, minlength=len(values)), np.bincount(doc[order][new], minlength=len(values))
     shape = np.array([_named(9, int(min(n.bit_length(), 8)), int(20 * d // max(1, n))) for n, d in zip(n.tolist(), distinct.tolist(), strict=True)], dtype=np.uint64)
     docs.append(np.arange(len(values)))
     feats.append(shape)
@@ -127,162 +132,295 @@ class View:
         return self.slope * raw + self.shift
 
 
-@dataclass
-class _Sample:
-    """The features of the sample that are in at least three of its documents: entries (document, number of the feature)."""
-
-    keys: np.ndarray
-    doc: np.ndarray
-    number: np.ndarray
-
-    @staticmethod
-    def of(make: Callable[[int, int], tuple[np.ndarray, np.ndarray]], n: int, step: int = 200) -> _Sample:
-        """``make`` gives the features of documents a to b. They are made twice: first to count them in 2**24 places, then to
-        keep those that are not rare, so that the many words seen once never stand in memory together."""
-
-        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for a in range(0, n, step):
-                d, f = make(a, min(n, a + step))
-                both = np.unique((f & _FEATURE) | d.astype(np.uint64))  # fewer than 256 documents a step
-                yield (both & ~_FEATURE).astype(np.int32) + np.int32(a), both & _FEATURE
-
-        places = np.zeros(1 << 24, dtype=np.uint16)
-        for _, f in parts():
-            np.add.at(places, (f >> np.uint64(40)).astype(np.int64), 1)
-        kept = []
-        for d, f in parts():
-            common = places[(f >> np.uint64(40)).astype(np.int64)] >= _LEAST
-            kept.append((d[common], f[common]))
-        doc, feature = np.concatenate([p[0] for p in kept]), np.concatenate([p[1] for p in kept])
-        kept.clear()
-        keys, at = np.unique(feature, return_inverse=True)
-        return _Sample(keys, doc, at.astype(np.int32))
-
-
-def _fit(s: _Sample, y: np.ndarray, use: np.ndarray, most: int, least_z: float, steps: int) -> View:
-    """Keep the features that tell the classes apart (a likelihood ratio test), then fit weights by gradient steps."""
-    rows = np.flatnonzero(use)
-    n1, n0 = y[rows].sum(), (1 - y[rows]).sum()
-    q = n1 / (n1 + n0)
-    n, a = np.zeros(len(s.keys), dtype=np.int64), np.zeros(len(s.keys))
-    pieces = [slice(i, i + (1 << 20)) for i in range(0, len(s.doc), 1 << 20)]
-    for piece in pieces:
-        d, f = s.doc[piece], s.number[piece]
-        d, f = d[use[d]], f[use[d]]
-        n += np.bincount(f, minlength=len(s.keys))
-        a += np.bincount(f, weights=y[d], minlength=len(s.keys))
-    b = n - a
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g2 = 2 * (np.where(a > 0, a * np.log(a / (n * q)), 0) + np.where(b > 0, b * np.log(b / (n * (1 - q))), 0))
-    z = np.sqrt(np.maximum(np.nan_to_num(g2), 0))
-    good = (z >= least_z) & (n >= _LEAST)
-    if good.sum() > most:
-        good &= z >= np.sort(z[good])[-most]
-    number = np.cumsum(good) - 1
-    k = int(good.sum())
-    place = np.zeros(len(y), dtype=np.int32)
-    place[rows] = np.arange(len(rows))
-    inside = [np.flatnonzero(good[s.number[p]] & use[s.doc[p]]) + p.start for p in pieces]
-    d = np.concatenate([place[s.doc[i]] for i in inside] or [place[:0]]).astype(np.int64)
-    c = np.concatenate([number[s.number[i]] for i in inside] or [number[:0]])
-    target = y[rows]
-    w, bias = np.zeros(k), float(np.log((n1 + 1) / (n0 + 1)))
-    m, v, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
+_TEACH = "slot int, feature long, n long, a long"
+_TOTAL = np.uint64(1)  # the key of a tally's sums: the low bits of a feature are clear
+_LEAST_Z = (3.5, 2.0)
+
+
+class _Tally:
+    """Of each feature: how many of the documents that teach have it, and how many of these are bad."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, doc: np.ndarray, feature: np.ndarray, y: np.ndarray) -> None:
+        """Documents 0 to 255 and their labels; those with a label of nan do not teach."""
+        teach = ~np.isnan(y)
+        if not teach.any():
+            return
+        some = teach[doc]
+        both = np.unique((feature[some] & _FEATURE) | doc[some].astype(np.uint64))
+        self._put(both & _FEATURE, np.ones(len(both), dtype=np.int64), y[(both & ~_FEATURE).astype(np.int64)].astype(np.int64))
+        self.parts.append((np.array([_TOTAL]), np.array([teach.sum()]), np.array([int(y[teach].sum())])))
+        if self.size > 1 << 20:
+            parts, self.parts, self.size = self.parts, [], 0
+            self._put(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+    def _put(self, keys: np.ndarray, n: np.ndarray, a: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
+        if len(first):
+            self.parts.append((keys[first], np.add.reduceat(n[order], first), np.add.reduceat(a[order], first)))
+            self.size += len(first)
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        parts, self.parts, self.size = self.parts, [], 0
+        self._put(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        out, self.parts, self.size = self.parts[0], [], 0
+        return out
+
+
+def _taught(views: list[View], made: list[tuple[np.ndarray, np.ndarray]], n: int, sure: float) -> list[np.ndarray]:
+    """The labels that each view is given by the other, nan where that is not sure."""
+    out = []
+    for other in (1, 0):
+        p = _sigmoid(views[other].score(*made[other], n))
+        out.append(np.where(p >= sure, 1.0, np.where(p <= 1 - sure, 0.0, np.nan)))
+    return out
+
+
+def _fit(keys: np.ndarray, n: np.ndarray, a: np.ndarray, total: int, bad: int, doc: np.ndarray, number: np.ndarray, y: np.ndarray, steps: int) -> View:
+    """Features weigh what the counts of all documents that teach say (log odds, as naive Bayes does); gradient steps on the
+    labelled ones then scale each. A feature that none of those has is scaled as the others are on average."""
+    r = np.log((a + 0.5) / (bad + 1)) - np.log((n - a + 0.5) / (total - bad + 1))
+    raw = np.bincount(doc, weights=r[number], minlength=len(y))
+    wide = float(raw.std()) or 1.0
+    first = _fit_dense(raw[:, None] / wide, y, 1.0)
+    r = r * max(float(first[0]), 1e-3) / wide
+    u, bias = np.ones(len(keys)), float(first[1])
+    m, v, mb, vb = np.zeros(len(keys)), np.zeros(len(keys)), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = _sigmoid(np.bincount(d, weights=w[c], minlength=len(rows)) + bias)
-        e = (p - target) / len(rows)
-        g, gb = np.bincount(c, weights=e[d], minlength=k) + 1e-5 * w, e.sum()
+        p = _sigmoid(np.bincount(doc, weights=(r * u)[number], minlength=len(y)) + bias)
+        e = (p - y) / len(y)
+        g, gb = np.bincount(number, weights=e[doc], minlength=len(keys)) * r + 1e-7 * (u - 1), e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.2 / (1 + t / 50)
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
-        bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-7)
-    return View(s.keys[good], w, bias)
+        u -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        bias -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.99**t)) + 1e-9)
+    seen = np.bincount(number, minlength=len(keys)) > 0
+    if seen.any():
+        u[~seen] = max(float(u[seen].mean()), 0.0)
+    return View(keys, r * u, bias)
 
 
 @dataclass
-class Model:
-    text: View
-    record: View
+class Target:
+    """One reason to reject: the two views' models, and how they are combined."""
+
+    name: str
+    views: list[View]
     mix: np.ndarray
 
-    def score(self, values: list[bytes], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = len(values)
-        a, b = self.text.score(*text_features(values), n), self.record.score(*record_features(values, langs, sources), n)
+    def score(self, made: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (v.score(*f, n) for v, f in zip(self.views, made, strict=True))
         return _sigmoid(a), _sigmoid(b), _sigmoid(np.column_stack([a, b, np.ones(n)]) @ self.mix)
 
 
-def co_train(sample: list[tuple], rounds: int = 3, features: int = 20_000, sure: float = 0.98, give: int = 200) -> Model | None:
-    """Fit on (text, lang, source, bad or None) rows in a fixed order. None if the labels are not of both classes."""
-    labelled = [r for r in sample if r[3] is not None]
-    pool = [r for r in sample if r[3] is None]
-    y0 = np.array([float(r[3]) for r in labelled])
-    if not len(y0) or y0.min() == y0.max():
+@dataclass
+class Model:
+    targets: list[Target]
+
+    def score(self, values: list[bytes], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By the text, by the record, by both: the highest of the targets' probabilities."""
+        made = _views(values, langs, sources)
+        scores = [t.score(made, len(values)) for t in self.targets]
+        return tuple(np.maximum.reduce(p) for p in zip(*scores, strict=True))
+
+
+def _views(values: list[bytes], langs: list, sources: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [text_features(values), record_features(values, langs, sources)]
+
+
+class _Rows:
+    """(text, lang, source, bad or None) rows in memory, for ``co_train``."""
+
+    def __init__(self, rows: list[tuple]):
+        known = [r for r in rows if r[3] is not None]
+        self.names, self.y = ["bad"], np.array([[float(r[3])] for r in known]).reshape(len(known), 1)
+        self.held = np.arange(len(known)) % 4 == 3
+        self.known, self.pool = ([_views([r[0]], [r[1]], [r[2]]) for r in part] for part in (known, [r for r in rows if r[3] is None]))
+
+    def counts(self, targets: list[list[View]], own: np.ndarray, sure: float, most: int) -> list[tuple]:
+        out = []
+        for t in range(own.shape[1]):
+            tallies = [_Tally(), _Tally()]
+            for made, y in [(f, [own[i, t : t + 1]] * 2) for i, f in enumerate(self.known)] + [(f, _taught(targets[t], f, 1, sure)) for f in self.pool if targets]:
+                for v in range(2):
+                    tallies[v].add(*made[v], y[v])
+            for v in range(2):
+                keys, n, a = tallies[v].sums()
+                total, bad = (int(c[keys == _TOTAL][0]) for c in (n, a))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    g2 = 2 * (np.where(a > 0, a * np.log(a * total / (n * bad)), 0) + np.where(n > a, (n - a) * np.log((n - a) * total / (n * (total - bad))), 0))
+                good = np.flatnonzero((g2 >= _LEAST_Z[v] ** 2) & (n >= _LEAST) & (keys != _TOTAL))
+                good = np.sort(good[np.argsort(-g2[good], kind="stable")[:most]])
+                out.append((keys[good], n[good], a[good], total, bad))
+        return out
+
+    def entries(self, keys: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        found = [[_numbers(k, f[slot % 2][1]) for f in self.known] for slot, k in enumerate(keys)]
+        return [_joined(x) for x in found]
+
+
+def _numbers(keys: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    """The places in ``keys`` of a document's features."""
+    if not len(keys):
+        return np.empty(0, dtype=np.int32)
+    feature = np.unique(feature & _FEATURE)
+    at = np.minimum(np.searchsorted(keys, feature), len(keys) - 1)
+    return at[keys[at] == feature].astype(np.int32)
+
+
+def _joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.empty(0, dtype=np.int32)])
+
+
+class _Tables:
+    """The same of tables: features of the labelled rows are made once and written, those of the pool are made in each pass and
+    only their sums leave a task."""
+
+    def __init__(self, docs: DataFrame, chosen: DataFrame, names: list[str], id_col: str):
+        self.spark, self.names = docs.sparkSession, names
+        bounded_batches(self.spark)
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("binary").alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
+        ids = chosen.select("doc_id")
+        # What is broadcast is bounded by the limit.
+        self.pool = rows.join(F.broadcast(ids), "doc_id", "left_anti").select("text", "lang", "source")
+        kind = docs.schema[id_col].dataType.simpleString()
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                got = [[f.tobytes() for _, f in _views([x], [lang], [source])] for x, lang, source in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                columns = [pa.array([g[i] for g in got], pa.binary()) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "f0", "f1"])
+
+        some = rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+        self.known = written(some.mapInArrow(made, f"doc_id {kind}, f0 binary, f1 binary").join(F.broadcast(chosen), "doc_id").select("doc_id", F.array(*names).alias("y"), "f0", "f1"), "classifier-labelled")
+        got = sorted(self.known.select("doc_id", "y", F.xxhash64(F.lit("sample"), "doc_id").alias("r")).collect(), key=lambda r: (r.r, r.doc_id))
+        self.at = {r.doc_id: i for i, r in enumerate(got)}
+        self.y = np.array([r.y for r in got], dtype=float).reshape(len(got), len(names))
+        self.held = np.arange(len(got)) % 4 == 3
+
+    def counts(self, targets: list[list[View]], own: np.ndarray, sure: float, most: int) -> list[tuple]:
+        n_targets = own.shape[1]
+        shared = self.spark.sparkContext.broadcast((targets, self.at, own))
+
+        def out(tallies: list[_Tally]) -> Iterator[pa.RecordBatch]:
+            for slot, tally in enumerate(tallies):
+                keys, n, a = tally.sums()
+                for i in range(0, len(keys), 1 << 16):
+                    c = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[c]), slot, dtype=np.int32)), pa.array(keys[c].view(np.int64)), pa.array(n[c]), pa.array(a[c])], ["slot", "feature", "n", "a"])
+
+        def of_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tallies = [_Tally() for _ in range(2 * n_targets)]
+            for batch in batches:
+                for d, *f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    y = shared.value[2][shared.value[1][d]]
+                    for slot, tally in enumerate(tallies):
+                        feature = np.frombuffer(f[slot % 2], dtype=np.uint64)
+                        tally.add(np.zeros(len(feature), dtype=np.int64), feature, y[slot // 2 : slot // 2 + 1])
+                if sum(t.size for t in tallies) > 1 << 21:
+                    yield from out(tallies)
+            yield from out(tallies)
+
+        def of_pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tallies = [_Tally() for _ in range(2 * n_targets)]
+            for batch in batches:
+                values, langs, sources = texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+                for i in range(0, len(values), 64):
+                    made = _views(values[i : i + 64], langs[i : i + 64], sources[i : i + 64])
+                    for t, views in enumerate(shared.value[0]):
+                        for v, y in enumerate(_taught(views, made, len(values[i : i + 64]), sure)):
+                            tallies[2 * t + v].add(*made[v], y)
+                    if sum(t.size for t in tallies) > 1 << 21:
+                        yield from out(tallies)
+            yield from out(tallies)
+
+        rows = self.known.select("doc_id", "f0", "f1").mapInArrow(of_known, _TEACH)
+        if targets:
+            rows = rows.unionByName(self.pool.mapInArrow(of_pool, _TEACH))
+        sums = written(rows.groupBy("slot", "feature").agg(F.sum("n").alias("n"), F.sum("a").alias("a")).where(f"n >= {_LEAST} OR feature = 1"), "classifier-counts")
+        totals = {r.slot: (r.n, r.a) for r in sums.where("feature = 1").collect()}
+        result = []
+        for slot in range(2 * n_targets):
+            total, bad = totals[slot]
+            g2 = F.expr(f"2 * (CASE WHEN a > 0 THEN a * ln(a * {total}D / (n * {bad}D)) ELSE 0 END + CASE WHEN n > a THEN (n - a) * ln((n - a) * {total}D / (n * {total - bad}D)) ELSE 0 END)")
+            best = sums.where(f"slot = {slot} AND feature <> 1").select("feature", "n", "a", g2.alias("g2")).where(f"g2 >= {_LEAST_Z[slot % 2] ** 2}D").orderBy(F.desc("g2"), "feature").limit(most).select("feature", "n", "a").toArrow()
+            keys, n, a = (best.column(i).to_numpy().copy() for i in range(3))
+            keys = keys.astype(np.int64).view(np.uint64)
+            order = np.argsort(keys)
+            result.append((keys[order], n[order], a[order], total, bad))
+        release(sums)
+        return result
+
+    def entries(self, keys: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        shared = self.spark.sparkContext.broadcast(keys)
+        kind = self.known.schema["doc_id"].dataType.simpleString()
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                features = [[np.frombuffer(x, dtype=np.uint64) for x in batch.column(1 + v).to_pylist()] for v in range(2)]
+                columns = [pa.array([_numbers(k, f).tobytes() for f in features[slot % 2]], pa.binary()) for slot, k in enumerate(shared.value)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[f"s{i}" for i in range(len(columns))]])
+
+        shape = ", ".join([f"doc_id {kind}", *[f"s{i} binary" for i in range(len(keys))]])
+        got = self.known.select("doc_id", "f0", "f1").mapInArrow(found, shape).toArrow()
+        place = np.argsort([self.at[d] for d in got.column(0).to_pylist()])
+        return [_joined([np.frombuffer(x[i], dtype=np.int32) for i in place]) for x in (got.column(1 + s).to_pylist() for s in range(len(keys)))]
+
+
+def co_train(source, rounds: int = 3, features: int = 20_000, sure: float = 0.98) -> Model | None:
+    """Fit on (text, lang, source, bad or None) rows, a list of them or tables. None if the labels are not of both classes."""
+    if isinstance(source, list):
+        source = _Rows(source)
+    told = [t for t, c in enumerate(source.y.T) if len(np.unique(c[~np.isnan(c)])) == 2]
+    if not told:
         return None
-    rows = labelled + pool
-    values = [r[0] for r in rows]
-    samples = [
-        _Sample.of(lambda a, b: text_features(values[a:b]), len(rows)),
-        _Sample.of(lambda a, b: record_features(values[a:b], [r[1] for r in rows[a:b]], [r[2] for r in rows[a:b]]), len(rows)),
-    ]
-    held = np.zeros(len(rows), dtype=bool)
-    held[: len(labelled)] = np.arange(len(labelled)) % 4 == 3
-    if len(np.unique(y0[held[: len(labelled)]])) < 2:
-        held[:] = False
-    base = np.zeros(len(rows), dtype=bool)
-    base[: len(labelled)] = ~held[: len(labelled)]
-    y = [np.concatenate([y0, np.zeros(len(pool))]) for _ in range(2)]
-    use = [base.copy(), base.copy()]
-    models: list[View] = []
+    y = source.y[:, told]
+    held = np.repeat(source.held[:, None], len(told), axis=1)
+    for t, c in enumerate(y.T):
+        # Each class must be among the rows that are fitted on and among those that are held out.
+        if any(len(np.unique(c[part & ~np.isnan(c)])) < 2 for part in (held[:, t], ~held[:, t])):
+            held[:, t] = False
+    own = np.where(held, np.nan, y)
+    test = [np.flatnonzero((held[:, t] | ~held[:, t].any()) & ~np.isnan(y[:, t])) for t in range(len(told))]
+    views: list[list[View]] = []
     for turn in range(rounds):
-        models = [_fit(samples[i], y[i], use[i], features, (3.5, 2.0)[i], 80 if turn == rounds - 1 or not pool else 25) for i in range(2)]
-        if turn == rounds - 1 or not pool:
-            break
-        for i in range(2):
-            other, free = 1 - i, ~use[1 - i]
-            free[: len(labelled)] = False
-            p = _sigmoid(models[i].score(samples[i].doc, samples[i].keys[samples[i].number], len(rows)))
-            for side, value in ((p, 1.0), (1 - p, 0.0)):
-                ranked = np.flatnonzero(free & (side >= sure))
-                taken = ranked[np.argsort(-side[ranked], kind="stable")[:give]]
-                y[other][taken], use[other][taken] = value, True
-    test = held if held.any() else base
-    scores = []
-    for i in range(2):
-        raw = models[i].score(samples[i].doc, samples[i].keys[samples[i].number], len(rows))
-        w = _fit_dense(np.clip(raw[test], -12, 12)[:, None], y[i][test], 1.0)
-        models[i].slope, models[i].shift = max(float(w[0]), 0.0), float(w[1])
-        scores.append(models[i].slope * raw + models[i].shift)
-    blend = _fit_dense(np.column_stack([s[test] for s in scores]), np.concatenate([y0, np.zeros(len(pool))])[test], 1.0)
-    return Model(models[0], models[1], blend)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 10_000, unlabelled: int = 2000, most_bytes: int = 20 << 20, rounds: int = 3, features: int = 20_000) -> Model | None:
-    """Fit on a sample of whole texts: at most ``labelled`` and ``unlabelled`` rows, those with the least hashes of their ids, and of
-    these as many, in that order, as fit in ``most_bytes`` (a fifth of it for the unlabelled). A document is bad if it is of
-    low quality or toxic."""
-    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.greatest(1 - F.min("quality"), F.max("toxic")) > 0).cast("int").alias("bad")).where("bad is not null")
-    rank = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    ids = docs.select(F.col(id_col).alias("doc_id"), F.col("text").cast("binary").alias("text"), "lang", "source").where("doc_id is not null")
-    # What is broadcast is bounded by the limits.
-    chosen = known.orderBy(rank, "doc_id").limit(labelled)
-    free = ids.select("doc_id").join(known.select("doc_id"), "doc_id", "left_anti").distinct().orderBy(rank, "doc_id").limit(unlabelled).withColumn("bad", F.lit(None).cast("int"))
-    sample = []
-    for some, most in ((chosen, most_bytes), (free, most_bytes // 5)):
-        sizes = ids.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.max("bad").alias("bad")).withColumn("r", rank).collect()
-        taken, left = [], most
-        for r in sorted(sizes, key=lambda r: (r.r, r.doc_id)):
-            if r.n <= left:
-                taken.append((r.doc_id, r.bad))
-                left -= r.n
-        if not taken:
-            continue
-        pick = docs.sparkSession.createDataFrame(taken, "doc_id long, bad int")
-        rows = ids.join(F.broadcast(pick), "doc_id").dropDuplicates(["doc_id"]).withColumn("r", rank).collect()
-        rows.sort(key=lambda r: (r.r, r.doc_id))
-        sample += [(bytes(r.text or b""), r.lang, r.source, r.bad) for r in rows]
-        del rows
-    return co_train(sample, rounds=rounds, features=features)
+        counts = source.counts(views, own, sure, features)
+        entries = source.entries([c[0] for c in counts])
+        fitted, raws = [], []
+        for slot, (c, (doc, number)) in enumerate(zip(counts, entries, strict=True)):
+            t = slot // 2
+            use = ~np.isnan(own[:, t])
+            place, mine = np.cumsum(use) - 1, use[doc]
+            view = _fit(*c, place[doc[mine]], number[mine], own[use, t], 100 if turn == rounds - 1 else 40)
+            raw = np.bincount(doc, weights=view.weights[number], minlength=len(y)) + view.bias
+            w = _fit_dense(np.clip(raw[test[t]], -12, 12)[:, None], y[test[t], t], 1.0)
+            view.slope, view.shift = max(float(w[0]), 0.0), float(w[1])
+            fitted.append(view)
+            raws.append(view.slope * raw + view.shift)
+        views = [fitted[i : i + 2] for i in range(0, len(fitted), 2)]
+    mixes = [_fit_dense(np.column_stack([s[test[t]] for s in raws[2 * t : 2 * t + 2]]), y[test[t], t], 1.0) for t in range(len(told))]
+    return Model([Target(source.names[i], v, m) for i, v, m in zip(told, views, mixes, strict=True)])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 10_000, rounds: int = 3, features: int = 20_000) -> Model | None:
+    """Fit on at most ``labelled`` labelled rows, those with the least hashes of their ids, and on every other row of ``docs`` as
+    unlabelled. Low quality and toxicity are told apart each by models of their own; a document is bad if it is either."""
+    known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((1 - F.min("quality") > 0).cast("double").alias("low"), (F.max("toxic") > 0).cast("double").alias("toxic")).where("low is not null or toxic is not null")
+    chosen = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id")), "doc_id").limit(labelled)
+    chosen = written(chosen, "classifier-chosen")
+    source = _Tables(docs, chosen, ["low", "toxic"], id_col)
+    model = co_train(source, rounds=rounds, features=features)
+    release(source.known)
+    release(chosen)
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.5, carry: bool = False) -> DataFrame:

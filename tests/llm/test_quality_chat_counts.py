@@ -118,6 +118,21 @@ def test_classifier_cases(spark):
     assert co_train([(b"a", None, None, 0), (b"b", None, None, 0)]) is None
 
 
+def test_every_sure_unlabelled_row_teaches(spark):
+    """Words that only unlabelled documents have, each in twelve of 9600, are learned from what their records say."""
+    rnd = random.Random(8)
+    rows = []
+    for i in range(400):
+        rows.append((i, f"{'fine words stand here' if i % 2 else 'cheap pills offer now'} {rnd.randrange(50)}", "en", "good" if i % 2 else "spam"))
+    word = lambda j, bad: f"{'zq' if bad else 'wy'}{hashlib.md5(str(j).encode()).hexdigest()[:10]}"
+    for i in range(9600):
+        rows.append((1000 + i, f"some text {word(i // 24, i % 2)} ends", "en", "spam" if i % 2 else "good"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = fit(docs, spark.createDataFrame([(i, i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int"))
+    p = model.score([f"some text {word(j, bad)} ends".encode() for j in range(400) for bad in (0, 1)], [None] * 800, [None] * 800)[0]
+    assert (p[1::2] > p[::2]).all()
+
+
 # -- chat
 
 
