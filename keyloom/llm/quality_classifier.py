@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ _CLASS[33:127] = 6
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[9, 11, 12, 13, 32]], _CLASS[10], _CLASS[128:] = 1, 2, 3, 4, 5, 7
 
 
+@lru_cache(1 << 16)
 def _named(kind: int, *values: int) -> int:
     h = np.array([kind], dtype=np.uint64)
     for v in values:
@@ -77,6 +79,7 @@ def record_features(values: list[bytes], langs: list, sources: list) -> tuple[np
     return np.array(docs, dtype=np.int64), np.array(feats, dtype=np.uint64)
 
 
+@lru_cache(1 << 12)
 def hash_of(value) -> int:
     if value is None:
         return 1
@@ -120,6 +123,9 @@ class View:
         self.mask = np.zeros(1 << _MASK_BITS, dtype=bool)
         self.mask[(self.keys >> np.uint64(64 - _MASK_BITS)).astype(np.int64)] = True
 
+    def __reduce__(self):
+        return View, (self.keys, self.weights, self.bias, self.slope, self.shift)  # the mask is made anew
+
     def score(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
         """The calibrated log odds of each of n documents; a feature counts once."""
         feature = feature & _FEATURE
@@ -142,38 +148,50 @@ class _Tally:
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size, self.most = 0, 1 << 19
 
-    def add(self, doc: np.ndarray, feature: np.ndarray, y: np.ndarray) -> None:
-        """Documents 0 to 255 and their labels; those with a label of nan do not teach."""
+    def add(self, both: np.ndarray, y: np.ndarray) -> None:
+        """Features in order with the number of a document, 0 to 255, in their low bits, and the documents' labels; those with a
+        label of nan do not teach."""
         teach = ~np.isnan(y)
         if not teach.any():
             return
-        some = teach[doc]
-        both = np.unique((feature[some] & _FEATURE) | doc[some].astype(np.uint64))
-        self._put(both & _FEATURE, np.ones(len(both), dtype=np.int64), y[(both & ~_FEATURE).astype(np.int64)].astype(np.int64))
+        doc = (both & ~_FEATURE).astype(np.int64)
+        if not teach.all():
+            some = teach[doc]
+            both, doc = both[some], doc[some]
+        self._put(both & _FEATURE, np.ones(len(both), dtype=np.int64), y[doc].astype(np.int64))
         self.parts.append((np.array([_TOTAL]), np.array([teach.sum()]), np.array([int(y[teach].sum())])))
-        if self.size > 1 << 20:
-            parts, self.parts, self.size = self.parts, [], 0
-            self._put(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+        if self.size > self.most:
+            self._merge()
+            self.most = (1 << 19) + 2 * self.size
 
-    def _put(self, keys: np.ndarray, n: np.ndarray, a: np.ndarray) -> None:
+    def _merge(self) -> None:
+        keys, n, a = (np.concatenate(c) for c in zip(*self.parts, strict=True))
         order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, dtype=np.int64)
-        if len(first):
-            self.parts.append((keys[first], np.add.reduceat(n[order], first), np.add.reduceat(a[order], first)))
+        self.parts, self.size = [], 0
+        self._put(keys[order], n[order], a[order])
+
+    def _put(self, keys: np.ndarray, n: np.ndarray, a: np.ndarray) -> None:
+        """Keys in order."""
+        if len(keys):
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.parts.append((keys[first], np.add.reduceat(n, first), np.add.reduceat(a, first)))
             self.size += len(first)
 
     def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not self.parts:
             return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        parts, self.parts, self.size = self.parts, [], 0
-        self._put(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        out, self.parts, self.size = self.parts[0], [], 0
+        self._merge()
+        out = self.parts[0]
+        self.__init__()
         return out
 
 
+def _both(doc: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    return np.unique((feature & _FEATURE) | doc.astype(np.uint64))
+
+
 def _taught(views: list[View], made: list[tuple[np.ndarray, np.ndarray]], n: int, sure: float) -> list[np.ndarray]:
     """The labels that each view is given by the other, nan where that is not sure."""
     out = []
@@ -183,20 +201,29 @@ def _taught(views: list[View], made: list[tuple[np.ndarray, np.ndarray]], n: int
     return out
 
 
+def _summed(to: np.ndarray, value: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The sums of ``value[at]`` by ``to``, in pieces, as all entries at once would take the driver's memory."""
+    out = np.zeros(n)
+    for i in range(0, len(to), 1 << 18):
+        c = slice(i, i + (1 << 18))
+        out += np.bincount(to[c], weights=value[at[c]], minlength=n)
+    return out
+
+
 def _fit(keys: np.ndarray, n: np.ndarray, a: np.ndarray, total: int, bad: int, doc: np.ndarray, number: np.ndarray, y: np.ndarray, steps: int) -> View:
     """Features weigh what the counts of all documents that teach say (log odds, as naive Bayes does); gradient steps on the
     labelled ones then scale each. A feature that none of those has is scaled as the others are on average."""
     r = np.log((a + 0.5) / (bad + 1)) - np.log((n - a + 0.5) / (total - bad + 1))
-    raw = np.bincount(doc, weights=r[number], minlength=len(y))
+    raw = _summed(doc, r, number, len(y))
     wide = float(raw.std()) or 1.0
     first = _fit_dense(raw[:, None] / wide, y, 1.0)
     r = r * max(float(first[0]), 1e-3) / wide
     u, bias = np.ones(len(keys)), float(first[1])
     m, v, mb, vb = np.zeros(len(keys)), np.zeros(len(keys)), 0.0, 0.0
     for t in range(1, steps + 1):
-        p = _sigmoid(np.bincount(doc, weights=(r * u)[number], minlength=len(y)) + bias)
+        p = _sigmoid(_summed(doc, r * u, number, len(y)) + bias)
         e = (p - y) / len(y)
-        g, gb = np.bincount(number, weights=e[doc], minlength=len(keys)) * r + 1e-7 * (u - 1), e.sum()
+        g, gb = _summed(number, e, doc, len(keys)) * r + 1e-7 * (u - 1), e.sum()
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         rate = 0.2 / (1 + t / 50)
@@ -251,7 +278,7 @@ class _Rows:
             tallies = [_Tally(), _Tally()]
             for made, y in [(f, [own[i, t : t + 1]] * 2) for i, f in enumerate(self.known)] + [(f, _taught(targets[t], f, 1, sure)) for f in self.pool if targets]:
                 for v in range(2):
-                    tallies[v].add(*made[v], y[v])
+                    tallies[v].add(_both(*made[v]), y[v])
             for v in range(2):
                 keys, n, a = tallies[v].sums()
                 total, bad = (int(c[keys == _TOTAL][0]) for c in (n, a))
@@ -262,9 +289,8 @@ class _Rows:
                 out.append((keys[good], n[good], a[good], total, bad))
         return out
 
-    def entries(self, keys: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        found = [[_numbers(k, f[slot % 2][1]) for f in self.known] for slot, k in enumerate(keys)]
-        return [_joined(x) for x in found]
+    def entries(self, view: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _joined([_numbers(keys, f[view][1]) for f in self.known])
 
 
 def _numbers(keys: np.ndarray, feature: np.ndarray) -> np.ndarray:
@@ -277,7 +303,7 @@ def _numbers(keys: np.ndarray, feature: np.ndarray) -> np.ndarray:
 
 
 def _joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(np.arange(len(found)), [len(x) for x in found]), np.concatenate([*found, np.empty(0, dtype=np.int32)])
+    return np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found]), np.concatenate([*found, np.empty(0, dtype=np.int32)])
 
 
 class _Tables:
@@ -322,9 +348,9 @@ class _Tables:
             for batch in batches:
                 for d, *f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     y = shared.value[2][shared.value[1][d]]
+                    both = [np.unique(np.frombuffer(x, dtype=np.uint64) & _FEATURE) for x in f]
                     for slot, tally in enumerate(tallies):
-                        feature = np.frombuffer(f[slot % 2], dtype=np.uint64)
-                        tally.add(np.zeros(len(feature), dtype=np.int64), feature, y[slot // 2 : slot // 2 + 1])
+                        tally.add(both[slot % 2], y[slot // 2 : slot // 2 + 1])
                 if sum(t.size for t in tallies) > 1 << 21:
                     yield from out(tallies)
             yield from out(tallies)
@@ -335,9 +361,12 @@ class _Tables:
                 values, langs, sources = texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 for i in range(0, len(values), 64):
                     made = _views(values[i : i + 64], langs[i : i + 64], sources[i : i + 64])
-                    for t, views in enumerate(shared.value[0]):
-                        for v, y in enumerate(_taught(views, made, len(values[i : i + 64]), sure)):
-                            tallies[2 * t + v].add(*made[v], y)
+                    given = [y for views in shared.value[0] for y in _taught(views, made, len(values[i : i + 64]), sure)]
+                    for v in range(2):
+                        taught = ~np.isnan(given[v::2]).all(axis=0)
+                        both = _both(*(x[taught[made[v][0]]] for x in made[v]))
+                        for slot in range(v, len(given), 2):
+                            tallies[slot].add(both, given[slot])
                     if sum(t.size for t in tallies) > 1 << 21:
                         yield from out(tallies)
             yield from out(tallies)
@@ -357,22 +386,22 @@ class _Tables:
             order = np.argsort(keys)
             result.append((keys[order], n[order], a[order], total, bad))
         release(sums)
+        shared.destroy()
         return result
 
-    def entries(self, keys: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    def entries(self, view: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         shared = self.spark.sparkContext.broadcast(keys)
         kind = self.known.schema["doc_id"].dataType.simpleString()
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                features = [[np.frombuffer(x, dtype=np.uint64) for x in batch.column(1 + v).to_pylist()] for v in range(2)]
-                columns = [pa.array([_numbers(k, f).tobytes() for f in features[slot % 2]], pa.binary()) for slot, k in enumerate(shared.value)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *[f"s{i}" for i in range(len(columns))]])
+                numbers = [_numbers(shared.value, np.frombuffer(x, dtype=np.uint64)).tobytes() for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(numbers, pa.binary())], ["doc_id", "numbers"])
 
-        shape = ", ".join([f"doc_id {kind}", *[f"s{i} binary" for i in range(len(keys))]])
-        got = self.known.select("doc_id", "f0", "f1").mapInArrow(found, shape).toArrow()
-        place = np.argsort([self.at[d] for d in got.column(0).to_pylist()])
-        return [_joined([np.frombuffer(x[i], dtype=np.int32) for i in place]) for x in (got.column(1 + s).to_pylist() for s in range(len(keys)))]
+        got = self.known.select("doc_id", f"f{view}").mapInArrow(found, f"doc_id {kind}, numbers binary").toArrow()
+        shared.destroy()
+        numbers = got.column(1).to_pylist()
+        return _joined([np.frombuffer(numbers[i], dtype=np.int32) for i in np.argsort([self.at[d] for d in got.column(0).to_pylist()])])
 
 
 def co_train(source, rounds: int = 3, features: int = 20_000, sure: float = 0.98) -> Model | None:
@@ -393,14 +422,14 @@ def co_train(source, rounds: int = 3, features: int = 20_000, sure: float = 0.98
     views: list[list[View]] = []
     for turn in range(rounds):
         counts = source.counts(views, own, sure, features)
-        entries = source.entries([c[0] for c in counts])
         fitted, raws = [], []
-        for slot, (c, (doc, number)) in enumerate(zip(counts, entries, strict=True)):
+        for slot, c in enumerate(counts):
             t = slot // 2
+            doc, number = source.entries(slot % 2, c[0])
             use = ~np.isnan(own[:, t])
-            place, mine = np.cumsum(use) - 1, use[doc]
+            place, mine = (np.cumsum(use) - 1).astype(np.int32), use[doc]
             view = _fit(*c, place[doc[mine]], number[mine], own[use, t], 100 if turn == rounds - 1 else 40)
-            raw = np.bincount(doc, weights=view.weights[number], minlength=len(y)) + view.bias
+            raw = _summed(doc, view.weights, number, len(y)) + view.bias
             w = _fit_dense(np.clip(raw[test[t]], -12, 12)[:, None], y[test[t], t], 1.0)
             view.slope, view.shift = max(float(w[0]), 0.0), float(w[1])
             fitted.append(view)
