@@ -3,7 +3,8 @@
 The text view has the presence of words, their beginnings and endings, and how often words recur. The metadata view has
 language, source, size, and the make-up of lines and characters, and never sees a word. Each round both are fitted on their own
 labels, calibrated on labelled documents that neither was fitted on, and all documents of the unlabelled pool that one is sure of
-are given to the other. At the end the calibrated views are combined.
+are given to the other. At the end the calibrated views are combined. Low quality and toxicity are two such pairs, and each has
+a limit at which it catches a stated share of the held-out bad documents.
 
 The labelled rows are bounded (``labelled``, by a hash of the id). The pool is every other row: each exchange scores all of it
 in one pass, and what is summed of it, how many taught documents have a feature and how many of these are bad, leaves a task in
@@ -141,6 +142,9 @@ class View:
 _TEACH = "slot int, feature long, n long, a long"
 _TOTAL = np.uint64(1)  # the key of a tally's sums: the low bits of a feature are clear
 _LEAST_Z = (3.5, 2.0)
+#: The share of the bad documents, by target, that its limit is to catch, and the most of the others that it may cost.
+_RECALL = {"low": 0.95, "toxic": 0.9}
+_COST = 0.01
 
 
 class _Tally:
@@ -210,6 +214,15 @@ def _summed(to: np.ndarray, value: np.ndarray, at: np.ndarray, n: int) -> np.nda
     return out
 
 
+def _limit(p: np.ndarray, y: np.ndarray, recall: float) -> float:
+    """The highest limit, up to 0.5, at which that share of the bad is rejected; higher where it would cost more than ``_COST``
+    of the others."""
+    bad, rest = np.sort(p[y == 1]), np.sort(p[y == 0])
+    caught = bad[min(int(np.floor((1 - recall) * len(bad))), len(bad) - 1)]
+    cost = np.nextafter(rest[max(int(np.ceil((1 - _COST) * len(rest))) - 1, 0)], 1)
+    return float(np.clip(max(caught, cost), 0.01, 0.5))
+
+
 def _fit(keys: np.ndarray, n: np.ndarray, a: np.ndarray, total: int, bad: int, doc: np.ndarray, number: np.ndarray, y: np.ndarray, steps: int) -> View:
     """Features weigh what the counts of all documents that teach say (log odds, as naive Bayes does); gradient steps on the
     labelled ones then scale each. A feature that none of those has is scaled as the others are on average."""
@@ -242,6 +255,7 @@ class Target:
     name: str
     views: list[View]
     mix: np.ndarray
+    limit: float = 0.5
 
     def score(self, made: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = (v.score(*f, n) for v, f in zip(self.views, made, strict=True))
@@ -253,9 +267,13 @@ class Model:
     targets: list[Target]
 
     def score(self, values: list[bytes], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By the text, by the record, by both: the highest of the targets' probabilities."""
+        """By the text, by the record, by both: the highest of the targets' probabilities, in the last with odds that are even
+        at the target's limit."""
         made = _views(values, langs, sources)
-        scores = [t.score(made, len(values)) for t in self.targets]
+        scores = []
+        for t in self.targets:
+            a, b, p = t.score(made, len(values))
+            scores.append((a, b, p * (1 - t.limit) / (p * (1 - t.limit) + (1 - p) * t.limit)))
         return tuple(np.maximum.reduce(p) for p in zip(*scores, strict=True))
 
 
@@ -435,13 +453,19 @@ def co_train(source, rounds: int = 3, features: int = 20_000, sure: float = 0.98
             fitted.append(view)
             raws.append(view.slope * raw + view.shift)
         views = [fitted[i : i + 2] for i in range(0, len(fitted), 2)]
-    mixes = [_fit_dense(np.column_stack([s[test[t]] for s in raws[2 * t : 2 * t + 2]]), y[test[t], t], 1.0) for t in range(len(told))]
-    return Model([Target(source.names[i], v, m) for i, v, m in zip(told, views, mixes, strict=True)])
+    out = []
+    for t, (i, v) in enumerate(zip(told, views, strict=True)):
+        x, of = np.column_stack([s[test[t]] for s in raws[2 * t : 2 * t + 2]]), y[test[t], t]
+        blend = _fit_dense(x, of, 1.0)
+        p = _sigmoid(np.column_stack([x, np.ones(len(x))]) @ blend)
+        out.append(Target(source.names[i], v, blend, _limit(p, of, _RECALL.get(source.names[i], 0.5))))
+    return Model(out)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 10_000, rounds: int = 3, features: int = 20_000) -> Model | None:
     """Fit on at most ``labelled`` labelled rows, those with the least hashes of their ids, and on every other row of ``docs`` as
-    unlabelled. Low quality and toxicity are told apart each by models of their own; a document is bad if it is either."""
+    unlabelled. Low quality and toxicity are told apart each by models of their own; a document is bad if it is either.
+    Memory of the driver is bounded by the numbers of features of the labelled rows; texts stay in tasks."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((1 - F.min("quality") > 0).cast("double").alias("low"), (F.max("toxic") > 0).cast("double").alias("toxic")).where("low is not null or toxic is not null")
     chosen = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id")), "doc_id").limit(labelled)
     chosen = written(chosen, "classifier-chosen")

@@ -118,6 +118,15 @@ def test_classifier_cases(spark):
     assert co_train([(b"a", None, None, 0), (b"b", None, None, 0)]) is None
 
 
+def test_toxic_and_junk_are_caught_separately(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fit(docs, labels.where("doc_id % 4 <> 0"))
+    r = score(docs, model).join(labels.where("doc_id % 4 = 0"), "doc_id").selectExpr("kept", "toxic = 1 AS toxic", "quality = 0 AS junk").toPandas()
+    assert r[r.toxic].kept.mean() < 0.1 and r[r.junk].kept.mean() < 0.1
+    assert [t.name for t in model.targets] == ["low", "toxic"] and all(0 < t.limit <= 0.5 for t in model.targets)
+
+
 def test_every_sure_unlabelled_row_teaches(spark):
     """Words that only unlabelled documents have, each in twelve of 9600, are learned from what their records say."""
     rnd = random.Random(8)
