@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import written
 
 #: Transformed statistics and the least standard deviation each is given: log words, log mean word length, then roots of
-#: the shares of symbols, repeated lines and repeated words.
-FEATURES = {"f0": 0.30, "f1": 0.06, "f2": 0.05, "f3": 0.20, "f4": 0.25}
+#: the shares of symbols, repeated lines and repeated words. The last two are small against what a share can reach (1, and
+#: the root of 0.3 that the base rule leaves), so that each alone can exceed the limit where a group has next to no repeats.
+FEATURES = {"f0": 0.30, "f1": 0.06, "f2": 0.05, "f3": 0.10, "f4": 0.06}
 _STEPS, _SHARE, _GRID = 4, 0.75, 256
 _SPACE = r"[\\x20\\x09-\\x0D]"
 

@@ -92,6 +92,25 @@ def test_quality_rules_cases(spark):
     assert judged(df.where("text is null")).where("kept").count() == 0
 
 
+def test_quality_rules_reject_each_extreme_alone(spark):
+    rnd = random.Random(9)
+    some = lambda n: [f"w{rnd.randrange(10**6):06d}" for _ in range(n)]
+    plain = [" ".join(some(rnd.randrange(200, 400))) for _ in range(300)]
+    lines = [" ".join(some(4)) for _ in range(27)]
+    passage = some(40)
+    odd = [
+        " ".join(some(20_000)),
+        " ".join(x * 9 for x in some(300)),
+        " ".join("#$%" + x for x in some(300)),
+        "\n".join(lines[i * step % 27] for step in (1, 2, 4) for i in range(27)),
+        " ".join(passage + some(220) + passage),
+    ]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(plain + odd)], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in judged(df).collect()}
+    assert not any(got[300 + i].base_failed or got[300 + i].kept for i in range(5))
+    assert sum(got[i].kept for i in range(300)) > 295
+
+
 # -- quality classifier
 
 
