@@ -49,8 +49,9 @@ def vsearch_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str =
                 else:
                     d = 1 - inner
                 names = batch.column(0).to_pylist()
+                ranked = np.array(names)
                 for j, heap in enumerate(heaps):
-                    for i in np.argsort(d[:, j], kind="stable")[:k].tolist():
+                    for i in np.lexsort((ranked, d[:, j]))[:k].tolist():
                         item = (-d[i, j], -names[i])
                         if len(heap) < k:
                             heapq.heappush(heap, item)

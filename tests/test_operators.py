@@ -389,3 +389,10 @@ def test_small_operators(spark):
     assert keyspace.dbsize(space, 10).first()["keys"] == 1 and keyspace.random_key(space).count() == 1
     assert vals(keyspace.touch(space, space.where("key = 'a'"), 5), "key", "access_ms") == [("a", 5), ("b", 0)]
     assert spark.range(1).select(keyspace.encoding("zset", F.lit(200), F.lit(3)).alias("e")).first().e == "skiplist"
+
+
+def test_vector_batch_keeps_least_ids_of_equal_distances(spark):
+    v = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(20, 0, -1)], "ext_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>")
+    got = vectors.vsearch_batch(v, q, 3, "L2").orderBy("rank").collect()
+    assert [r.ext_id for r in got] == [1, 2, 3]
