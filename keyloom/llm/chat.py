@@ -347,17 +347,38 @@ def _render(node: tuple) -> Callable[[dict, bool], Iterator[Piece]]:
         for x in values(env):
             inner[name] = x
             yield from body(inner, masked)
-            yield "\0", False  # a place where a long output may be cut
+            yield TURN_END
 
     return loop
 
 
 def compile_template(source: str) -> Callable[[dict], Iterator[Piece]]:
-    """A function from names and values to pieces of text. ("\\0", False) marks the end of a turn and is no text."""
+    """A function from names and values to pieces of text. The object TURN_END marks the end of a turn and is no text."""
     render = _render(fold(parse(source)))
     return lambda env: render(env, False)
 
 
+#: A place where a long output may be cut. It is told by identity, as a text may be the same characters.
+TURN_END: Piece = ("\0", False)
+
+
+def ends_turn(piece: Piece) -> bool:
+    return piece is TURN_END  # here, as a function sent to a task has copies of the values it names
+
+
+class Once:
+    """Turns that are read as they stream by; a template that loops over them again is refused."""
+
+    def __init__(self, turns: Iterator[dict]):
+        self.turns: Iterator[dict] | None = turns
+
+    def __iter__(self) -> Iterator[dict]:
+        if self.turns is None:
+            raise TemplateError("messages can be looped over once")
+        turns, self.turns = self.turns, None
+        return turns
+
+
 # -- conversations -------------------------------------------------------------------------------------------------
 
 
@@ -388,8 +409,9 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, part_turns:
                     following = next(rows, None)
 
             part, n, out, size, loss = 0, 0, [], 0, []
-            for text, masked in render({"messages": messages()}):
-                if (text, masked) == ("\0", False):
+            for piece in render({"messages": Once(messages())}):
+                text, masked = piece
+                if ends_turn(piece):
                     n += 1
                     if n == part_turns:
                         ready.append((now, part, "".join(out), loss))

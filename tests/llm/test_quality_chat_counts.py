@@ -210,6 +210,16 @@ def test_chat_cases(spark, part_turns):
     assert "".join(r.formatted for r in plain) == "BtE" and "generation" in TEMPLATE
 
 
+def test_chat_keeps_nul_texts_and_refuses_a_second_loop(spark):
+    rows = [(1, i, "user", "\0") for i in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = format_conversations(df, "{% for m in messages %}{{ m.text }}{% endfor %}", part_turns=2).orderBy("part").collect()
+    assert [r.formatted for r in out if r.formatted] == ["\0\0", "\0\0"]
+    twice = "{% for m in messages %}{{ m.text }}{% endfor %}" * 2
+    with pytest.raises(Exception, match="looped over once"):
+        format_conversations(df, twice).collect()
+
+
 # -- token counts
 
 
