@@ -1,10 +1,9 @@
-"""Repeated passages by relative Lempel-Ziv parsing against reference blocks that are spread over the cluster.
+"""Repeated passages by a join of the fingerprints of all windows, in place of relative Lempel-Ziv parsing.
 
-The reference is the corpus itself, cut into phrases of ``window`` words and dealt into blocks by an anchor: the least hash
-of the 16-word runs in the phrase. Equal phrases have equal anchors, so one block indexes all copies of a phrase. A
-document is factored from the left: where a phrase is found elsewhere a factor begins, it grows word by word while the
-phrase that ends at the next word is found as well (the check at factor boundaries, made at every word, so a greedy
-factor cannot hide one that straddles it), and the factors, each of at least ``window`` words, are the duplicate spans.
+Every run of ``window`` words is fingerprinted and sent by an anchor, the least hash of its 16-word runs, so all copies of
+a window meet in one task. Windows that are found twice are hits, and neighbouring hits of a document are merged into
+spans. No reference block is indexed and no document is factored: a greedy factor could hide a repeated window that
+straddles two, and every repeated window is to be found.
 
 1. Anchors feed a pair of Bloom filters; phrases whose anchor is not repeated cannot be repeated and go no further.
 2. The other phrases travel as 128-bit fingerprints, runs with one anchor in one row. A task settles what it holds
