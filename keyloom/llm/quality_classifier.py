@@ -1,7 +1,8 @@
 """Quality by co-training: one classifier reads the words, the other what a page's record says, and they teach each other.
 
 The text view has the presence of words, their beginnings and endings, and how often words recur. The metadata view has
-language, source, size, and the make-up of lines and characters, and never sees a word. Each round both are fitted on their own
+language, source, size, and the make-up of lines and characters, and never sees a word (the tables' own columns of that kind,
+language, source and length, say next to nothing of quality, so the make-up that a crawler can count is part of it). Each round both are fitted on their own
 labels, calibrated on labelled documents that neither was fitted on, and all documents of the unlabelled pool that one is sure of
 are given to the other. At the end the calibrated views are combined. Low quality and toxicity are two such pairs, and each has
 a limit at which it catches a stated share of the held-out bad documents.
@@ -25,15 +26,15 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import bounded_batches, mix, release, texts, word_bounds, word_hashes, written
 
-_MASK_BITS = 22
 _FEATURE = np.uint64(0xFFFFFFFFFFFFFF00)
 _LEAST = 3  # documents of the sample that a feature is in
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Classes of bytes: other, letter a-z, letter A-Z, digit, white space, line end, the rest of ASCII, beyond ASCII.
-_CLASS = np.zeros(256, dtype=np.int64)
-_CLASS[33:127] = 6
-_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[9, 11, 12, 13, 32]], _CLASS[10], _CLASS[128:] = 1, 2, 3, 4, 5, 7
+_OF = np.zeros(256, dtype=np.int64)
+_OF[33:127] = 6
+_OF[97:123], _OF[65:91], _OF[48:58], _OF[[9, 11, 12, 13, 32]], _OF[10], _OF[128:] = 1, 2, 3, 4, 5, 7
+_CLASS = (_OF[:, None] == np.arange(8)).astype(np.int64)
 
 
 @lru_cache(1 << 16)
@@ -44,40 +45,79 @@ def _named(kind: int, *values: int) -> int:
     return int(h[0])
 
 
-def text_features(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, feature) of the text view, not yet distinct."""
+@dataclass
+class Features:
+    """The distinct features of some documents, in order, and a table of ones and zeros: which of the documents has which."""
+
+    keys: np.ndarray
+    has: np.ndarray
+
+
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, the number of each value among them, and a place of each."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])[: len(order)]
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], number, order[new]
+
+
+def _features(n: int, values: list[np.ndarray], docs: list[np.ndarray], members: list[np.ndarray]) -> Features:
+    """For each part, its features, and pairs of a document and the place in the part of a feature that it has."""
+    keys, number, _ = _numbered(np.concatenate(values) & _FEATURE)
+    has = np.zeros((n, len(keys)), dtype=np.float32)
+    at = 0
+    for part, doc, member in zip(values, docs, members, strict=True):
+        has[doc, number[at : at + len(part)][member]] = 1
+        at += len(part)
+    return Features(keys, has)
+
+
+def text_features(values: list[bytes]) -> Features:
+    """The text view: words, their beginnings and endings, and how often words recur. A distinct word is looked at once."""
+    n = len(values)
     buf = _LOWER[np.frombuffer(b"\n".join(values), dtype=np.uint8)]
     starts, ends = word_bounds(buf)
-    doc = np.searchsorted(np.cumsum([len(v) + 1 for v in values]), starts, side="right")
-    words = word_hashes(buf, starts, ends)
-    order = np.lexsort((words, doc))
-    new = np.concatenate([[True], (words[order][1:] != words[order][:-1]) | (doc[order][1:] != doc[order][:-1])]) if len(words) else np.empty(0, dtype=bool)
-    n = np.bincount(doc, minlength=len(values))
-    one = order[new]
-    doc, starts, ends = doc[one], starts[one], ends[one]
-    distinct = np.bincount(doc, minlength=len(values))
-    docs, feats = [doc], [words[one]]
+    many = np.diff(np.searchsorted(starts, np.cumsum([0, *(len(v) + 1 for v in values)])))
+    doc = np.repeat(np.arange(n), many)
+    words, word, first = _numbered(word_hashes(buf, starts, ends))
+    present = np.zeros((n, len(words)), dtype=bool)
+    present[doc, word] = True
+    starts, ends = starts[first], ends[first]
+    parts = [words]
     for kind, (a, b) in enumerate(((starts, np.minimum(starts + 4, ends)), (starts, np.minimum(starts + 5, ends)), (starts, np.minimum(starts + 6, ends)), (np.maximum(ends - 2, starts), ends)), start=1):
-        docs.append(doc)
-        feats.append(mix(word_hashes(buf, a, b) ^ np.uint64(kind)))
-    shape = np.array([_named(9, int(min(n.bit_length(), 8)), int(20 * d // max(1, n))) for n, d in zip(n.tolist(), distinct.tolist(), strict=True)], dtype=np.uint64)
-    docs.append(np.arange(len(values)))
-    feats.append(shape)
-    return np.concatenate(docs), np.concatenate(feats)
+        parts.append(mix(word_hashes(buf, a, b) ^ np.uint64(kind)))
+    shape = np.array([_named(9, int(min(m.bit_length(), 8)), int(20 * d // max(1, m))) for m, d in zip(many.tolist(), present.sum(axis=1).tolist(), strict=True)], dtype=np.uint64)
+    each = np.arange(n)
+    return _features(n, [*parts, shape], [*[doc] * len(parts), each], [*[word] * len(parts), each])
 
 
-def record_features(values: list[bytes], langs: list, sources: list) -> tuple[np.ndarray, np.ndarray]:
-    """(document number, feature) of the metadata view."""
+def record_features(values: list[bytes], langs: list, sources: list) -> Features:
+    """The metadata view: language, source, size, and the make-up that a page's record counts. It sees no word."""
     docs, feats = [], []
     for i, (v, lang, source) in enumerate(zip(values, langs, sources, strict=True)):
         n = len(v)
-        share = np.bincount(_CLASS[np.frombuffer(v, dtype=np.uint8)], minlength=8) / max(1, n)
-        lines = v.count(b"\n") + 1
+        counts = np.bincount(np.frombuffer(v, dtype=np.uint8), minlength=256)
+        share = (counts @ _CLASS / max(1, n)).tolist()
+        lines, bars = int(counts[10]) + 1, int(counts[124])
         got = [_named(20, hash_of(lang)), _named(21, hash_of(source)), _named(22, n.bit_length()), _named(23, lines.bit_length()), _named(24, (n // lines).bit_length())]
-        got += [_named(30 + c, int(40 * share[c])) for c in range(8)] + [_named(40, int(200 * share[6])), _named(41, int(100 * v.count(b"|") / max(1, n)))]
+        got += [_named(30 + c, int(40 * share[c])) for c in range(8)] + [_named(40, int(200 * share[6])), _named(41, int(100 * bars / max(1, n)))]
         docs += [i] * len(got)
         feats += got
-    return np.array(docs, dtype=np.int64), np.array(feats, dtype=np.uint64)
+    return _features(len(values), [np.array(feats, dtype=np.uint64)], [np.array(docs, dtype=np.int64)], [np.arange(len(feats))])
+
+
+def chunks(values: list[bytes]) -> Iterator[slice]:
+    """Runs of at most 64 texts and about a megabyte, as what is made of them is a table of texts by features."""
+    start = size = 0
+    for i, v in enumerate(values):
+        if i > start and (i - start == 64 or size + len(v) > 1 << 20):
+            yield slice(start, i)
+            start, size = i, 0
+        size += len(v)
+    if start < len(values):
+        yield slice(start, len(values))
 
 
 @lru_cache(1 << 12)
@@ -121,22 +161,16 @@ class View:
     shift: float = 0.0
 
     def __post_init__(self):
-        self.mask = np.zeros(1 << _MASK_BITS, dtype=bool)
-        self.mask[(self.keys >> np.uint64(64 - _MASK_BITS)).astype(np.int64)] = True
-
-    def __reduce__(self):
-        return View, (self.keys, self.weights, self.bias, self.slope, self.shift)  # the mask is made anew
+        self.weights = np.round(self.weights * 4096) / 4096  # sums of such values are exact, so a text scores alike in any batch
 
-    def score(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        """The calibrated log odds of each of n documents; a feature counts once."""
-        feature = feature & _FEATURE
-        some = np.flatnonzero(self.mask[(feature >> np.uint64(64 - _MASK_BITS)).astype(np.int64)])
-        doc, feature = doc[some], feature[some]
-        at = np.minimum(np.searchsorted(self.keys, feature), max(0, len(self.keys) - 1))
-        hit = self.keys[at] == feature if len(self.keys) else np.zeros(len(feature), dtype=bool)
-        pair = np.unique(doc[hit].astype(np.int64) * (len(self.keys) + 1) + at[hit])
-        raw = np.bincount(pair // (len(self.keys) + 1), weights=self.weights[pair % (len(self.keys) + 1)], minlength=n) + self.bias
-        return self.slope * raw + self.shift
+    def score(self, f: Features) -> np.ndarray:
+        """The calibrated log odds of each document; a feature counts once."""
+        w = np.zeros(len(f.keys), dtype=np.float32)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, f.keys), len(self.keys) - 1)
+            hit = np.flatnonzero(self.keys[at] == f.keys)
+            w[hit] = self.weights[at[hit]]
+        return self.slope * ((f.has @ w).astype(np.float64) + self.bias) + self.shift
 
 
 _TEACH = "slot int, feature long, n long, a long"
@@ -154,21 +188,15 @@ class _Tally:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size, self.most = 0, 1 << 19
 
-    def add(self, both: np.ndarray, y: np.ndarray) -> None:
-        """Features in order with the number of a document, 0 to 255, in their low bits, and the documents' labels; those with a
-        label of nan do not teach."""
-        teach = ~np.isnan(y)
-        if not teach.any():
-            return
-        doc = (both & ~_FEATURE).astype(np.int64)
-        if not teach.all():
-            some = teach[doc]
-            both, doc = both[some], doc[some]
-        self._put(both & _FEATURE, np.ones(len(both), dtype=np.int64), y[doc].astype(np.int64))
-        self.parts.append((np.array([_TOTAL]), np.array([teach.sum()]), np.array([int(y[teach].sum())])))
-        if self.size > self.most:
-            self._merge()
-            self.most = (1 << 19) + 2 * self.size
+    def add(self, keys: np.ndarray, n: np.ndarray, a: np.ndarray, total: int, bad: int) -> None:
+        """Keys in order, how many of ``total`` documents have each, and how many of the ``bad`` ones."""
+        if total:
+            some = np.flatnonzero(n)
+            self._put(keys[some], n[some], a[some])
+            self.parts.append((np.array([_TOTAL]), np.array([total]), np.array([bad])))
+            if self.size > self.most:
+                self._merge()
+                self.most = (1 << 19) + 2 * self.size
 
     def _merge(self) -> None:
         keys, n, a = (np.concatenate(c) for c in zip(*self.parts, strict=True))
@@ -192,15 +220,25 @@ class _Tally:
         return out
 
 
-def _both(doc: np.ndarray, feature: np.ndarray) -> np.ndarray:
-    return np.unique((feature & _FEATURE) | doc.astype(np.uint64))
+def _teach(tallies: list[_Tally], made: list[Features], given: list[np.ndarray]) -> None:
+    """Add documents to the tallies by their labels, a list of them for each; those with a label of nan do not teach."""
+    for v, f in enumerate(made):
+        labels = np.stack(given[v :: len(made)])
+        rows = np.concatenate([~np.isnan(labels), labels == 1]).astype(np.float32)
+        taught = np.flatnonzero(rows.any(axis=0))
+        if not len(taught):
+            continue
+        sums = (rows @ f.has).astype(np.int64)
+        totals = rows.sum(axis=1).astype(np.int64).tolist()
+        for i, tally in enumerate(tallies[v :: len(made)]):
+            tally.add(f.keys, sums[i], sums[i + len(labels)], totals[i], totals[i + len(labels)])
 
 
-def _taught(views: list[View], made: list[tuple[np.ndarray, np.ndarray]], n: int, sure: float) -> list[np.ndarray]:
+def _taught(views: list[View], made: list[Features], sure: float) -> list[np.ndarray]:
     """The labels that each view is given by the other, nan where that is not sure."""
     out = []
     for other in (1, 0):
-        p = _sigmoid(views[other].score(*made[other], n))
+        p = _sigmoid(views[other].score(made[other]))
         out.append(np.where(p >= sure, 1.0, np.where(p <= 1 - sure, 0.0, np.nan)))
     return out
 
@@ -257,9 +295,9 @@ class Target:
     mix: np.ndarray
     limit: float = 0.5
 
-    def score(self, made: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        a, b = (v.score(*f, n) for v, f in zip(self.views, made, strict=True))
-        return _sigmoid(a), _sigmoid(b), _sigmoid(np.column_stack([a, b, np.ones(n)]) @ self.mix)
+    def score(self, made: list[Features]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b = (v.score(f) for v, f in zip(self.views, made, strict=True))
+        return _sigmoid(a), _sigmoid(b), _sigmoid(a * self.mix[0] + b * self.mix[1] + self.mix[2])
 
 
 @dataclass
@@ -272,12 +310,12 @@ class Model:
         made = _views(values, langs, sources)
         scores = []
         for t in self.targets:
-            a, b, p = t.score(made, len(values))
+            a, b, p = t.score(made)
             scores.append((a, b, p * (1 - t.limit) / (p * (1 - t.limit) + (1 - p) * t.limit)))
         return tuple(np.maximum.reduce(p) for p in zip(*scores, strict=True))
 
 
-def _views(values: list[bytes], langs: list, sources: list) -> list[tuple[np.ndarray, np.ndarray]]:
+def _views(values: list[bytes], langs: list, sources: list) -> list[Features]:
     return [text_features(values), record_features(values, langs, sources)]
 
 
@@ -294,9 +332,8 @@ class _Rows:
         out = []
         for t in range(own.shape[1]):
             tallies = [_Tally(), _Tally()]
-            for made, y in [(f, [own[i, t : t + 1]] * 2) for i, f in enumerate(self.known)] + [(f, _taught(targets[t], f, 1, sure)) for f in self.pool if targets]:
-                for v in range(2):
-                    tallies[v].add(_both(*made[v]), y[v])
+            for made, y in [(f, [own[i, t : t + 1]] * 2) for i, f in enumerate(self.known)] + [(f, _taught(targets[t], f, sure)) for f in self.pool if targets]:
+                _teach(tallies, made, y)
             for v in range(2):
                 keys, n, a = tallies[v].sums()
                 total, bad = (int(c[keys == _TOTAL][0]) for c in (n, a))
@@ -308,14 +345,13 @@ class _Rows:
         return out
 
     def entries(self, view: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _joined([_numbers(keys, f[view][1]) for f in self.known])
+        return _joined([_numbers(keys, f[view].keys) for f in self.known])
 
 
 def _numbers(keys: np.ndarray, feature: np.ndarray) -> np.ndarray:
-    """The places in ``keys`` of a document's features."""
+    """The places in ``keys`` of a document's features, which are in order."""
     if not len(keys):
         return np.empty(0, dtype=np.int32)
-    feature = np.unique(feature & _FEATURE)
     at = np.minimum(np.searchsorted(keys, feature), len(keys) - 1)
     return at[keys[at] == feature].astype(np.int32)
 
@@ -339,11 +375,12 @@ class _Tables:
 
         def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                got = [[f.tobytes() for _, f in _views([x], [lang], [source])] for x, lang, source in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                got = [[f.keys.tobytes() for f in _views([x], [lang], [source])] for x, lang, source in zip(texts(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
                 columns = [pa.array([g[i] for g in got], pa.binary()) for i in range(2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "f0", "f1"])
 
-        some = rows.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+        # Of rows that repeat an id the least teaches, whatever the partitioning.
+        some = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source")).alias("r")).select("doc_id", "r.*")
         self.known = written(some.mapInArrow(made, f"doc_id {kind}, f0 binary, f1 binary").join(F.broadcast(chosen), "doc_id").select("doc_id", F.array(*names).alias("y"), "f0", "f1"), "classifier-labelled")
         got = sorted(self.known.select("doc_id", "y", F.xxhash64(F.lit("sample"), "doc_id").alias("r")).collect(), key=lambda r: (r.r, r.doc_id))
         self.at = {r.doc_id: i for i, r in enumerate(got)}
@@ -366,9 +403,11 @@ class _Tables:
             for batch in batches:
                 for d, *f in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     y = shared.value[2][shared.value[1][d]]
-                    both = [np.unique(np.frombuffer(x, dtype=np.uint64) & _FEATURE) for x in f]
                     for slot, tally in enumerate(tallies):
-                        tally.add(both[slot % 2], y[slot // 2 : slot // 2 + 1])
+                        if not np.isnan(y[slot // 2]):
+                            keys, bad = np.frombuffer(f[slot % 2], dtype=np.uint64), int(y[slot // 2])
+                            one = np.ones(len(keys), dtype=np.int64)
+                            tally.add(keys, one, bad * one, 1, bad)
                 if sum(t.size for t in tallies) > 1 << 21:
                     yield from out(tallies)
             yield from out(tallies)
@@ -377,14 +416,9 @@ class _Tables:
             tallies = [_Tally() for _ in range(2 * n_targets)]
             for batch in batches:
                 values, langs, sources = texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                for i in range(0, len(values), 64):
-                    made = _views(values[i : i + 64], langs[i : i + 64], sources[i : i + 64])
-                    given = [y for views in shared.value[0] for y in _taught(views, made, len(values[i : i + 64]), sure)]
-                    for v in range(2):
-                        taught = ~np.isnan(given[v::2]).all(axis=0)
-                        both = _both(*(x[taught[made[v][0]]] for x in made[v]))
-                        for slot in range(v, len(given), 2):
-                            tallies[slot].add(both, given[slot])
+                for c in chunks(values):
+                    made = _views(values[c], langs[c], sources[c])
+                    _teach(tallies, made, [y for views in shared.value[0] for y in _taught(views, made, sure)])
                     if sum(t.size for t in tallies) > 1 << 21:
                         yield from out(tallies)
             yield from out(tallies)
@@ -465,7 +499,12 @@ def co_train(source, rounds: int = 3, features: int = 20_000, sure: float = 0.98
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: int = 10_000, rounds: int = 3, features: int = 20_000) -> Model | None:
     """Fit on at most ``labelled`` labelled rows, those with the least hashes of their ids, and on every other row of ``docs`` as
     unlabelled. Low quality and toxicity are told apart each by models of their own; a document is bad if it is either.
-    Memory of the driver is bounded by the numbers of features of the labelled rows; texts stay in tasks."""
+    Memory of the driver is bounded by the numbers of features of the labelled rows; texts stay in tasks.
+
+    Labels of a null id, or of an id without a document, are not used; of several labels of an id the worst counts. Null
+    texts, languages and sources are values. Of rows that repeat a labelled id the least (text, lang, source) teaches and the
+    others neither teach nor are taught from; other repeated rows count as often as they are there. Ties of the sampling hash
+    go by id. None if there are no labels of both classes, as in empty tables."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg((1 - F.min("quality") > 0).cast("double").alias("low"), (F.max("toxic") > 0).cast("double").alias("toxic")).where("low is not null or toxic is not null")
     chosen = known.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id")), "doc_id").limit(labelled)
     chosen = written(chosen, "classifier-chosen")
@@ -496,8 +535,8 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             else:
                 parts, values = [], texts(batch.column(1))
                 langs, sources = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                for a in range(0, n, 64):
-                    parts.append(m.score(values[a : a + 64], langs[a : a + 64], sources[a : a + 64]))
+                for c in chunks(values):
+                    parts.append(m.score(values[c], langs[c], sources[c]))
                 p = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.empty(0)] * 3
                 got = [pa.array(x) for x in p] + [pa.array(p[2] < reject)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *got, *batch.columns[4:]], ["id", "p_text", "p_record", "p_bad", "kept", "row"][: 5 + carry])
