@@ -1,11 +1,16 @@
 """Quality rules with robust multivariate outliers, in DataFrame functions only.
 
-Per language and source the minimum-covariance-determinant estimate of location and scatter is found by concentration
-steps: start from medians and median deviations, then repeatedly take mean and covariance of the three quarters of
-rows with the least Mahalanobis distances. Rows far from the final estimate are outliers. All that is summed is summed
-before the shuffle, so a hot source costs a row per task; quantiles come from counted steps of a fixed grid, which
-makes them exact to the grid and the same on any partitioning. A group below ``least`` rows takes the estimate of its
-language, and a language below that the estimate of all rows.
+Per language and source the minimum-covariance-determinant estimate of location and scatter is searched from three starts
+(deviations from medians, spatial signs, squashed values). From each start concentration steps take mean and covariance of
+the three quarters of rows with the least Mahalanobis distances, until no determinant changes, and the start with the least
+determinant wins. Rows far from that estimate are outliers.
+
+Every group, however small, is estimated alike: ``pool`` rows' worth of its language's moments are added to its own, and as
+many of all rows' to the language's, so that estimates go over smoothly from the pool to the group.
+
+A step is one pass: moments are summed by group and step of a fixed grid of distances, before the shuffle, so that a hot source
+costs a few hundred rows per task; the grid makes quantiles the same on any partitioning. What rows are joined to, a row per
+group and start, is broadcast up to a checked number of groups and beyond it dealt over salts.
 """
 
 from __future__ import annotations
@@ -15,13 +20,14 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import written
+from keyloom.llm.common import release, written
 
 #: Transformed statistics and the least standard deviation each is given: log words, log mean word length, then roots of
 #: the shares of symbols, repeated lines and repeated words. The last two are small against what a share can reach (1, and
 #: the root of 0.3 that the base rule leaves), so that each alone can exceed the limit where a group has next to no repeats.
 FEATURES = {"f0": 0.30, "f1": 0.06, "f2": 0.05, "f3": 0.10, "f4": 0.06}
-_STEPS, _SHARE, _GRID = 4, 0.75, 256
+_STEPS, _SHARE, _GRID = 20, 0.75, 256  # steps are a bound: a dozen or less reach the fixed point
+_GROUPS, _SALTS = 50_000, 32  # groups that are broadcast at most: 30 MB
 _SPACE = r"[\\x20\\x09-\\x0D]"
 
 
@@ -66,55 +72,147 @@ def _share(a: str, b: str) -> Column:
     return F.sqrt(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0)))
 
 
-def _quantile(df: DataFrame, keys: list[str], step: Column, share: float) -> DataFrame:
-    """The least grid step with at least that share of a group's rows at or below it. Grids are bounded, so groups are."""
-    counts = df.groupBy(*keys, step.alias("step")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys)
-    upto = counts.select(*keys, "step", F.sum("n").over(w.orderBy("step")).alias("upto"), F.sum("n").over(w).alias("all"))
-    return upto.where(F.col("upto") >= F.col("all") * share).groupBy(*keys).agg(F.min("step").alias("step"))
+_N = len(FEATURES)
+_PAIRS = [(i, j) for i in range(_N) for j in range(i + 1)]
 
 
-def _distance(df: DataFrame, g: DataFrame) -> DataFrame:
-    """Append d2, the squared Mahalanobis distance, by forward substitution with the group's Cholesky factor."""
-    names = [*FEATURES]
-    out = df.join(g, "grp", "left")
-    for i, f in enumerate(names):
+def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
+    """The least grid step with at least that share of a group's rows at or below it, from (keys, step, n). Grids are bounded,
+    so groups are."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    sums = counts.groupBy(*keys, "step").agg(F.sum("n").alias("n"))
+    upto = sums.select(*keys, "step", F.sum("n").over(w.orderBy("step")).alias("upto"), F.sum("n").over(w).alias("all"))
+    return upto.where(F.col("upto") >= F.col("all") * share).groupBy(*keys).agg(F.min("step").cast("double").alias("step"), F.max("all").alias("n"))
+
+
+def _pooled_quantile(counts: DataFrame, keys: list[str], share: float, pool: int) -> DataFrame:
+    """(lang, grp, keys, step): each group's own quantile, drawn towards its language's as ``pool`` rows would, and that towards
+    all rows'; from (lang, grp, keys, step, n)."""
+    every = _quantile(counts, keys, share).select(*keys, F.col("step").alias("_a"))
+    by_lang = _quantile(counts, ["lang", *keys], share)
+    by_lang = by_lang.join(every, keys) if keys else by_lang.crossJoin(F.broadcast(every))  # one row
+    by_lang = by_lang.select("lang", *keys, ((F.col("n") * F.col("step") + pool * F.col("_a")) / (F.col("n") + pool)).alias("_l"))
+    own = _quantile(counts, ["lang", "grp", *keys], share).join(by_lang, ["lang", *keys])
+    return own.select("lang", "grp", *keys, ((F.col("n") * F.col("step") + pool * F.col("_l")) / (F.col("n") + pool)).alias("step"))
+
+
+def _met(df: DataFrame, g: DataFrame, small: bool) -> DataFrame:
+    """Rows with what is known of their group: broadcast, if a check of the number of groups allows it, else dealt by salts."""
+    if small:
+        return df.join(F.broadcast(g), "grp")
+    salted = g.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return df.withColumn("_s", F.pmod(F.xxhash64(*FEATURES), F.lit(_SALTS)).cast("int")).join(salted, ["grp", "_s"]).drop("_s")
+
+
+def _distance() -> Column:
+    """The squared Mahalanobis distance, by forward substitution with the group's Cholesky factor l and centre m."""
+    y: list[Column] = []
+    for i, f in enumerate(FEATURES):
         rest = F.col(f) - F.col(f"m{i}")
         for j in range(i):
-            rest = rest - F.col(f"l{i}{j}") * F.col(f"y{j}")
-        out = out.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    drop = [c for c in g.columns if c != "grp"] + [f"y{i}" for i in range(len(names))]
-    return out.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(len(names))), F.lit(0.0))).drop(*drop)
+            rest = rest - F.col(f"l{i}{j}") * y[j]
+        y.append(rest / F.col(f"l{i}{i}"))
+    return sum((v * v for v in y), F.lit(0.0))
 
 
-def _estimate(df: DataFrame) -> DataFrame:
-    """Mean and Cholesky factor of each group's covariance, with the least deviations added to its diagonal."""
-    names = [*FEATURES]
-    p = len(names)
-    g = df.groupBy("grp").agg(*[F.avg(f).alias(f"m{i}") for i, f in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i + 1)])
-    for i in range(p):
+def _step(d2: Column) -> Column:
+    return F.floor(F.log2(d2 + 1e-6) * 32)
+
+
+def _sums(x: list[Column]) -> list[Column]:
+    return [F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i, j in _PAIRS]]
+
+
+_MOMENTS = ["n", *[f"s{i}" for i in range(_N)], *[f"q{i}{j}" for i, j in _PAIRS]]
+
+
+def _added(own: DataFrame, other: DataFrame, on: list[str], pool: int) -> DataFrame:
+    """Moments with ``pool`` rows of another group's average moments added."""
+    more = other.select(*on, *[(F.col(c) * pool / F.col("n")).alias(f"_{c}") for c in _MOMENTS])
+    return own.join(more, on).select(*[c for c in own.columns if c not in _MOMENTS], *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in _MOMENTS])
+
+
+def _pooled(moments: DataFrame, pool: int) -> DataFrame:
+    """Moments (lang, grp, start, …) of groups, with those of their language and of all rows added."""
+    by_lang = moments.groupBy("lang", "start").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+    every = by_lang.groupBy("start").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+    return _added(moments, _added(by_lang, every, ["start"], pool), ["lang", "start"], pool)
+
+
+def _factor(g: DataFrame, floors: list[Column]) -> DataFrame:
+    """Means m, the Cholesky factor l of the covariance with the least variances added to its diagonal, and ``det``, the log of
+    its determinant."""
+    g = g.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(_N)})
+    for i in range(_N):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (FEATURES[names[i]] ** 2 if i == j else 0.0)
+            rest = F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (floors[i] if i == j else 0.0)
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             g = g.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return g.select("grp", *[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i in range(p) for j in range(i + 1)])
+    return g.withColumn("det", sum((2 * F.log(f"l{i}{i}") for i in range(_N)), F.lit(0.0))).drop(*_MOMENTS)
 
 
-def _d2_step() -> Column:
-    return F.floor(F.log2(F.col("d2") + 1e-6) * 32)
+_MODEL = [*[f"m{i}" for i in range(_N)], *[f"l{i}{j}" for i, j in _PAIRS]]
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = 0.99999, least: int = 100) -> DataFrame:
+def minimum_determinant(train: DataFrame, pool: int = 30, most_steps: int = _STEPS) -> tuple[DataFrame, bool]:
+    """(lang, grp, start, det, m…, l…), the estimate of each group of rows (lang, grp, f0…), and whether groups may be broadcast."""
+    small = train.select("grp").distinct().count() <= _GROUPS
+    names = [*FEATURES]
+    value = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("x")) for i, f in enumerate(names)])).alias("v")
+
+    def wide(t: DataFrame, prefix: str) -> DataFrame:
+        return t.groupBy("lang", "grp").agg(*[F.max(F.when(F.col("i") == i, F.col("step"))).alias(f"{prefix}{i}") for i in range(_N)])
+
+    def quantiles(rows: DataFrame, x) -> DataFrame:
+        long = rows.select("*", value).select("lang", "grp", F.col("v.i").alias("i"), F.floor(x * _GRID).alias("step"))
+        return _pooled_quantile(long.groupBy("lang", "grp", "i", "step").agg(F.count(F.lit(1)).alias("n")), ["i"], 0.5, pool)
+
+    medians = written(wide(quantiles(train, F.col("v.x")), "c").select("lang", "grp", *[((F.col(f"c{i}") + 0.5) / _GRID).alias(f"c{i}") for i in range(_N)]), "quality-medians")
+    at = F.element_at(F.array(*[F.col(f"c{i}") for i in range(_N)]), F.col("v.i") + 1)
+    spreads = wide(quantiles(_met(train, medians.drop("lang"), small), F.abs(F.col("v.x") - at)), "d")
+    floors = [F.lit(v * v) for v in FEATURES.values()]
+    spread = [F.greatest((F.col(f"d{i}") + 0.5) / _GRID * 1.4826, F.lit(v)).alias(f"d{i}") for i, v in enumerate(FEATURES.values())]
+    centres = written(medians.join(spreads, ["lang", "grp"]).select("lang", "grp", *[f"c{i}" for i in range(_N)], *spread), "quality-centres")
+    # Start 0: deviations alone. 1: directions from the centre. 2: values squashed one by one. Shapes are found in units of deviations.
+    z = [(F.col(f) - F.col(f"c{i}")) / F.col(f"d{i}") for i, f in enumerate(names)]
+    length = F.sqrt(sum((v * v for v in z), F.lit(1e-12)))
+    kinds = F.explode(F.array(F.struct(F.lit(1).alias("start"), *[(v / length).alias(f"z{i}") for i, v in enumerate(z)]), F.struct(F.lit(2).alias("start"), *[F.tanh(v).alias(f"z{i}") for i, v in enumerate(z)]))).alias("k")
+    shaped = _met(train, centres.drop("lang"), small).select("lang", "grp", kinds).select("lang", "grp", "k.*").groupBy("lang", "grp", "start").agg(*_sums([F.col(f"z{i}") for i in range(_N)]))
+    shapes = _factor(_pooled(shaped, pool), [F.lit(0.01)] * _N).join(centres, ["lang", "grp"])
+    turned = shapes.select("lang", "grp", "start", *[F.col(f"c{i}").alias(f"m{i}") for i in range(_N)], *[(F.col(f"l{i}{j}") * F.col(f"d{i}")).alias(f"l{i}{j}") for i, j in _PAIRS])
+    plain = centres.select("lang", "grp", F.lit(0).alias("start"), *[F.col(f"c{i}").alias(f"m{i}") for i in range(_N)], *[(F.col(f"d{i}") if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in _PAIRS])
+    now = written(plain.unionByName(turned).withColumn("det", F.lit(float("inf"))), "quality-step")
+    release(medians)
+    x = [F.col(f) for f in names]
+    for _ in range(most_steps):
+        stepped = _met(train, now.drop("lang"), small).groupBy("lang", "grp", "start", _step(_distance()).alias("step")).agg(*_sums(x))
+        w = Window.partitionBy("lang", "grp", "start")
+        ranked = stepped.select("*", (F.sum("n").over(w.orderBy("step")) - F.col("n")).alias("_before"), F.sum("n").over(w).alias("_all"))
+        near = ranked.where(F.col("_before") < F.col("_all") * _SHARE).groupBy("lang", "grp", "start").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+        new = _factor(_pooled(near, pool), floors).join(now.select("lang", "grp", "start", F.col("det").alias("was")), ["lang", "grp", "start"])
+        new = written(new, "quality-step")
+        release(now)
+        now = new
+        if not (now.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0] or 0) > 1e-9:  # one number
+            break
+    best = now.groupBy("lang", "grp").agg(F.min_by(F.struct("start", "det", *_MODEL), F.struct(F.round("det", 9), "start")).alias("b"))
+    out = written(best.select("lang", "grp", "b.*"), "quality-estimates")
+    release(now)
+    release(centres)
+    return out, small
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = 0.99999, pool: int = 30) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, d2) for every row of ``docs``.
 
     ``base_failed``: below 20 words, or over 30 % of the words in 8-word windows that the text repeats. ``kept``: not
     that, and a squared distance within the chi-squared quantile ``cutoff``, scaled so that the median distance of the
-    group is the expected one. Null texts are empty (and fail), null languages and sources are groups of their own, ids
-    may be null or repeat: rows are judged one by one. Equal windows are told by 64-bit hashes within one text.
-    Only the columns named are read. An empty table gives no rows.
+    group (drawn towards its language's as ``pool`` rows would) is the expected one. Null texts are empty (and fail), null
+    languages and sources are groups of their own, ids may be null or repeat: rows are judged one by one, and rows that fail
+    the base rule do not count in estimates. Equal windows are told by 64-bit hashes within one text. Only the columns named
+    are read. An empty table gives no rows.
     """
-    p = len(FEATURES)
     base = statistics(docs, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     rows = written(
@@ -126,42 +224,19 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
                 "f2": _share("n_symbols", "word_chars"),
                 "f3": _share("n_dup_lines", "n_lines"),
                 "f4": _share("n_repeat_words", "n_words"),
+                "grp": F.concat(F.length("lang").cast("string"), "lang", "source"),
             }
-        ),
+        ).drop("source"),
         "quality",
     )
-    sizes = rows.where("NOT base_failed").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    by_lang = sizes.groupBy("lang").agg(F.sum("n").alias("of_lang"))
-    group = F.when(F.col("n") >= least, F.concat(F.lit("s"), F.length("lang").cast("string"), F.col("lang"), F.col("source"))).when(F.col("of_lang") >= least, F.concat(F.lit("l"), F.col("lang"))).otherwise(F.lit("all"))
-    # Where rows go for their verdict, and the groups to whose estimates they add: the own one, and what pools need.
-    own = written(sizes.join(by_lang, "lang").select("lang", "source", group.alias("grp"), F.concat(F.lit("s"), F.length("lang").cast("string"), F.col("lang"), F.col("source")).alias("g_source"), F.concat(F.lit("l"), "lang").alias("g_lang")), "quality-groups")
-    used = [r[0][:1] for r in own.select(F.substring("grp", 1, 1)).distinct().collect()]  # at most three letters
-    kinds = [c for c, k in ((F.col("g_source"), "s"), (F.col("g_lang"), "l"), (F.lit("all"), "a")) if k in used]
-    if not kinds:
-        kinds = [F.lit("all")]
-    train = rows.where("NOT base_failed").select("lang", "source", *FEATURES).join(own, ["lang", "source"]).select(F.explode(F.array(*kinds)).alias("grp"), *FEATURES)
-    long = train.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f).alias("x")) for i, f in enumerate(FEATURES)])).alias("v")).select("grp", "v.i", "v.x")
-    medians = written(_quantile(long, ["grp", "i"], F.floor(F.col("x") * _GRID), 0.5).withColumnRenamed("step", "median"), "quality-medians")
-    spreads = _quantile(long.join(medians, ["grp", "i"]), ["grp", "i"], F.floor(F.abs(F.col("x") * _GRID - F.col("median"))), 0.5)
-    start = medians.join(spreads, ["grp", "i"]).groupBy("grp")
-    centre = start.agg(
-        *[F.max(F.when(F.col("i") == i, (F.col("median") + 0.5) / _GRID)).alias(f"m{i}") for i in range(p)],
-        *[
-            (F.greatest(F.max(F.when(F.col("i") == i, F.col("step") / _GRID * 1.4826)), F.lit(floor)) if i == j else F.lit(0.0)).alias(f"l{i}{j}")
-            for i, floor in enumerate(FEATURES.values())
-            for j in range(i + 1)
-        ],
-    )
-    now = written(centre, "quality-step")
-    for _ in range(_STEPS):
-        at = _distance(train, now).withColumn("step", _d2_step())
-        near = _quantile(at, ["grp"], F.col("step"), _SHARE).withColumnRenamed("step", "most")
-        now = written(_estimate(at.join(near, "grp").where("step <= most")), "quality-step")
-    middle = _quantile(_distance(train, now), ["grp"], _d2_step(), 0.5)
-    limit = chi2_quantile(cutoff, p)
-    scale = middle.select("grp", F.greatest(F.pow(F.lit(2.0), (F.col("step") + 0.5) / 32) / chi2_quantile(0.5, p), F.lit(1.0)).alias("scale"))
-    final = written(now.join(scale, "grp"), "quality-final")
-    names = [r for r in final.columns if r not in ("grp", "scale")]
-    d = _distance(rows.join(own.select("lang", "source", "grp"), ["lang", "source"], "left"), final.select("grp", *names)).join(final.select("grp", "scale"), "grp", "left")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") / F.col("scale") <= limit, F.lit(True))
-    return d.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), (F.col("d2") / F.col("scale")).alias("d2"))
+    train = rows.where("NOT base_failed").select("lang", "grp", *FEATURES)
+    model, small = minimum_determinant(train, pool)
+    at = _met(train, model.drop("lang"), small).groupBy("lang", "grp", _step(_distance()).alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    scale = F.greatest(F.pow(F.lit(2.0), (F.col("step") + 0.5) / 32) / chi2_quantile(0.5, _N), F.lit(1.0))
+    final = written(model.join(_pooled_quantile(at, [], 0.5, pool).select("grp", scale.alias("scale")), "grp").select("grp", "scale", *_MODEL), "quality-final")
+    release(model)
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    good = _met(rows.where("NOT base_failed"), final, small).select(F.col("id").alias(id_col), *counts, "base_failed", (_distance() / F.col("scale")).alias("d2"))
+    bad = rows.where("base_failed").select(F.col("id").alias(id_col), *counts, "base_failed", F.lit(None).cast("double").alias("d2"))
+    kept = F.coalesce(F.col("d2") <= chi2_quantile(cutoff, _N), F.lit(False)).alias("kept")
+    return good.unionByName(bad).select(id_col, *counts, "base_failed", kept, "d2")

@@ -9,7 +9,7 @@ import pytest
 from keyloom.llm import registry
 from keyloom.llm.chat import CONTROL, TEMPLATE, TemplateError, compile_template, escape, fold, format_conversations, parse, read_back, unescape
 from keyloom.llm.quality_classifier import co_train, fit, score
-from keyloom.llm.quality_rules import FEATURES, chi2_quantile, judged
+from keyloom.llm.quality_rules import FEATURES, judged, minimum_determinant
 from keyloom.llm.token_counts import Counter, count_tokens, rank_scores
 from tests.llm.helpers import SF, odd_documents, same_as_sql
 
@@ -30,52 +30,75 @@ def brute_counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered), len(lines)
 
 
-def brute_verdicts(rows, least=100, cutoff=0.99999):
-    """The estimator in numpy, on (text, lang, source) rows."""
-    counts = [brute_counts(r[0]) for r in rows]
+def features(counts):
     ratio = lambda a, b: a / b if b else 0.0
-    x = np.array([[np.log1p(n), np.log1p(ratio(c, n)), ratio(s, c) ** 0.5, ratio(d, k) ** 0.5, ratio(r, n) ** 0.5] for n, c, s, d, r, k in counts])
-    failed = np.array([n < 20 or 100 * r > 30 * n for n, c, s, d, r, k in counts])
-    floors = np.array([*FEATURES.values()])
-    source, lang = np.array([repr(r[1:]) for r in rows]), np.array([repr(r[1]) for r in rows])
-    step = lambda v, share: np.sort(v, axis=0)[int(np.ceil(share * len(v))) - 1]
-    out = ~failed
-    cache = {}
-    for i in np.flatnonzero(~failed):
-        mine = ~failed & (source == source[i])
-        if mine.sum() < least:
-            mine = ~failed & (lang == lang[i])
-        if mine.sum() < least:
-            mine = ~failed
-        key = mine.tobytes()
-        if key not in cache:
-            t = x[mine]
-            med = step(np.floor(t * 256), 0.5)
-            spread = step(np.floor(np.abs(t * 256 - med)), 0.5)
-            m, cov = (med + 0.5) / 256, np.diag(np.maximum(spread / 256 * 1.4826, floors) ** 2)
-            d2 = lambda v, m, c: np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c), v - m)
-            grid = lambda d: np.floor(np.log2(d + 1e-6) * 32)
-            for _ in range(4):
-                g = grid(d2(t, m, cov))
-                near = t[g <= step(g, 0.75)]
-                m, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(floors**2)
-            scale = max(1.0, 2 ** ((step(grid(d2(t, m, cov)), 0.5) + 0.5) / 32) / chi2_quantile(0.5, 5))
-            cache[key] = (m, cov, scale, d2)
-        m, cov, scale, d2 = cache[key]
-        out[i] = d2(x[i : i + 1], m, cov)[0] / scale <= chi2_quantile(cutoff, 5)
-    return counts, failed, out
-
-
-def test_quality_rules_match_brute_force(spark):
+    return np.array([[np.log1p(n), np.log1p(ratio(c, n)), ratio(s, c) ** 0.5, ratio(d, k) ** 0.5, ratio(r, n) ** 0.5] for n, c, s, d, r, k in counts])
+
+
+def many_starts(x, floors, share=0.75, starts=200, seed=0):
+    """An independent search for the least determinant: random starts, plain steps on exact ranks, no pool and no grid."""
+    rnd, h, best = np.random.default_rng(seed), int(np.ceil(share * len(x))), None
+    for _ in range(starts):
+        pick = rnd.choice(len(x), size=min(len(x), 6), replace=False)
+        was = None
+        while True:
+            m, cov = x[pick].mean(0), np.cov(x[pick].T, bias=True) + np.diag(floors**2)
+            det = np.linalg.slogdet(cov)[1]
+            if len(pick) == h and was is not None and was - det < 1e-9:
+                break
+            was = det if len(pick) == h else None
+            d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+            pick = np.argsort(d2, kind="stable")[:h]
+        if best is None or det < best[0]:
+            best = (det, m, cov)
+    return best
+
+
+def test_quality_rules_counts_match_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
-    counts, failed, kept = brute_verdicts([(r.text, r.lang, r.source) for r in docs])
     got = {r.doc_id: r for r in registry.op7_quality_rules(spark, sf).collect()}
     assert len(got) == len(docs)
-    for d, c, f, k in zip(docs, counts, failed, kept, strict=True):
-        r = got[d.doc_id]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed, r.kept) == (*c[:5], f, k)
-    assert 0 < sum(~kept & ~failed) < 0.2 * len(docs)
+    for d in docs:
+        r, c = got[d.doc_id], brute_counts(d.text)
+        failed = c[0] < 20 or 100 * c[4] > 30 * c[0]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (*c[:5], failed) and not (failed and r.kept)
+    passed = [r for r in got.values() if not r.base_failed]
+    assert 0 < sum(not r.kept for r in passed) < 0.2 * len(docs)
+
+
+def clouds(seed=4):
+    """Groups of 400, 150 and 40 rows, a quarter of each a tight cluster away from the rest."""
+    rnd = np.random.default_rng(seed)
+    mixed = np.array([[0.5, 0, 0, 0, 0], [0.1, 0.1, 0, 0, 0], [0, 0.02, 0.05, 0, 0], [0, 0, 0.01, 0.1, 0], [0, 0, 0, 0.02, 0.08]])
+    out = {}
+    for name, n in (("a", 400), ("b", 150), ("c", 40)):
+        body = rnd.normal(size=(n * 8 // 10, 5)) @ mixed.T + np.array([6.0, 1.8, 0.1, 0.1, 0.1])
+        odd = rnd.normal(size=(n - len(body), 5)) * 0.02 + np.array([9.0, 2.6, 0.9, 0.9, 0.5])
+        out[name] = np.concatenate([body, odd])
+    return out
+
+
+def test_determinants_are_as_small_as_those_of_many_random_starts(spark):
+    groups, floors = clouds(), np.array([*FEATURES.values()])
+    rows = [("en", g, *map(float, x)) for g, xs in groups.items() for x in xs]
+    train = spark.createDataFrame(rows, "lang string, grp string, f0 double, f1 double, f2 double, f3 double, f4 double").repartition(5)
+    got = {r.grp: r for r in minimum_determinant(train, pool=0)[0].collect()}
+    for g, x in groups.items():
+        det, m, cov = many_starts(x, floors)
+        assert got[g].det <= det + 0.1
+        assert np.abs(np.array([got[g][f"m{i}"] for i in range(5)]) - m).max() < 0.15
+
+
+def test_estimates_go_over_smoothly_from_the_pool_to_the_group(spark):
+    rnd = np.random.default_rng(1)
+    base = rnd.normal(size=(2000, 5)) * 0.1
+    far = []
+    for n in (5, 99, 101, 1000):
+        rows = [("en", "big", *map(float, x)) for x in base] + [("en", "own", *map(float, x + 1)) for x in rnd.normal(size=(n, 5)) * 0.1]
+        train = spark.createDataFrame(rows, "lang string, grp string, f0 double, f1 double, f2 double, f3 double, f4 double")
+        far.append({r.grp: r.m0 for r in minimum_determinant(train, pool=30)[0].collect()}["own"])
+    assert 0 < far[0] < 0.5 and far[0] < far[1] and far[-1] > 0.9 and abs(far[2] - far[1]) < 0.05
 
 
 def test_quality_rules_cases(spark):
