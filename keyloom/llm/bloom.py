@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 _SHARD_BITS = 6
 _PROBES = 4
+_MANY, _CROWD, _NAMED = 64, 1024, 4096  # a buffer's count worth telling, a count that makes a crowd, crowds told by a shard at most
 
 
 def size_for(expected: int, least: int = 1 << 20, most: int = 1 << 29) -> int:
@@ -63,8 +64,10 @@ def _of(name: str, broadcast, bits: int) -> Repeated:
     return _loaded[name]
 
 
-def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int, buffer: int = 1 << 20):
-    """Broadcast the filter of hashes that ``hashes`` gives at least twice over all of ``docs``, as a function to call in tasks."""
+def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int, buffer: int = 1 << 20, crowd: bool = False):
+    """Broadcast the filter of hashes that ``hashes`` gives at least twice over all of ``docs``, as a function to call in tasks.
+    With ``crowd``, also the sorted hashes that are there very often (the most frequent of each shard, 2 MB at most), for callers
+    that deal these out in another way; they are no more than a hint."""
     spark = docs.sparkSession
     n = 1 << _SHARD_BITS
 
@@ -73,11 +76,13 @@ def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarr
         shard = (h >> np.uint64(64 - _SHARD_BITS)).astype(np.int64)
         cuts = np.searchsorted(shard, np.arange(n + 1))
         twice = count > 1
-        one, two = [], []
+        one, two, many = [], [], []
         for a, b in zip(cuts, cuts[1:], strict=False):
             one.append(h[a:b][~twice[a:b]].tobytes())
             two.append(h[a:b][twice[a:b]].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array(one, pa.binary()), pa.array(two, pa.binary())], ["shard", "one", "two"])
+            often = count[a:b] >= _MANY
+            many.append(np.stack([h[a:b][often], count[a:b][often].astype(np.uint64)], axis=1).tobytes() if crowd else b"")
+        return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), *[pa.array(c, pa.binary()) for c in (one, two, many)]], ["shard", "one", "two", "many"])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -93,17 +98,22 @@ def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarr
             yield flush(held)
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, once, twice = None, None, None
+        now, once, twice, often = None, None, None, {}
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary())], ["shard", "bits"])
+            crowds = sorted(((c, x) for x, c in often.items() if c >= _CROWD), reverse=True)[:_NAMED]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([zlib.compress(np.packbits(twice, bitorder="little").tobytes(), 1)], pa.binary()), pa.array([np.array([x for _, x in crowds], dtype=np.uint64).tobytes()], pa.binary())], ["shard", "bits", "crowds"])
 
         for batch in batches:
-            for shard, one, two in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for shard, one, two, many in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if shard != now:
                     if now is not None:
                         yield done()
-                    now, once, twice = shard, np.zeros(bits >> _SHARD_BITS, dtype=bool), np.zeros(bits >> _SHARD_BITS, dtype=bool)
+                    now, once, twice, often = shard, np.zeros(bits >> _SHARD_BITS, dtype=bool), np.zeros(bits >> _SHARD_BITS, dtype=bool), {}
+                for x, c in np.frombuffer(many, dtype=np.uint64).reshape(-1, 2).tolist():
+                    often[x] = often.get(x, 0) + c
+                if len(often) > 32 * _NAMED:
+                    often = dict(sorted(often.items(), key=lambda i: -i[1])[: 16 * _NAMED])
                 for raw, sure in ((one, False), (two, True)):
                     probes = _places(np.frombuffer(raw, dtype=np.uint64), bits)[1]
                     seen = np.ones(len(raw) // 8, dtype=bool)
@@ -116,8 +126,8 @@ def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarr
         if now is not None:
             yield done()
 
-    sent = docs.mapInArrow(send, "shard int, one binary, two binary").where((F.length("one") > 0) | (F.length("two") > 0))
-    rows = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(own, "shard int, bits binary").collect()  # 64 rows
+    sent = docs.mapInArrow(send, "shard int, one binary, two binary, many binary").where((F.length("one") > 0) | (F.length("two") > 0))
+    rows = sent.repartition("shard").sortWithinPartitions("shard").mapInArrow(own, "shard int, bits binary, crowds binary").collect()  # 64 rows
     shared = spark.sparkContext.broadcast({r.shard: bytes(r.bits) for r in rows})
 
     name = uuid.uuid4().hex
@@ -125,4 +135,6 @@ def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarr
     def has(h: np.ndarray) -> np.ndarray:
         return _of(name, shared, bits).has(h)
 
-    return has
+    if not crowd:
+        return has
+    return has, np.sort(np.concatenate([np.empty(0, dtype=np.uint64), *[np.frombuffer(r.crowds, dtype=np.uint64) for r in rows]]))

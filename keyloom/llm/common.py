@@ -126,11 +126,13 @@ def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each word, eight bytes at a time."""
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of the bytes of each word, eight bytes at a time; with another seed other steps are taken from the first byte
+    on, so that what collides under one does not under another."""
     n = len(starts)
     length = ends - starts
-    out = length.astype(np.uint64) * _BASE
+    base = _BASE + np.uint64(2 * seed * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF) if seed else _BASE
+    out = length.astype(np.uint64) * base
     if n == 0:
         return out
     pad = np.zeros(len(buf) + 8, dtype=np.uint8)
@@ -146,7 +148,7 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         if short.any():
             keep = np.where(short, full >> ((8 - np.minimum(left, 8)) * 8).astype(np.uint64), full)
             got = got & keep
-        out[live] = mix((out[live] ^ got) * _BASE + np.uint64(0x2545F4914F6CDD1D))
+        out[live] = mix((out[live] ^ got) * base + np.uint64(0x2545F4914F6CDD1D))
         more = left > 8
         live, at, left = live[more], at[more] + 8, left[more] - 8
     return out

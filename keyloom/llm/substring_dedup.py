@@ -1,14 +1,21 @@
-"""Repeated passages by a join of the fingerprints of all windows, in place of relative Lempel-Ziv parsing.
+"""Repeated passages by relative Lempel-Ziv parsing over windows of words.
 
-Every run of ``window`` words is fingerprinted and sent by an anchor, the least hash of its 16-word runs, so all copies of
-a window meet in one task. Windows that are found twice are hits, and neighbouring hits of a document are merged into
-spans. No reference block is indexed and no document is factored: a greedy factor could hide a repeated window that
-straddles two, and every repeated window is to be found.
+The letters of the parse are the windows themselves: a document is the sequence of its runs of ``window`` words, each
+overlapping the next. A document is factored greedily, each factor the longest run of letters that an indexed reference block has
+anywhere else, so a factor of one letter is just long enough to count, and a factor of n letters covers n + window - 1
+words. Two factors that follow each other share the words of the letters between them: every window that straddles a factor's
+end is a letter and is looked up like the others, so that no repeated window is hidden by where a factor ends.
 
-1. Anchors feed a pair of Bloom filters; phrases whose anchor is not repeated cannot be repeated and go no further.
-2. The other phrases travel as 128-bit fingerprints, runs with one anchor in one row. A task settles what it holds
-   twice itself and sends one witness for it, so that a passage of a third of all documents costs one row per task.
-3. Blocks stream anchor by anchor (Spark's sort spills, the block does not grow) and return spans by document.
+1. Letters are 128-bit fingerprints, made of two independent hashes of every word.
+2. Reference blocks are dealt out by content. Each letter has an anchor, the least hash of its 16-word runs, and the block of
+   an anchor indexes all letters that have it, so that a document need be factored against no other block. Anchors feed a
+   pair of Bloom filters; a run whose anchor is not repeated is a literal and goes no further.
+3. Letters of an anchor that very many rows share (a boilerplate shorter than a window, among others) are dealt by their own
+   fingerprints instead, so that no anchor is one task's.
+4. A task settles what it holds twice itself and sends one witness for it, so that a passage of a third of all documents
+   costs one row per task.
+5. A block is indexed by a suffix array of its letters, and all its phrases are factored at once. Blocks stream (Spark's sort
+   spills, a block does not grow) and return factors by document.
 """
 
 from __future__ import annotations
@@ -46,6 +53,7 @@ class _Words:
     def __init__(self, values: list[bytes]):
         buf = np.frombuffer(b"\n".join(values), dtype=np.uint8)
         starts, ends = word_bounds(buf)
+        self.buf, self.starts, self.ends = buf, starts, ends
         self.hashes = word_hashes(buf, starts, ends)
         sizes = np.array([len(v) + 1 for v in values], dtype=np.int64)
         self.first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
@@ -62,6 +70,53 @@ def _anchors(w: _Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarra
     return runs, _sliding(runs, window - anchor + 1, np.minimum), w.whole(window)
 
 
+def longest_elsewhere(letter: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each place of phrases of ``n`` letters, one after another: how many letters from there on are found at some other
+    place too, as far as phrases go. By a suffix array of the phrases, made by doubling, and common prefixes of neighbours in it."""
+    total = len(letter)
+    left = np.repeat(np.cumsum(n), n) - np.arange(total)  # letters to the phrase's end
+    ranks, span, most = [letter + 1], 1, int(n.max())
+    while span < most:
+        last = ranks[-1]
+        after = np.zeros(total, dtype=np.int64)
+        inside = np.flatnonzero(left > span)
+        after[inside] = last[inside + span]
+        pair = last * (total + 2) + after
+        order = np.argsort(pair, kind="stable")
+        rank = np.empty(total, dtype=np.int64)
+        rank[order] = np.cumsum(np.concatenate([[1], pair[order][1:] != pair[order][:-1]]))
+        ranks.append(rank)
+        span *= 2
+    order = np.argsort(ranks[-1], kind="stable")
+    a, b = order[:-1], order[1:]
+    common = np.zeros(max(0, total - 1), dtype=np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        step = 1 << k
+        fits = np.flatnonzero((left[a] - common >= step) & (left[b] - common >= step))
+        same = fits[ranks[k][a[fits] + common[fits]] == ranks[k][b[fits] + common[fits]]]
+        common[same] += step
+    out = np.zeros(total, dtype=np.int64)
+    out[a] = common
+    out[b] = np.maximum(out[b], common)
+    return out
+
+
+def factors(longest: np.ndarray, n: np.ndarray, parsed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, place in it, letters) of the factors of a greedy parse from the left; places without a match are literals."""
+    first = np.cumsum(n) - n
+    row = np.flatnonzero(parsed & (n > 0))
+    place = np.zeros(len(row), dtype=np.int64)
+    found = []
+    while len(row):
+        length = longest[first[row] + place]
+        hit = length > 0
+        found.append((row[hit], place[hit], length[hit]))
+        place = place + np.maximum(length, 1)
+        on = place < n[row]
+        row, place = row[on], place[on]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (row, place, place)
+
+
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, bits: int | None = None, layout: bool = False) -> DataFrame:
     """(id, text, n_words, n_removed): the words that are in no repeated passage, joined by one space. With ``layout`` a text
     that loses no word stays as it is, white space included.
@@ -89,7 +144,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
         around = _sliding(np.concatenate([np.zeros(span - 1, dtype=np.uint64), some, np.zeros(span - 1, dtype=np.uint64)]), span, np.maximum)
         return runs[(around == runs) & (runs > 0)]
 
-    has = repeated_hashes(rows, hashes, bits)
+    has, crowded = repeated_hashes(rows, hashes, bits, crowd=True)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -102,8 +157,10 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
             at = at[has(least[at])]
             if not len(at):
                 return
-            one, two = rolling(w.hashes, window)[at], rolling(w.hashes, window, seed=1)[at]
+            one, two = rolling(w.hashes, window)[at], rolling(word_hashes(w.buf, w.starts, w.ends, seed=1), window, seed=1)[at]
             v, doc = least[at], w.doc[at]
+            hot = np.isin(v, crowded)
+            v = np.where(hot, mix(one), v)
             order = np.lexsort((two, one))
             same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
             first = np.concatenate([[True], ~same])
@@ -161,19 +218,14 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
                 n = np.array([r[5] for r in open_])
                 order = np.lexsort((prints[:, 1], prints[:, 0]))
                 p = prints[order]
-                group = np.concatenate([[0], np.cumsum((p[1:] != p[:-1]).any(axis=1))])
-                weight = np.repeat(np.array([1 + r[0] for r in open_]), n)
-                found = np.empty(len(p), dtype=bool)
-                found[order] = np.bincount(group, weights=weight[order])[group] > 1
-                row = np.repeat(np.arange(len(open_)), n)
-                place = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.array([r[4] for r in open_]), n)
-                hit = np.flatnonzero(found & np.repeat(np.array([r[0] == 0 for r in open_]), n))
-                if len(hit):
-                    new = np.concatenate([[True], (np.diff(hit) != 1) | (np.diff(row[hit]) != 0)])
-                    heads = np.flatnonzero(new)
-                    tails = np.concatenate([heads[1:], [len(hit)]]) - 1
-                    bounds = np.stack([place[hit[heads]], place[hit[tails]] + window], axis=1).astype(np.int32)
-                    out += [(open_[r][2], open_[r][3], b.tobytes()) for r, b in zip(row[hit[heads]].tolist(), bounds, strict=True)]
+                letter = np.empty(len(p), dtype=np.int64)
+                letter[order] = np.concatenate([[0], np.cumsum((p[1:] != p[:-1]).any(axis=1))])
+                # A witness stands for letters that its task has more than once: it is text of the block, but is not factored.
+                longest = longest_elsewhere(letter, n)
+                row, place, length = factors(longest, n, np.array([r[0] == 0 for r in open_]))
+                begin = np.array([r[4] for r in open_])[row] + place
+                bounds = np.stack([begin, begin + length + window - 1], axis=1).astype(np.int32)
+                out += [(open_[r][2], open_[r][3], b.tobytes()) for r, b in zip(row.tolist(), bounds, strict=True)]
             if not out:
                 return None
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["_k1", "_k2", "span"])
