@@ -26,6 +26,7 @@ from keyloom.llm.common import bounded_batches, mix, release, rolling, row_key,
 _PLACES = 1 << 20
 _PER_TASK = 256
 _BLOCK = 1 << 19  # shingles of one side of a block
+_SETS = 2048  # sets of one side of a block
 _CELLS = 1 << 22
 
 
@@ -114,7 +115,7 @@ def _links(names: list, labels: list, sets: list[np.ndarray], threshold: int) ->
     owner, column = owner[common], column[common]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    inter = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    inter = np.zeros((len(sets), len(sets)), dtype=np.float64 if n.max() >= 1 << 24 else np.float32)
     columns = int(column[-1]) + 1 if len(column) else 0
     width = min(columns, max(64, _CELLS // len(sets)))
     for at in range(0, columns, max(1, width)):
@@ -122,6 +123,8 @@ def _links(names: list, labels: list, sets: list[np.ndarray], threshold: int) ->
         dense = np.zeros((len(sets), width), dtype=np.float32)
         dense[owner[a:b], column[a:b] - at] = 1
         inter += dense @ dense.T
+    # Counts up to 2**24 are exact in float32; a block has no more shingles of one set than that, unless a set alone does.
+    inter = inter.astype(np.int64)
     linked = 100 * inter >= threshold * (n[:, None] + n[None, :] - inter)
     x, y = np.nonzero(np.triu(linked, 1))
     apart = label[x] != label[y]
@@ -218,7 +221,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     beside = buckets.repartitionByRange(*order).sortWithinPartitions(*order).select("band", "class", "n").mapInArrow(neighbours, "a binary, b binary")
     labels = connected(verified(written(to_centre.unionByName(beside).distinct(), "minhash-pairs")))
     of = written(buckets.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select("band", "class", "n", F.coalesce("label", "class").alias("label")), "minhash-labels")
-    mixed = of.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("total")).where("low <> high")
+    mixed = of.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("sets")).where("low <> high")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, names, labels_, sets = None, [], [], []
@@ -235,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if now is not None:
             yield from _links(names, labels_, sets, threshold)
 
-    size = mixed.select("band", F.ceil(F.col("total") / _BLOCK).cast("int").alias("parts"))
+    size = mixed.select("band", F.greatest(F.ceil(F.col("total") / _BLOCK), F.ceil(F.col("sets") / _SETS)).cast("int").alias("parts"))
     dealt = of.join(size, "band").withColumn("p", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     blocks = dealt.select("band", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "class", "label").join(held, "class")
     found = blocks.select("band", "i", "j", "class", "label", "text").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j", "class").mapInArrow(across, "a binary, b binary")
