@@ -2,9 +2,10 @@
 
 1. Every task inserts its own texts into a trie and keeps one row for each distinct text, so that a text with very many
    copies travels once per task and not once per copy.
-2. Those rows go to the owner of their (length, hash), sorted by it. A key of the owner's trie is length, hash, then the
-   text, so the rows arrive subtree by subtree: a subtree is complete when the next one begins, and complete subtrees
-   leave memory when the trie is over its limit. Spark's sort, which spills, is what holds the rest.
+2. Those rows go to the owner of their (length, hash), which inserts the whole texts. They arrive sorted by the first bytes
+   of the text, then by length and hash, so the trie grows subtree by subtree: what lies under the first bytes, length and
+   hash that went before is complete when the next begins, and complete subtrees leave memory, as verdicts, when the trie is
+   over its limit. Spark's sort, which spills, is what holds the rest.
 3. Terminal nodes hold the best row, and which local texts ended there.
 
 Hashes only decide the owner; texts are equal when their bytes are.
@@ -26,6 +27,7 @@ from keyloom.llm.common import bounded_batches, texts, written
 
 _LOCAL_BYTES = 48 << 20
 _OWNER_BYTES = 32 << 20
+_HEAD = 16  # bytes of a text that rows are sorted by first
 
 
 class _Node:
@@ -91,7 +93,7 @@ def _local(docs: DataFrame, id_col: str, text_col: str, largest: bool, members:
     others = [c for c in docs.columns if c != text_col]
     row = F.struct(*[F.col(f"`{c}`") for c in others])
     carried = docs.select(row.alias("r")).schema["r"].dataType
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", kind), T.StructField("local", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("n", T.LongType()), T.StructField("len", T.LongType()), T.StructField("h", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("text", T.BinaryType()), T.StructField("was_null", T.BooleanType()), T.StructField("row", carried)])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("id", kind), T.StructField("local", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("n", T.LongType()), T.StructField("head", T.BinaryType()), T.StructField("len", T.LongType()), T.StructField("h", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("text", T.BinaryType()), T.StructField("was_null", T.BooleanType()), T.StructField("row", carried)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
@@ -104,7 +106,7 @@ def _local(docs: DataFrame, id_col: str, text_col: str, largest: bool, members:
         for node in trie.terminals:
             local, n, best, seq, text, was_null, rest = node.value
             norm = text.lower()
-            out.append((1, best, local, seq, n, len(norm), xxhash.xxh64_intdigest(norm) - (1 << 63), None, text, was_null, rest))
+            out.append((1, best, local, seq, n, norm[:_HEAD], len(norm), xxhash.xxh64_intdigest(norm) - (1 << 63), None, text, was_null, rest))
             size += len(text)
             if size > 8 << 20 or len(out) >= 2048:
                 yield emit(out)
@@ -132,7 +134,7 @@ def _local(docs: DataFrame, id_col: str, text_col: str, largest: bool, members:
                     if _better(doc, value[2], largest):
                         value[2:] = [doc, seq, text, given is None, rest[i].as_py()]
                 if members:
-                    out.append((0, doc, node.value[0], seq, 1, len(norm), 0, hashlib.sha256(norm).hexdigest(), None, None, None))
+                    out.append((0, doc, node.value[0], seq, 1, None, len(norm), 0, hashlib.sha256(norm).hexdigest(), None, None, None))
                 seq += 1
             if out:
                 yield emit(out)
@@ -169,13 +171,13 @@ def _owned(local: DataFrame, largest: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, subtree = Patricia(), None
         for batch in batches:
-            for length, h, doc, loc, seq, n, text, was_null, rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (length, h) != subtree:
-                    subtree = (length, h)
+            for head, length, h, doc, loc, seq, n, text, was_null, rest in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (head, length, h) != subtree:
+                    subtree = (head, length, h)
                     if trie.bytes > _OWNER_BYTES:
                         yield from flush(trie)
                         trie = Patricia()
-                node = trie.node(length.to_bytes(8, "big") + (h + (1 << 63)).to_bytes(8, "big") + text.lower())
+                node = trie.node(text.lower())
                 best = (doc, loc, seq, text, was_null, rest)
                 if node.value is None:
                     node.value = [n, best, [loc]]
@@ -189,7 +191,7 @@ def _owned(local: DataFrame, largest: bool) -> DataFrame:
                         value[1] = best
         yield from flush(trie)
 
-    return local.where("kind = 1").select("len", "h", "id", "local", "seq", "n", "text", "was_null", "row").repartition("len", "h").sortWithinPartitions("len", "h").mapInArrow(run, schema)
+    return local.where("kind = 1").select("head", "len", "h", "id", "local", "seq", "n", "text", "was_null", "row").repartition("len", "h").sortWithinPartitions("head", "len", "h").mapInArrow(run, schema)
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
