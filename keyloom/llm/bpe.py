@@ -29,7 +29,7 @@ _WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}
 _UNITS = re.compile(f"[{_S}]+(?![^{_S}])| ?[^{_S}]+|[{_S}]+")
 _PUNCTUATION = ".,;:!?|&%$*#)"
 _CACHE = 1_000_000
-_LONG = 48
+_LANE = 48  # bytes of words that are matched, and merged, side by side; longer ones are taken one by one
 _NEVER = np.int64(1) << 40
 
 
@@ -147,7 +147,7 @@ class Bpe:
         """The merges of one word in order of rank, from the left among equals."""
         ids = [self.single[b] for b in word]
         merge = self.merge
-        if len(ids) > _LONG:
+        if len(ids) > _LANE:
             return self._exact_long(ids)
         while len(ids) > 1:
             best, at, made = 1 << 40, -1, -1
@@ -226,9 +226,24 @@ class Bpe:
                     terminal.append(-1)
                 node = to
             terminal[node] = i
+        self.steps, self.ends = edges, terminal
         self.edges = IntMap(np.array([*edges], dtype=np.int64), np.array([*edges.values()], dtype=np.int64))
         self.terminal = np.array(terminal, dtype=np.int64)
 
+    def _greedy_one(self, word: bytes) -> list[int]:
+        """The same longest matches for one word: for long ones, that would keep a lane alone."""
+        out, step, ends = [], self.steps.get, self.ends
+        at, n = 0, len(word)
+        while at < n:
+            node, i, token, until = 0, at, -1, at
+            while i < n and (to := step(node << 8 | word[i])) is not None:
+                node, i = to, i + 1
+                if ends[node] >= 0:
+                    token, until = ends[node], i
+            out.append(token)
+            at = until
+        return out
+
     def _greedy(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Longest matches from the left in all the words at once: the tokens, word by word, and each word's number."""
         lane, at, end = np.arange(len(starts)), starts.copy(), ends
@@ -255,29 +270,32 @@ class Bpe:
 
     def encode_words(self, words: list[bytes]) -> list[bytes]:
         """Speculate on all the words, verify all their boundaries at once, merge those that fail."""
-        out = [b""] * len(words)
-        short = []
-        for i, w in enumerate(words):
-            if len(w) > _LONG:
-                out[i] = np.array(self.exact(w), dtype="<u4").tobytes()
-            else:
-                short.append(i)
-        some = [words[i] for i in short]
-        sizes = np.fromiter(map(len, some), dtype=np.int64, count=len(some))
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         ends = np.cumsum(sizes)
         starts = ends - sizes
-        buf = np.frombuffer(b"".join(some), dtype=np.uint8).astype(np.int64)
-        flat, word = self._greedy(buf, starts, ends)
+        buf = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+        lanes, alone = np.flatnonzero(sizes <= _LANE), np.flatnonzero(sizes > _LANE).tolist()
+        flat, word = self._greedy(buf, starts[lanes], ends[lanes])
+        word = lanes[word]
+        if alone:
+            more = [self._greedy_one(words[i]) for i in alone]
+            flat = np.concatenate([flat, *[np.array(m, dtype=np.int64) for m in more]])
+            word = np.concatenate([word, np.repeat(alone, [len(m) for m in more])])
+            order = np.argsort(word, kind="stable")
+            flat, word = flat[order], word[order]
         inner = np.flatnonzero(word[1:] == word[:-1])
         pairs, back = np.unique(flat[inner] << 32 | flat[inner + 1], return_inverse=True)
         failing = np.unique(word[inner[~self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]]])
-        raw, cuts = flat.astype("<u4").tobytes(), np.searchsorted(word, np.arange(len(some) + 1)) * 4
-        for i, a, b in zip(short, cuts.tolist(), cuts[1:].tolist(), strict=False):
-            out[i] = raw[a:b]
+        raw, cuts = flat.astype("<u4").tobytes(), (np.searchsorted(word, np.arange(len(words) + 1)) * 4).tolist()
+        out = [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
         for n in np.unique(sizes[failing]).tolist():
             same = failing[sizes[failing] == n]
-            for i, ids in zip(same.tolist(), self._exact_many(buf[starts[same][:, None] + np.arange(n)]), strict=True):
-                out[short[i]] = ids.astype("<u4").tobytes()
+            if n > _LANE:
+                found = (np.array(self._exact_long([self.single[b] for b in words[i]])) for i in same.tolist())
+            else:
+                found = self._exact_many(buf[starts[same][:, None] + np.arange(n)])
+            for i, ids in zip(same.tolist(), found, strict=True):
+                out[i] = ids.astype("<u4").tobytes()
         return out
 
     def _learn(self, units: list[str]) -> None:
