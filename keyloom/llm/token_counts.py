@@ -18,7 +18,9 @@ from keyloom.llm.common import bounded_batches, texts
 
 SPACE = "▁"
 _NODES = 300_000
+_DEEP = 256  # characters of a pre-token that the trie holds; what follows needs only the last scores
 _WORDS = 800_000
+_RUN = 4096  # words between looks at the limits: 4096 * _DEEP nodes can come in between at most
 _UNIT = 1 << 20
 
 
@@ -59,7 +61,7 @@ class Counter(dict):
     def insert(self, word: str) -> int:
         """The number of tokens in the best segmentation: the highest score, of those the fewest tokens."""
         node, path, ends = self.root, [self.root], self.ends
-        for i, c in enumerate(word):
+        for i, c in enumerate(word[:_DEEP]):
             child = node[2].get(c)
             if child is None:
                 n = len(c.encode("utf-8", errors="surrogatepass"))
@@ -78,18 +80,48 @@ class Counter(dict):
                 self.nodes += 1
             node = child
             path.append(node)
-        return -node[1]
+        return -node[1] if len(word) <= _DEEP else self._tail(word, path)
+
+    def _tail(self, word: str, path: list) -> int:
+        """The count of a pre-token longer than the trie is deep: a window of the last scores goes on from the trie's last node, so
+        memory does not grow with a text that has no white space."""
+        keep = self.longest + 1
+        scores, counts = [x[0] for x in path[-keep:]], [x[1] for x in path[-keep:]]
+        for i in range(_DEEP, len(word)):
+            c = word[i]
+            n = len(c.encode("utf-8", errors="surrogatepass"))
+            score, fewest = scores[-1] + n * self.byte, counts[-1] - n
+            at, j = self.ends.get(c), i
+            while at is not None:
+                s = at.get("")
+                if s is not None:
+                    back = j - i - 1
+                    s += scores[back]
+                    if s > score or s == score and counts[back] - 1 > fewest:
+                        score, fewest = s, counts[back] - 1
+                j -= 1
+                at = at.get(word[j]) if i - j < self.longest else None
+            scores.append(score)
+            counts.append(fewest)
+            if len(scores) > 4 * keep + 1024:
+                del scores[:-keep], counts[:-keep]
+        return -counts[-1]
 
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = self.insert(SPACE + word.decode("utf-8", errors="replace"))
+        n = self.insert(SPACE + word.decode("utf-8", errors="replace"))
+        if len(word) <= 4 * _DEEP:  # rare and large ones are not kept
+            self[word] = n
         return n
 
     def count(self, words: list[bytes]) -> int:
-        if self.nodes > _NODES:
-            self.root, self.nodes = [0, 0, {}], 0
-        if len(self) > _WORDS:
-            self.clear()
-        return sum(map(self.__getitem__, words))
+        total = 0
+        for at in range(0, len(words), _RUN):
+            if self.nodes > _NODES:
+                self.root, self.nodes = [0, 0, {}], 0
+            if len(self) > _WORDS:
+                self.clear()
+            total += sum(map(self.__getitem__, words[at : at + _RUN]))
+        return total
 
 
 _counters: dict[str, Counter] = {}
