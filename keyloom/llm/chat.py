@@ -387,7 +387,7 @@ def format_conversations(turns: DataFrame, template: str = TEMPLATE, part_turns:
 
     Turns are in the order of turn, role, text (nulls first), so repeated turns stay and ties have one order. A null text
     or role is empty; a null conv_id is a conversation. A conversation of more than ``part_turns`` turns has several
-    rows, in order, so no row and no task's memory grows with it; rows of a conversation are neighbours in one
+    rows, in order, so no row and no task's memory grows with its number of turns (one turn's text is one cell by its nature); rows of a conversation are neighbours in one
     partition. ``loss`` has the code points under the mask. An empty table gives no rows; other columns are not read.
     """
     bounded_batches(turns.sparkSession)

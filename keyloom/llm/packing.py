@@ -27,13 +27,20 @@ def piece_lengths(n: int, max_len: int) -> list[int]:
     return [max_len] * whole + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """Write pieces by bucket, so that sequences of one length lie together and a batch of one shape is read from one folder.
+    Each task writes its own file of a bucket: nothing is shuffled."""
+    pieces.write.partitionBy("bucket").parquet(path)
+
+
 def pack(docs: DataFrame, path: str, max_len: int = 2048, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, start, length, doc_tokens, bucket (log2 of the length), sequence_id, offset, ids (binary,
     little-endian unsigned 32-bit).
 
     ``max_len`` is a power of two. A null or empty text has only the end token (no piece at all if ``end_id`` is None).
     Repeated rows and null ids are packed like any others; other columns are not carried. Sequence ids are unique and
-    not dense: the number of the task, then a count in it. An empty table gives no rows.
+    not dense: the number of the task, then a count in it. One text may have up to 500 million tokens (offsets in a batch are
+    32 bits). An empty table gives no rows.
     """
     if max_len < 1 or max_len & max_len - 1:
         raise ValueError("max_len must be a power of two")
