@@ -85,3 +85,23 @@ def test_nulls_repeats_empty_tables_and_clashing_columns(spark):
     assert decode_ids(spark.createDataFrame([([64, 65],), (None,)], "ids array<int>"), PATH).collect()[1].decoded is None
     with pytest.raises(ValueError):
         pack(df, PATH, max_len=1000)
+
+
+def test_long_words_are_proposed_and_verified_like_short_ones(library, monkeypatch):
+    rnd = random.Random(11)
+    words = ["".join(rnd.choices("abcdefgh", k=n)) for n in (47, 48, 49, 300, 5000)] + ["the" * 40, "internationalization" * 9, "=" * 200, "中文字" * 60, "a" * 4000]
+    coder_ = Bpe(PATH)
+    calls = []
+    monkeypatch.setattr(coder_, "_exact_long", lambda ids, f=coder_._exact_long: calls.append(len(ids)) or f(ids))
+    got = coder_.encode_batch(words)
+    assert [np.frombuffer(g, dtype="<u4").tolist() for g in got] == [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    assert len(calls) < sum(len(w.encode()) > 48 for w in words)  # some stand as proposed
+
+
+def test_buckets_hold_pieces_of_one_length(spark, tmp_path):
+    from keyloom.llm.packing import write_buckets
+
+    docs = spark.createDataFrame([(i, "some words " * (i * 7)) for i in range(60)], "doc_id long, text string")
+    write_buckets(pack(docs, PATH, max_len=64), str(tmp_path / "b"))
+    got = spark.read.parquet(str(tmp_path / "b")).collect()
+    assert len(got) == pack(docs, PATH, max_len=64).count() and all(1 << r.bucket == r.length == len(r.ids) // 4 for r in got)

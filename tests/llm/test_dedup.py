@@ -188,3 +188,68 @@ def test_links_of_a_block_match_all_pairs(monkeypatch):
     want = {frozenset((labels[i], labels[j])) for i in range(60) for j in range(i) if labels[i] != labels[j] and near(sets[i], sets[j])}
     got = [(names.index(a), names.index(b)) for batch in _links(names, labels, sets, 75) for a, b in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
     assert all(near(sets[i], sets[j]) for i, j in got) and {frozenset((labels[i], labels[j])) for i, j in got} == want and len(got) == len(want) > 0
+
+
+def test_longest_matches_and_greedy_factors():
+    from keyloom.llm.substring_dedup import factors, longest_elsewhere
+
+    rnd = random.Random(8)
+    for most in (1, 5, 20):
+        phrases = [[rnd.randrange(4) if rnd.random() < 0.7 else 100 + rnd.randrange(10**6) for _ in range(rnd.randrange(1, most + 1))] for _ in range(40)]
+        n = np.array([len(p) for p in phrases])
+        flat = [x for p in phrases for x in p]
+        ends = np.repeat(np.cumsum(n), n).tolist()
+        letter = np.unique(np.array(flat), return_inverse=True)[1]
+
+        def common(i, j, flat=flat, ends=ends):
+            k = 0
+            while i + k < ends[i] and j + k < ends[j] and flat[i + k] == flat[j + k]:
+                k += 1
+            return k
+
+        want = [max((common(i, j) for j in range(len(flat)) if j != i), default=0) for i in range(len(flat))]
+        got = longest_elsewhere(letter, n)
+        assert got.tolist() == want
+        row, place, length = factors(got, n, np.arange(len(n)) % 3 > 0)
+        covered = {(r, p + i) for r, p, k in zip(row.tolist(), place.tolist(), length.tolist(), strict=True) for i in range(k)}
+        first = (np.cumsum(n) - n).tolist()
+        assert covered == {(r, p) for r, m in enumerate(n.tolist()) if r % 3 for p in range(m) if want[first[r] + p]}
+
+
+def test_passages_that_straddle_factors_and_a_crowded_anchor(spark, monkeypatch):
+    """Documents with one 30-word boilerplate each share an anchor and no window; windows that begin in one source and end in
+    another are found."""
+    monkeypatch.setattr("keyloom.llm.bloom._MANY", 2)
+    monkeypatch.setattr("keyloom.llm.bloom._CROWD", 20)
+    rnd = random.Random(12)
+    some = lambda k: [f"w{rnd.randrange(10**7)}" for _ in range(k)]
+    plate, a, b = some(30), some(60), some(60)
+    rows = [(i, " ".join(some(40) + plate + some(40))) for i in range(300)]
+    rows += [(1000, " ".join(some(50) + a[20:] + b[:40] + some(50))), (1001, " ".join(a + some(10))), (1002, " ".join(some(10) + b)), (1003, " ".join(some(3) + a[40:] + b[:20] + some(3)))]
+    got = [tuple(r) for r in remove_repeated_passages(odd_documents(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute_spans(rows, 35)) and sum(r[3] for r in got) > 100
+
+
+def test_crowds_deal_letters_apart(spark):
+    """Only hashes of very many rows are told as crowds."""
+    from keyloom.llm.bloom import repeated_hashes
+
+    docs = spark.range(5000).selectExpr("id", "cast(cast(id % 7 as string) as binary) AS text")
+    hashes = lambda batch: np.array([7 if int(x) % 2 else 1000 + int(x) for x in batch.column(0).to_pylist()], dtype=np.uint64)
+    has, crowded = repeated_hashes(docs, hashes, 1 << 20, crowd=True)
+    assert crowded.tolist() == [7] and has(np.array([7, 1002, 3], dtype=np.uint64)).tolist() == [True, False, False]
+
+
+def test_minhash_large_bucket(spark, monkeypatch):
+    """A family of short texts that meet in the same buckets without all being linked, in blocks of few sets."""
+    monkeypatch.setattr("keyloom.llm.minhash._SETS", 16)
+    rnd = random.Random(21)
+    base = [f"w{i}" for i in range(24)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.randrange(0, 4)):
+            words[rnd.randrange(len(words))] = f"x{rnd.randrange(6)}"
+        rows.append((i, " ".join(words)))
+    got = [tuple(r) for r in near_duplicates(odd_documents(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute_components(rows))

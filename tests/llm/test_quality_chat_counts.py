@@ -279,3 +279,27 @@ def test_token_counts_query_and_cases(spark):
     out = sorted(((r.doc_id or 0), r.n_words, r.n_tokens) for r in count_tokens(df, PIECES).collect())
     assert out == [(0, 3, sum(map(one, ["the", "日本", "\U0001f600"]))), (1, 0, 0), (1, 0, 0), (2, 1, one("a" * 3000))]
     assert count_tokens(df.limit(0), PIECES).count() == 0
+
+
+def test_long_pre_tokens_take_a_bounded_trie(monkeypatch):
+    monkeypatch.setattr("keyloom.llm.token_counts._DEEP", 12)
+    scores = rank_scores(["a", "▁a", "ab", "b", "bab", "▁", "aba", "abab", "▁ab", "é"])
+    counter, rnd = Counter(scores), random.Random(6)
+    for n in (11, 12, 13, 40, 3000):
+        for _ in range(20):
+            word = "".join(rnd.choices("abéc", weights=[5, 5, 1, 1], k=n))
+            assert counter.count([word.encode()]) == brute_count("▁" + word, scores, counter.byte, counter.longest)
+    assert counter.nodes < 12 * 101
+
+
+def test_fit_takes_the_least_of_rows_that_repeat_an_id(spark):
+    rnd = random.Random(4)
+    good, bad = [f"good{i}" for i in range(60)], [f"bad{i}" for i in range(60)]
+    rows = [(i, " ".join(rnd.choices(good if i % 2 else bad, k=30)), "en", "s") for i in range(80)]
+    again = [(i, "zzz " + " ".join(rnd.choices(bad if i % 2 else good, k=30)), None, None) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)] + [(None, 0, 1), (999, 0, 1)], "doc_id long, quality int, toxic int")
+    kinds = "doc_id long, text string, lang string, source string"
+    plain, both = spark.createDataFrame(rows, kinds), spark.createDataFrame(again + rows, kinds)
+    models = [fit(docs, labels) for docs in (plain, both.repartition(7), both.repartition(2))]
+    one, two, three = ({r.doc_id: round(r.p_bad, 6) for r in score(plain, m).collect()} for m in models)
+    assert one == two == three and all((p > 0.5) == (d % 2 == 0) for d, p in one.items())
