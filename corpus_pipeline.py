@@ -17,21 +17,24 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier accepts. It is fitted on ``labels`` of the stage's own input."""
+    """Documents that the co-trained classifier accepts. It is fitted on ``labels`` of the stage's own input. Null and empty texts
+    are judged like others, repeated rows alike; without labels of both classes all stay."""
     model = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs.select(*COLUMNS), model, carry=True).where("kept").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the largest id."""
+    """One document of each group of equal texts, that with the largest id; null and empty texts are one group, null ids stay
+    only in groups without others, and of rows that repeat an id and a text one stays."""
     return drop_exact_duplicates(docs.select(*COLUMNS), keep="largest")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, that with the smallest id. Documents without an id are kept only
-    where their component has no other."""
-    kept = near_duplicates(docs.select(*COLUMNS)).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.select(*COLUMNS).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """One document of each component of near-duplicates, that with the smallest id, and of rows that repeat an id the one with
+    the smallest hash of its text. A null id goes before all others. Empty and null texts are near to nothing and stay."""
+    row = F.struct("doc_id", F.xxhash64("text").alias("of"))
+    kept = near_duplicates(docs.select(row.alias("row"), "text"), id_col="row").where("kept").select(F.col("row").alias("_row")).distinct()
+    return docs.select(*COLUMNS).withColumn("_mine", row).join(kept, F.col("_mine").eqNullSafe(F.col("_row")), "left_semi").drop("_mine")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +47,7 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of power-of-two lengths."""
+    """Pieces of power-of-two lengths; a null or empty text is one piece, its end token. Repeated rows are packed each."""
     return pack(docs, _vocabulary()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
