@@ -5,8 +5,8 @@ Per language and source the minimum-covariance-determinant estimate of location
 the three quarters of rows with the least Mahalanobis distances, until no determinant changes, and the start with the least
 determinant wins. Rows far from that estimate are outliers.
 
-Every group, however small, is estimated alike: ``pool`` rows' worth of its language's moments are added to its own, and as
-many of all rows' to the language's, so that estimates go over smoothly from the pool to the group.
+Every group, however small, is estimated alike: ``pool`` rows' worth of its language's moments are added to its own, so that
+estimates go over smoothly from the language to the group. A language is estimated from its own rows, however few.
 
 A step is one pass: moments are summed by group and step of a fixed grid of distances, before the shuffle, so that a hot source
 costs a few hundred rows per task; the grid makes quantiles the same on any partitioning. What rows are joined to, a row per
@@ -27,6 +27,7 @@ from keyloom.llm.common import release, written
 #: the root of 0.3 that the base rule leaves), so that each alone can exceed the limit where a group has next to no repeats.
 FEATURES = {"f0": 0.30, "f1": 0.06, "f2": 0.05, "f3": 0.10, "f4": 0.06}
 _STEPS, _SHARE, _GRID = 20, 0.75, 256  # steps are a bound: a dozen or less reach the fixed point
+_STILL = 1e-3  # a change of a determinant's log that counts as none
 _GROUPS, _SALTS = 50_000, 32  # groups that are broadcast at most: 30 MB
 _SPACE = r"[\\x20\\x09-\\x0D]"
 
@@ -79,19 +80,16 @@ _PAIRS = [(i, j) for i in range(_N) for j in range(i + 1)]
 def _quantile(counts: DataFrame, keys: list[str], share: float) -> DataFrame:
     """The least grid step with at least that share of a group's rows at or below it, from (keys, step, n). Grids are bounded,
     so groups are."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    w = Window.partitionBy(*keys)
     sums = counts.groupBy(*keys, "step").agg(F.sum("n").alias("n"))
     upto = sums.select(*keys, "step", F.sum("n").over(w.orderBy("step")).alias("upto"), F.sum("n").over(w).alias("all"))
     return upto.where(F.col("upto") >= F.col("all") * share).groupBy(*keys).agg(F.min("step").cast("double").alias("step"), F.max("all").alias("n"))
 
 
 def _pooled_quantile(counts: DataFrame, keys: list[str], share: float, pool: int) -> DataFrame:
-    """(lang, grp, keys, step): each group's own quantile, drawn towards its language's as ``pool`` rows would, and that towards
-    all rows'; from (lang, grp, keys, step, n)."""
-    every = _quantile(counts, keys, share).select(*keys, F.col("step").alias("_a"))
-    by_lang = _quantile(counts, ["lang", *keys], share)
-    by_lang = by_lang.join(every, keys) if keys else by_lang.crossJoin(F.broadcast(every))  # one row
-    by_lang = by_lang.select("lang", *keys, ((F.col("n") * F.col("step") + pool * F.col("_a")) / (F.col("n") + pool)).alias("_l"))
+    """(lang, grp, keys, step): each group's own quantile, drawn towards its language's as ``pool`` rows would; from (lang, grp,
+    keys, step, n)."""
+    by_lang = _quantile(counts, ["lang", *keys], share).select("lang", *keys, F.col("step").alias("_l"))
     own = _quantile(counts, ["lang", "grp", *keys], share).join(by_lang, ["lang", *keys])
     return own.select("lang", "grp", *keys, ((F.col("n") * F.col("step") + pool * F.col("_l")) / (F.col("n") + pool)).alias("step"))
 
@@ -126,17 +124,11 @@ def _sums(x: list[Column]) -> list[Column]:
 _MOMENTS = ["n", *[f"s{i}" for i in range(_N)], *[f"q{i}{j}" for i, j in _PAIRS]]
 
 
-def _added(own: DataFrame, other: DataFrame, on: list[str], pool: int) -> DataFrame:
-    """Moments with ``pool`` rows of another group's average moments added."""
-    more = other.select(*on, *[(F.col(c) * pool / F.col("n")).alias(f"_{c}") for c in _MOMENTS])
-    return own.join(more, on).select(*[c for c in own.columns if c not in _MOMENTS], *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in _MOMENTS])
-
-
 def _pooled(moments: DataFrame, pool: int) -> DataFrame:
-    """Moments (lang, grp, start, …) of groups, with those of their language and of all rows added."""
-    by_lang = moments.groupBy("lang", "start").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
-    every = by_lang.groupBy("start").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
-    return _added(moments, _added(by_lang, every, ["start"], pool), ["lang", "start"], pool)
+    """Moments (lang, grp, start, …) of groups, with those of ``pool`` rows of their language added."""
+    w = Window.partitionBy("lang", "start")
+    whole = moments.withColumn("_n", F.sum("n").over(w))
+    return whole.select(*[c for c in moments.columns if c not in _MOMENTS], *[(F.col(c) + F.sum(c).over(w) * pool / F.col("_n")).alias(c) for c in _MOMENTS])
 
 
 def _factor(g: DataFrame, floors: list[Column]) -> DataFrame:
@@ -185,16 +177,16 @@ def minimum_determinant(train: DataFrame, pool: int = 30, most_steps: int = _STE
     now = written(plain.unionByName(turned).withColumn("det", F.lit(float("inf"))), "quality-step")
     release(medians)
     x = [F.col(f) for f in names]
-    for _ in range(most_steps):
-        stepped = _met(train, now.drop("lang"), small).groupBy("lang", "grp", "start", _step(_distance()).alias("step")).agg(*_sums(x))
-        w = Window.partitionBy("lang", "grp", "start")
+    w = Window.partitionBy("lang", "grp", "start")
+    for turn in range(most_steps):
+        keys = ["lang", "grp", "start", F.col("det").alias("was")]
+        stepped = _met(train, now.drop("lang", "was"), small).groupBy(*keys, _step(_distance()).alias("step")).agg(*_sums(x))
         ranked = stepped.select("*", (F.sum("n").over(w.orderBy("step")) - F.col("n")).alias("_before"), F.sum("n").over(w).alias("_all"))
-        near = ranked.where(F.col("_before") < F.col("_all") * _SHARE).groupBy("lang", "grp", "start").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
-        new = _factor(_pooled(near, pool), floors).join(now.select("lang", "grp", "start", F.col("det").alias("was")), ["lang", "grp", "start"])
-        new = written(new, "quality-step")
+        near = ranked.where(F.col("_before") < F.col("_all") * _SHARE).groupBy("lang", "grp", "start", "was").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+        new = written(_factor(_pooled(near, pool), floors), "quality-step")
         release(now)
         now = new
-        if not (now.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0] or 0) > 1e-9:  # one number
+        if turn % 2 and not (now.agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0] or 0) > _STILL:  # one number
             break
     best = now.groupBy("lang", "grp").agg(F.min_by(F.struct("start", "det", *_MODEL), F.struct(F.round("det", 9), "start")).alias("b"))
     out = written(best.select("lang", "grp", "b.*"), "quality-estimates")
