@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import mix
+
 _SHARD_BITS = 6
 _PROBES = 4
 _MANY, _CROWD, _NAMED = 64, 1024, 4096  # a buffer's count worth telling, a count that makes a crowd, crowds told by a shard at most
@@ -66,8 +68,8 @@ def _of(name: str, broadcast, bits: int) -> Repeated:
 
 def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], bits: int, buffer: int = 1 << 20, crowd: bool = False):
     """Broadcast the filter of hashes that ``hashes`` gives at least twice over all of ``docs``, as a function to call in tasks.
-    With ``crowd``, also the sorted hashes that are there very often (the most frequent of each shard, 2 MB at most), for callers
-    that deal these out in another way; they are no more than a hint."""
+    With ``crowd``, also a function that tells hashes that are there very often (the most frequent of each shard, 2 MB at most),
+    for callers that deal these out in another way; it is no more than a hint, and the same in all tasks."""
     spark = docs.sparkSession
     n = 1 << _SHARD_BITS
 
@@ -87,7 +89,7 @@ def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarr
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            got = hashes(batch)
+            got = mix(hashes(batch))  # shards go by the first bits, which callers may have picked by
             if len(got):
                 held.append(got)
                 size += len(got)
@@ -133,8 +135,9 @@ def repeated_hashes(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarr
     name = uuid.uuid4().hex
 
     def has(h: np.ndarray) -> np.ndarray:
-        return _of(name, shared, bits).has(h)
+        return _of(name, shared, bits).has(mix(h))
 
     if not crowd:
         return has
-    return has, np.sort(np.concatenate([np.empty(0, dtype=np.uint64), *[np.frombuffer(r.crowds, dtype=np.uint64) for r in rows]]))
+    crowds = np.sort(np.concatenate([np.empty(0, dtype=np.uint64), *[np.frombuffer(r.crowds, dtype=np.uint64) for r in rows]]))
+    return has, lambda h: np.isin(mix(h), crowds)

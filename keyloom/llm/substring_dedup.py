@@ -159,8 +159,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
                 return
             one, two = rolling(w.hashes, window)[at], rolling(word_hashes(w.buf, w.starts, w.ends, seed=1), window, seed=1)[at]
             v, doc = least[at], w.doc[at]
-            hot = np.isin(v, crowded)
-            v = np.where(hot, mix(one), v)
+            v = np.where(crowded(v), mix(one), v)
             order = np.lexsort((two, one))
             same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
             first = np.concatenate([[True], ~same])
