@@ -81,10 +81,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = written(rows.select("id", "text", *row_key(F.col("id"), F.col("text"))).mapInArrow(suspected, f"id {kind}, text binary, _k1 long, _k2 long, keys array<binary>"), "line-dedup")
     lines = held.select("id", "_k1", "_k2", F.explode("keys").alias("key"))
     # A table of its own, not an aggregate above the join's exchange: so adaptive execution may split the partition of a line
-    # that very many documents hold.
+    # that very many documents hold. It is merged at any size, as repeated lines grow with the corpus.
     counted = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).where((F.col("n") >= min_docs) & F.col("keeper").isNotNull())
     repeated = written(counted.select("key", "keeper"), "line-dedup-repeated")
-    drops = lines.join(repeated, "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("_k1", "_k2").agg(F.collect_set("key").alias("drop"))
+    drops = lines.join(repeated.hint("merge"), "key").where(~F.col("id").eqNullSafe(F.col("keeper"))).groupBy("_k1", "_k2").agg(F.collect_set("key").alias("drop"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
