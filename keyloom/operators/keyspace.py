@@ -42,9 +42,22 @@ def persist(space: DataFrame, probes: DataFrame) -> DataFrame:
     return marked.withColumn("expire_ms", F.when(F.col("_p").isNull(), F.col("expire_ms"))).drop("_p")
 
 
-def rename(table: DataFrame, old: str, new: str) -> DataFrame:
-    """Rows under the new name; what was there goes."""
-    return table.where(F.col("key") != new).withColumn("key", F.when(F.col("key") == old, F.lit(new)).otherwise(F.col("key"))) if old != new else table
+def rename(table: DataFrame, old: str, new: str, nx: bool = False) -> DataFrame:
+    """Rows under the new name; what was there goes. With ``nx`` nothing changes where the new name is taken. A source that is
+    not there is an error, looked up when the plan is made."""
+    if table.where(F.col("key") == old).isEmpty():
+        raise ValueError("no such key")
+    if old == new or nx and not table.where(F.col("key") == new).isEmpty():
+        return table
+    return table.where(F.col("key") != new).withColumn("key", F.when(F.col("key") == old, F.lit(new)).otherwise(F.col("key")))
+
+
+def move(table: DataFrame, key: str, source: int, target: int) -> DataFrame:
+    """Rows (db, key, …) of a key in another database, unless it has one of that name."""
+    there = F.col("key") == key
+    if table.where(there & (F.col("db") == source)).isEmpty() or not table.where(there & (F.col("db") == target)).isEmpty():
+        return table
+    return table.withColumn("db", F.when(there & (F.col("db") == source), F.lit(target)).otherwise(F.col("db")))
 
 
 def copy(table: DataFrame, source: str, destination: str, replace: bool = False) -> DataFrame:
@@ -117,6 +130,28 @@ def dbsize(space: DataFrame, now_ms=None) -> DataFrame:
     return rows.groupBy("type").agg(F.count(F.lit(1)).alias("keys"))
 
 
+def idle_times(space: DataFrame, now_ms: int) -> DataFrame:
+    """Whole seconds since each key was used: rows (key, access_ms)."""
+    return space.withColumn("idle_s", F.floor((F.lit(now_ms) - F.col("access_ms")) / 1000).cast("long"))
+
+
+def profile(elements: DataFrame, now_ms: int) -> DataFrame:
+    """A dataset's profile by type, from one row per element (key, type, size, expire_ms): keys, elements, bytes of keys and
+    elements, the largest element and the longest key, keys with times and those whose time is past."""
+    per_key = elements.groupBy("type", "key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.max("expire_ms").alias("expire_ms"))
+    past = F.col("expire_ms") < now_ms
+    return per_key.groupBy("type").agg(
+        F.count(F.lit(1)).alias("keys"),
+        F.sum("n").alias("elements"),
+        F.sum(F.octet_length(F.col("key").cast("string"))).cast("long").alias("key_bytes"),
+        F.sum("bytes").alias("element_bytes"),
+        F.max("largest").alias("largest_element"),
+        F.max("n").alias("most_elements"),
+        F.count("expire_ms").alias("with_time"),
+        F.count_if(F.coalesce(past, F.lit(False))).alias("expired"),
+    )
+
+
 def random_key(space: DataFrame, seed: int = 0) -> DataFrame:
     """One key, by a seeded order; a top-1 that each task cuts first."""
     return space.orderBy(F.xxhash64(F.lit(seed), "key"), "key").limit(1)

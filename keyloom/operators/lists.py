@@ -95,6 +95,14 @@ def lmove(lst: DataFrame, source: str, destination: str, from_tail: bool = True,
     return lpush(rest, moved.select(F.lit(destination).alias("key"), F.lit(1).alias("ord"), "val"), tail=to_tail)
 
 
+def serve(queue: DataFrame, waiters: DataFrame) -> DataFrame:
+    """Blocking pops over what is there: waiters (key, client, ord) get the elements of their list one each, first come, first
+    served; those beyond its end keep a null. ``streaming.jobs.blocking_pops`` is the same on a stream."""
+    at = F.row_number().over(Window.partitionBy("key").orderBy("ord"))
+    ranked = queue.select("key", "val", F.row_number().over(_at()).alias("_i"))
+    return waiters.withColumn("_i", at).join(ranked, ["key", "_i"], "left").drop("_i")
+
+
 def lmpop(lst: DataFrame, keys: list[str], count: int = 1, tail: bool = False) -> DataFrame:
     order = F.coalesce(*[F.when(F.col("key") == k, F.lit(i)) for i, k in enumerate(keys)])
     some = lst.where(F.col("key").isin(keys)).withColumn("_o", order)

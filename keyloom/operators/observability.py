@@ -70,6 +70,42 @@ def over_quota(ops: DataFrame, per_second: int) -> DataFrame:
     return g.where(F.col("n") > per_second).withColumn("refused", F.col("n") - per_second)
 
 
+def over_memory(usage: DataFrame, limits: DataFrame) -> DataFrame:
+    """Namespaces (ns, key, size) at or over their limits (ns, max_bytes, max_keys), null or 0 for none: ``refused`` names the
+    first limit that refuses further writes, memory before keys."""
+    g = usage.groupBy("ns").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("keys")).join(limits, "ns")
+    over = lambda v, m: (F.coalesce(F.col(m), F.lit(0)) > 0) & (F.col(v) >= F.col(m))
+    return g.withColumn("refused", F.when(over("bytes", "max_bytes"), "memory").when(over("keys", "max_keys"), "keys")).where("refused is not null").select("ns", "bytes", "keys", "refused")
+
+
+def eviction_storms(ticks: DataFrame, limit: int = 1000) -> DataFrame:
+    """Ticks (n evictions) over a rate."""
+    return ticks.where(F.col("n") > limit).withColumn("severity", F.lit("WARNING"))
+
+
+def connection_surges(ticks: DataFrame, factor: float = 5.0, warm_up: int = 30, ring: int = 300, key: str = "key") -> DataFrame:
+    """Ticks with more connections (n) than so many times their running mean, after a warm-up."""
+    w = Window.partitionBy(key).orderBy("tick")
+    rows = ticks.withColumns({"age": F.row_number().over(w), "base": F.avg("n").over(w.rowsBetween(-(ring - 1), 0))})
+    return rows.where((F.col("age") > warm_up) & (F.col("base") > 0) & (F.col("n") > F.col("base") * factor)).withColumn("severity", F.lit("WARNING"))
+
+
+def latency_history(samples: DataFrame, event: str, keep: int = 160) -> DataFrame:
+    """The last ``keep`` samples (event, ts, ms) of an event."""
+    return samples.where(F.col("event") == event).orderBy(F.col("ts").desc(), F.col("ms").desc()).limit(keep)
+
+
+def latency_latest(samples: DataFrame) -> DataFrame:
+    """Per event: time and length of its last sample, and the longest ever."""
+    return samples.groupBy("event").agg(F.max("ts").alias("ts"), F.max_by("ms", F.struct("ts", "ms")).alias("last_ms"), F.max("ms").alias("max_ms"))
+
+
+def percentiles(samples: DataFrame, at: list[float], exact: bool = True) -> DataFrame:
+    """Per event the percentiles of ``ms``: interpolated from counted values, or estimated by a sketch of bounded size."""
+    f = (lambda p: F.percentile("ms", F.lit(p))) if exact else (lambda p: F.percentile_approx("ms", F.lit(p), F.lit(10_000)))
+    return samples.groupBy("event").agg(*[f(p).alias(f"p{p * 100:g}".replace(".", "_")) for p in at])
+
+
 def command_stats(commands: DataFrame) -> DataFrame:
     """Calls, total and mean time per command (cmd, us)."""
     return commands.groupBy("cmd").agg(F.count(F.lit(1)).alias("calls"), F.sum("us").alias("usec"), (F.sum("us") / F.count(F.lit(1))).alias("usec_per_call"))

@@ -14,6 +14,10 @@ def srem(s: DataFrame, gone: DataFrame) -> DataFrame:
     return s.join(gone.select("key", "member"), ["key", "member"], "left_anti")
 
 
+def smembers(s: DataFrame, key) -> DataFrame:
+    return s.where(F.col("key") == key).select("member")
+
+
 def scard(s: DataFrame) -> DataFrame:
     return s.groupBy("key").agg(F.count(F.lit(1)).alias("card"))
 
@@ -39,6 +43,16 @@ def sintercard(s: DataFrame, keys: list[str], limit: int = 0) -> DataFrame:
     return n.select(F.least("card", F.lit(limit)).alias("card")) if limit else n
 
 
+def store(members: DataFrame, key: str) -> DataFrame:
+    """The result of an operation as a set of its own, for a union with the table or a snapshot."""
+    return members.select(F.lit(key).alias("key"), "member")
+
+
+def put(s: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """The table with a set's members replaced by a result; an empty result leaves no such set."""
+    return s.where(F.col("key") != key).select("key", "member").unionByName(store(members, key))
+
+
 def smismember(s: DataFrame, probes: DataFrame) -> DataFrame:
     """Probes (key, member) with ``is_member`` 0 or 1."""
     hit = s.select("key", "member").distinct().withColumn("_hit", F.lit(1))

@@ -66,6 +66,33 @@ def distinct_union(sketches: DataFrame) -> DataFrame:
     return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
 
 
+def bloom_positions(hashed: Column, bits: int, probes: int) -> Column:
+    """The bits of a 60-bit hash by double hashing: its lower half, plus i times its upper half made odd."""
+    low, step = hashed.bitwiseAND(F.lit((1 << 30) - 1)), F.shiftright(hashed, 30).bitwiseOR(F.lit(1))
+    return F.array_distinct(F.array(*[(low + step * i) % bits for i in range(probes)]))
+
+
+def bloom_size(expected: int, rate: float = 0.01) -> tuple[int, int]:
+    """(bits, probes) for so many members and that share of false hits."""
+    import math
+
+    bits = max(512, math.ceil(-expected * math.log(rate) / math.log(2) ** 2 / 512) * 512)
+    return bits, max(1, round(bits / max(1, expected) * math.log(2)))
+
+
+def bloom_add(members: DataFrame, bits: int, probes: int, hashed: Column) -> DataFrame:
+    """A Bloom filter per key as rows (key, pos) of set bits, like any bitmap: filters merge by union, and neither building
+    nor reading one needs it in one place."""
+    return members.select("key", F.explode(bloom_positions(hashed, bits, probes)).alias("pos")).distinct()
+
+
+def bloom_check(filter_: DataFrame, probes_of: DataFrame, bits: int, probes: int, hashed: Column) -> DataFrame:
+    """Rows (key, …) with ``maybe``: false means certainly not added."""
+    wanted = probes_of.withColumn("_p", bloom_positions(hashed, bits, probes))
+    rows = wanted.select("*", F.explode("_p").alias("pos")).join(filter_.select("key", "pos", F.lit(1).alias("_b")), ["key", "pos"], "left")
+    return rows.groupBy(*probes_of.columns, "_p").agg((F.count("_b") == F.size("_p")).alias("maybe")).drop("_p")
+
+
 def frequencies(members: DataFrame, member: str = "member") -> DataFrame:
     """Exact counts; ``F.count_min_sketch`` is there for what cannot be held."""
     return members.groupBy("key", member).agg(F.count(F.lit(1)).alias("n"))

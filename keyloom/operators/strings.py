@@ -58,7 +58,8 @@ def setrange(kv: DataFrame, offset: int, value: str) -> DataFrame:
 
 
 def strlen(kv: DataFrame) -> DataFrame:
-    return kv.withColumn("length", F.octet_length("val").cast("long"))
+    """Bytes; a value that is not there has none."""
+    return kv.withColumn("length", F.coalesce(F.octet_length("val"), F.lit(0)).cast("long"))
 
 
 def incrby(deltas: DataFrame, key: str = "key", delta: str = "delta") -> DataFrame:
@@ -79,17 +80,21 @@ def getset(log: DataFrame) -> DataFrame:
 def lcs_table(a: str, b: str) -> tuple[str, list[tuple[int, int, int, int, int]]]:
     """A longest common subsequence of two strings and its matching ranges (a_lo, a_hi, b_lo, b_hi, length), last first.
 
-    Of equal ways the walk back prefers to go down in ``b``."""
+    Of equal ways the walk back prefers to go down in ``b``. Lengths are made row by row, each at once, as the greatest so far
+    of what the row above gives; of a row only one bit a column is kept, which way to walk: 50 MB for two texts of 20,000."""
+    import numpy as np
+
     n, m = len(a), len(b)
-    rows = [[0] * (m + 1)]
-    for i in range(1, n + 1):
-        last, now, x = rows[-1], [0], a[i - 1]
-        for j in range(1, m + 1):
-            now.append(last[j - 1] + 1 if x == b[j - 1] else max(last[j], now[j - 1]))
-        rows.append(now)
+    x, y = (np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) for t in (a, b))
+    last, up = np.zeros(m + 1, dtype=np.int32), []
+    for i in range(n):
+        now = np.zeros(m + 1, dtype=np.int32)
+        now[1:] = np.maximum.accumulate(np.where(y == x[i], last[:-1] + 1, last[1:]))
+        up.append(np.packbits(last[1:] > now[:-1]))
+        last = now
     i, j, text, ranges = n, m, [], []
     while i and j:
-        if a[i - 1] == b[j - 1]:
+        if x[i - 1] == y[j - 1]:
             text.append(a[i - 1])
             i, j = i - 1, j - 1
             if ranges and ranges[-1][0] == i + 1 and ranges[-1][2] == j + 1:
@@ -97,7 +102,7 @@ def lcs_table(a: str, b: str) -> tuple[str, list[tuple[int, int, int, int, int]]
                 ranges[-1] = (i, r[1], j, r[3], r[4] + 1)
             else:
                 ranges.append((i, i, j, j, 1))
-        elif rows[i - 1][j] > rows[i][j - 1]:
+        elif up[i - 1][j - 1 >> 3] >> (7 - (j - 1 & 7)) & 1:
             i -= 1
         else:
             j -= 1

@@ -26,6 +26,19 @@ def ts_retain(samples: DataFrame, retention_ms: int) -> DataFrame:
     return samples.join(last, "series").where(F.col("ts") >= F.col("_last") - retention_ms).drop("_last")
 
 
+def ts_del(samples: DataFrame, series: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Without a series, or without its samples in an inclusive range."""
+    gone = F.col("series") == series
+    gone = gone & (F.col("ts") >= start) if start is not None else gone
+    return samples.where(~(gone & (F.col("ts") <= end) if end is not None else gone))
+
+
+def ts_add(samples: DataFrame, new: DataFrame, retention_ms: int | None = None) -> DataFrame:
+    """Samples with new ones; of two at one time the new one stays, and with a retention old ones go."""
+    both = samples.join(new.select("series", "ts"), ["series", "ts"], "left_anti").select("series", "ts", "value").unionByName(new.select("series", "ts", "value"))
+    return both if retention_ms is None else ts_retain(both, retention_ms)
+
+
 def ts_buckets(samples: DataFrame, width_ms: int) -> DataFrame:
     """All five aggregates per series and time bucket."""
     at = (F.floor(F.col("ts") / width_ms) * width_ms).cast("long").alias("bucket")

@@ -18,57 +18,148 @@ def vsearch(vectors: DataFrame, query: list[float], k: int, metric: str = "COSIN
     return out.orderBy("distance", id_col).limit(k).withColumn("score", 1 - F.col("distance"))
 
 
-def vsearch_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", block: int = 256) -> DataFrame:
-    """The ``k`` nearest of each query (query_id, q). Queries are a stated set: they are packed in blocks, each block meets
-    every vector once, and a task keeps its best ``k`` of a query before anything is shuffled."""
-    import heapq
+def _live(vectors: DataFrame) -> DataFrame:
+    rows = vectors.where(F.col("embedding").isNotNull())
+    return rows.where(~F.coalesce(F.col("deleted"), F.lit(False))) if "deleted" in vectors.columns else rows
 
+
+def _matrix(column, dim: int):
+    """The rows of an Arrow list column as a matrix, from its flat buffer."""
     import numpy as np
-    import pyarrow as pa
 
-    rows = queries.select("query_id", "q").orderBy("query_id")
-    n = rows.count()
-    found = None
-    for start in range(0, n, block):
-        part = rows.offset(start).limit(block).collect()  # one block
-        ids, q = [r.query_id for r in part], np.array([r.q for r in part], dtype=np.float64)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+
+
+def _distances(v, q, metric: str):
+    import numpy as np
+
+    inner = v @ q.T
+    if metric == "COSINE":
+        length = np.sqrt((v * v).sum(1))[:, None] * np.sqrt((q * q).sum(1))[None, :]
+        return np.where(length < 1e-12, 1.0, 1 - np.clip(inner / np.maximum(length, 1e-300), -1, 1))
+    if metric == "L2":
+        return (v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * inner
+    return 1 - inner
+
+
+def _nearest(d, names, k: int):
+    """The places of the k least distances of each column, ties by name."""
+    import numpy as np
+
+    if len(names) > 4 * k:  # all at or below each column's k-th distance stay, so ties are settled by name
+        edge = np.partition(d, k - 1, axis=0)[k - 1]
+        for j in range(d.shape[1]):
+            some = np.flatnonzero(d[:, j] <= edge[j])
+            yield j, some[np.lexsort((names[some], d[some, j]))[:k]]
+    else:
+        for j in range(d.shape[1]):
+            yield j, np.lexsort((names, d[:, j]))[:k]
+
+
+def vsearch_batch(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "COSINE", block_bytes: int = 16 << 20) -> DataFrame:
+    """The ``k`` nearest live vectors of each query (query_id, q).
 
-        def best(batches, ids=ids, q=q):
-            heaps: list[list] = [[] for _ in ids]
-            norm = np.sqrt((q * q).sum(1))
+    Queries are a stated set, numbered once and taken in blocks of so many bytes, each of which meets every vector in one pass;
+    a task keeps its best ``k`` of a query before anything is shuffled. Vectors of another dimension, deleted ones and nulls are left
+    out. Ids may be of any type that has an order."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    metric = metric.upper()
+    asked = queries.where(F.col("q").isNotNull()).select("query_id", F.col("q").cast("array<double>").alias("q"))
+    dims = [r[0] for r in asked.select(F.size("q")).distinct().limit(2).collect()]
+    if len(dims) > 1:
+        raise ValueError("queries are of different dimensions")
+    query_type, id_type = queries.schema["query_id"].dataType, vectors.schema["ext_id"].dataType
+    shape = f"query_id {query_type.simpleString()}, ext_id {id_type.simpleString()}, distance double"
+    if not dims:
+        return vectors.sparkSession.createDataFrame([], shape + ", rank int")
+    dim = dims[0]
+    rows = _live(vectors).where(F.size("embedding") == dim).select("ext_id", "embedding")
+    arrow = [to_arrow_type(query_type), to_arrow_type(id_type), pa.float64()]
+
+    def pass_over(ids: list, q):
+        def best(batches):
+            kept: list = [(np.empty(0), np.empty(0, dtype=object)) for _ in ids]
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                v = np.array(batch.column(1).to_pylist(), dtype=np.float64)
-                inner = v @ q.T
-                if metric.upper() == "COSINE":
-                    length = np.sqrt((v * v).sum(1))[:, None] * norm[None, :]
-                    d = np.where(length < 1e-12, 1.0, 1 - np.clip(inner / np.maximum(length, 1e-300), -1, 1))
-                elif metric.upper() == "L2":
-                    d = (v * v).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * inner
-                else:
-                    d = 1 - inner
-                names = batch.column(0).to_pylist()
-                ranked = np.array(names)
-                for j, heap in enumerate(heaps):
-                    for i in np.lexsort((ranked, d[:, j]))[:k].tolist():
-                        item = (-d[i, j], -names[i])
-                        if len(heap) < k:
-                            heapq.heappush(heap, item)
-                        elif item > heap[0]:
-                            heapq.heapreplace(heap, item)
-            out = [(ids[j], -b, -a) for j, heap in enumerate(heaps) for a, b in heap]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "ext_id", "distance"])
-
-        got = vectors.select("ext_id", "embedding").mapInArrow(best, "query_id long, ext_id long, distance double")
-        found = got if found is None else found.unionByName(got)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, ext_id long, distance double, rank int")
+                d = _distances(_matrix(batch.column(1), dim), q, metric)
+                names = np.array(batch.column(0).to_pylist())
+                for j, at in _nearest(d, names, k):
+                    far, who = np.concatenate([kept[j][0], d[at, j]]), np.concatenate([kept[j][1], names[at]])
+                    order = np.lexsort((who, far))[:k] if len(who) > k else np.arange(len(who))
+                    kept[j] = far[order], who[order]
+            for start in range(0, len(ids), 256):
+                part = [(i, x, f) for i, (far, who) in zip(ids[start : start + 256], kept[start : start + 256], strict=True) for x, f in zip(who.tolist(), far.tolist(), strict=True)]
+                if part:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), arrow, strict=True)], ["query_id", "ext_id", "distance"])
+
+        return rows.mapInArrow(best, shape)
+
+    found, ids, held = None, [], []
+    most = max(1, block_bytes // (8 * dim))
+    for r in asked.orderBy("query_id").toLocalIterator():  # one block at a time is in the driver
+        ids.append(r.query_id)
+        held.append(r.q)
+        if len(ids) == most:
+            part = pass_over(ids, np.array(held))
+            found, ids, held = part if found is None else found.unionByName(part), [], []
+    if ids:
+        part = pass_over(ids, np.array(held))
+        found = part if found is None else found.unionByName(part)
     w = Window.partitionBy("query_id").orderBy("distance", "ext_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def cells_fit(vectors: DataFrame, cells: int = 64, sample: int = 20_000, seed: int = 7, steps: int = 15):
+    """Centres of an inverted index of cells, fitted by k-means on at most ``sample`` vectors (the least hashes of their ids). All
+    vectors are then indexed by them."""
+    import numpy as np
+
+    some = _live(vectors).orderBy(F.xxhash64(F.lit(seed), "ext_id"), "ext_id").limit(sample).select("embedding").toArrow()
+    x = _matrix(some.column(0).combine_chunks(), len(some.column(0)[0]) if len(some) else 1)
+    x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), size=min(cells, len(x)), replace=False)]
+    for _ in range(steps):
+        near = (x @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        length = np.sqrt((sums * sums).sum(1, keepdims=True))
+        centres = np.where(length > 1e-12, sums / np.maximum(length, 1e-12), centres)
+    return centres
+
+
+def _cells(embedding, centres, n: int):
+    """The ``n`` nearest cells of a vector, nearest first, as a native expression over the centres."""
+    sims = F.array(*[F.struct((-_dot(embedding, c)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres.tolist())])
+    return F.transform(F.slice(F.array_sort(sims), 1, n), lambda s: s["cell"])
+
+
+def _dot(v, c: list[float]):
+    return F.aggregate(F.zip_with(v, F.array(*map(F.lit, c)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, p: s + p)
+
+
+def vsearch_cells(vectors: DataFrame, queries: DataFrame, centres, k: int, probes: int = 32) -> DataFrame:
+    """The ``k`` nearest by cosine distance of each query (query_id, q), looked for in its ``probes`` nearest cells only: an
+    approximate search, whose answer is exact within what it looks at. Every live vector is in one cell; a cell's vectors
+    meet the queries that probe it in a join, and distances are exact."""
+    placed = _live(vectors).where(F.size("embedding") == centres.shape[1]).select("ext_id", "embedding", F.get(_cells(F.col("embedding"), centres, 1), F.lit(0)).alias("cell"))
+    asked = queries.select("query_id", "q", F.explode(_cells(F.col("q"), centres, probes)).alias("cell"))
+    near = placed.join(asked, "cell").select("query_id", "ext_id", METRICS["COSINE"](F.col("embedding"), F.col("q")).alias("distance"))
+    w = Window.partitionBy("query_id").orderBy("distance", "ext_id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def vadd(vectors: DataFrame, new: DataFrame, dim: int | None = None) -> DataFrame:
+    """Vectors (ext_id, embedding, deleted) with new ones; a vector of another dimension than ``dim`` is an error."""
+    right = F.lit(True) if dim is None else F.size("embedding") == dim
+    wrong = F.raise_error(F.lit("wrong dimension")).cast(new.schema["embedding"].dataType)
+    return vectors.unionByName(new.select("ext_id", F.when(right, F.col("embedding")).otherwise(wrong).alias("embedding"), F.lit(False).alias("deleted")))
+
+
 def vinfo(vectors: DataFrame) -> DataFrame:
     live = F.count_if(~F.coalesce(F.col("deleted"), F.lit(False))) if "deleted" in vectors.columns else F.count(F.lit(1))
     return vectors.agg(F.max(F.size("embedding")).alias("dim"), F.count(F.lit(1)).alias("count"), live.alias("live"))
@@ -82,6 +173,11 @@ def quantized(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("q8", quantize_int8(F.col("embedding")))
 
 
+def int8_dot(a, b):
+    """The inner product of two quantized vectors, in whole numbers."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("long") * y.cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
 def rank_fusion(*ranked: DataFrame, k: int = 60) -> DataFrame:
     """(doc_id, score): the sum of 1 / (position + k) over lists (doc_id, pos), positions from 0."""
     from functools import reduce

@@ -15,9 +15,15 @@ def _window(rev: bool = False):
     return Window.partitionBy("key").orderBy(*order)
 
 
-def zadd(z: DataFrame, new: DataFrame, nx: bool = False, xx: bool = False, gt: bool = False, lt: bool = False, incr: bool = False) -> DataFrame:
-    """The set with rows of ``new`` put in, and columns ``added`` and ``changed``. ``new`` has one row per member."""
-    n = new.select("key", "member", F.col("score").alias("_new"))
+def zadd(z: DataFrame, new: DataFrame, nx: bool = False, xx: bool = False, gt: bool = False, lt: bool = False, incr: bool = False, order: str | None = None) -> DataFrame:
+    """The set with rows of ``new`` put in, and columns ``added`` and ``changed``. Of several rows for a member the last by the
+    column ``order`` counts; without one, several rows are an error."""
+    if order is None:
+        several = F.raise_error(F.concat(F.lit("several rows for a member: "), F.col("member").cast("string"))).cast("double")
+        n = new.groupBy("key", "member").agg(F.first("score").alias("_s"), F.count(F.lit(1)).alias("_n"))
+        n = n.select("key", "member", F.when(F.col("_n") > 1, several.cast(new.schema["score"].dataType)).otherwise(F.col("_s")).alias("_new"))
+    else:
+        n = new.groupBy("key", "member").agg(F.max_by("score", order).alias("_new"))
     both = z.select("key", "member", F.col("score").alias("_old")).join(n, ["key", "member"], "full_outer")
     old, fresh = F.col("_old"), F.col("_new")
     value = F.coalesce(old, F.lit(0.0)) + fresh if incr else fresh

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keyloom.functions.exprs import key_slot
 from keyloom.operators import hashes, keyspace, lists, sets, strings, zsets
 from keyloom.plans.base import DAYS, FIELDS, FLAGS, HISTORY, NAMES, SPEND, USERS, days, fields, flags, history, names, spend, users
 from keyloom.plans.registry import query
@@ -118,10 +117,10 @@ def zset_remrangebyscore(spark, d):
     return zsets.zremrangebyscore(spend(spark, d), "-inf", 50000000)
 
 
-@query("zset_mscore", f"WITH {SPEND} SELECT p.key, p.member, score FROM (SELECT c_mktsegment AS key, c_custkey AS member FROM customer WHERE c_custkey % 10 = 0) p LEFT JOIN spend USING (key, member)")
+@query("zset_mscore", f"WITH {SPEND} SELECT p.key, p.member, score FROM (SELECT c_mktsegment AS key, c_custkey AS member FROM customer UNION ALL SELECT c_mktsegment, -c_custkey FROM customer) p LEFT JOIN spend USING (key, member)")
 def zset_mscore(spark, d):
-    probes = read(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").alias("member"))
-    return zsets.zmscore(spend(spark, d), probes)
+    probes = read(spark, d, "customer").select(F.col("c_mktsegment").alias("key"), F.col("c_custkey").alias("member"))
+    return zsets.zmscore(spend(spark, d), probes.unionByName(probes.withColumn("member", -F.col("member"))))
 
 
 @query("zset_add_gt", f"WITH {FLAGS}, o AS (SELECT member, score AS old FROM flags WHERE key = 'A'), n AS (SELECT member, score AS new FROM flags WHERE key = 'R') SELECT 'A' AS key, member, coalesce(greatest(old, new), old, new) AS score, old IS NULL AS added, new IS NOT NULL AND (old IS NULL OR new > old) AS changed FROM o FULL JOIN n USING (member)")
@@ -289,9 +288,9 @@ def string_setrange(spark, d):
     return strings.setrange(_appended(spark, d).where("length(val) >= 3"), 3, "xyz")
 
 
-@query("string_strlen", "SELECT doc_id AS key, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE text IS NOT NULL")
+@query("string_strlen", "SELECT doc_id AS key, CAST(coalesce(strlen(text), 0) AS BIGINT) AS length FROM documents")
 def string_strlen(spark, d):
-    return strings.strlen(read(spark, d, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("key"), F.col("text").alias("val"))).drop("val")
+    return strings.strlen(read(spark, d, "documents").select(F.col("doc_id").alias("key"), F.col("text").alias("val"))).drop("val")
 
 
 @query("string_getset", "SELECT user_id AS key, event_id AS version, event_type AS val, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS old FROM events")
@@ -306,10 +305,10 @@ def string_set_nx(spark, d):
     return strings.set_(c.where("key % 2 = 0"), new, nx=True)
 
 
-@query("string_mget", "SELECT pos, k AS key, c_name AS val FROM (SELECT i AS pos, i * 7 AS k FROM range(0, 400) t(i)) LEFT JOIN customer ON c_custkey = k")
+@query("string_mget", "SELECT pos, k AS key, c_name AS val FROM (SELECT o_orderkey AS pos, o_custkey * 2 AS k FROM orders) LEFT JOIN customer ON c_custkey = k")
 def string_mget(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("val"))
-    return strings.mget(c, spark.range(400).select(F.col("id").alias("pos"), (F.col("id") * 7).alias("key")))
+    return strings.mget(c, read(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), (F.col("o_custkey") * 2).alias("key")))
 
 
 @query("string_fold", "SELECT user_id AS key, max_by(event_type, event_id) AS val FROM events GROUP BY 1 HAVING max_by(event_type, event_id) <> (SELECT min(event_type) FROM events)")
@@ -334,11 +333,11 @@ def hash_len_live(spark, d):
     return hashes.hlen(hashes.live_fields(fields(spark, d), 1_000_000))
 
 
-PROBES = "probes AS (SELECT c_custkey AS key, f AS field FROM customer, (VALUES ('c_nationkey'), ('c_mktsegment'), ('nothing')) t(f) WHERE c_custkey % 4 = 0)"
+PROBES = "probes AS (SELECT c_custkey AS key, f AS field FROM customer, (VALUES ('c_nationkey'), ('c_mktsegment'), ('nothing')) t(f))"
 
 
 def _probes(spark, d):
-    c = read(spark, d, "customer").where("c_custkey % 4 = 0").select(F.col("c_custkey").alias("key"))
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("key"))
     return c.select("key", F.explode(F.array(*map(F.lit, ["c_nationkey", "c_mktsegment", "nothing"]))).alias("field"))
 
 
@@ -403,15 +402,15 @@ def keys_scan(spark, d):
     return scan(_space(spark, d), after="Customer#000000005", match="*1*", count=25, type_="hash")
 
 
-@query("keys_ttl", f"WITH {SPACE}, p AS (SELECT c_name AS key FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT 'absent') SELECT key, CAST(CASE WHEN type IS NULL THEN -2 WHEN expire_ms IS NULL THEN -1 ELSE (expire_ms - 600 + 500) // 1000 END AS BIGINT) AS ttl FROM p LEFT JOIN (SELECT * FROM space WHERE expire_ms IS NULL OR expire_ms >= 600) USING (key)")
+@query("keys_ttl", f"WITH {SPACE}, p AS (SELECT c_name AS key FROM customer UNION ALL SELECT 'absent') SELECT key, CAST(CASE WHEN type IS NULL THEN -2 WHEN expire_ms IS NULL THEN -1 ELSE (expire_ms - 600 + 500) // 1000 END AS BIGINT) AS ttl FROM p LEFT JOIN (SELECT * FROM space WHERE expire_ms IS NULL OR expire_ms >= 600) USING (key)")
 def keys_ttl(spark, d):
-    probes = read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("key")).unionByName(spark.range(1).select(F.lit("absent").alias("key")))
+    probes = read(spark, d, "customer").select(F.col("c_name").alias("key")).unionByName(spark.range(1).select(F.lit("absent").alias("key")))
     return keyspace.ttl(_space(spark, d), probes, 600)
 
 
-@query("keys_expire_lt", f"WITH {SPACE}, p AS (SELECT c_name AS key FROM customer WHERE c_custkey % 3 = 0) SELECT key, CAST(expire_ms IS NULL OR 700 < expire_ms AS INTEGER) AS code, false AS deleted, CASE WHEN expire_ms IS NULL OR 700 < expire_ms THEN 700 ELSE expire_ms END AS expire_ms FROM p JOIN space USING (key)")
+@query("keys_expire_lt", f"WITH {SPACE}, p AS (SELECT c_name AS key FROM customer) SELECT key, CAST(expire_ms IS NULL OR 700 < expire_ms AS INTEGER) AS code, false AS deleted, CASE WHEN expire_ms IS NULL OR 700 < expire_ms THEN 700 ELSE expire_ms END AS expire_ms FROM p JOIN space USING (key)")
 def keys_expire_lt(spark, d):
-    probes = read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("key"))
+    probes = read(spark, d, "customer").select(F.col("c_name").alias("key"))
     return keyspace.expire(_space(spark, d), probes, 100, 700, "LT")
 
 
@@ -439,11 +438,6 @@ def keys_next(spark, d):
     return keyspace.access_order(access).withColumn("p", F.round("p", 9))
 
 
-@query("keys_slots")
-def keys_slots(spark, d):
-    return read(spark, d, "customer").select("c_name", key_slot(F.col("c_name")).alias("slot"))
-
-
 @query("keys_evict", f"SELECT c_name AS key, expire_ms FROM customer JOIN (WITH {SPACE} SELECT * FROM space) s ON s.key = c_name WHERE expire_ms IS NOT NULL ORDER BY expire_ms, c_name LIMIT 20")
 def keys_evict(spark, d):
     return keyspace.evict(_space(spark, d).drop("type"), "volatile-ttl", 20)

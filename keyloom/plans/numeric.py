@@ -10,11 +10,11 @@ from keyloom.plans.base import POINTS, distance_sql, points
 from keyloom.plans.registry import query
 from keyloom.sources.tables import read
 
-BITS = "bits AS (SELECT DISTINCT event_type AS key, user_id AS pos FROM events WHERE event_id % 4 = 0)"
+BITS = "bits AS (SELECT DISTINCT event_type AS key, user_id AS pos FROM events)"
 
 
 def _bits(spark, d):
-    return read(spark, d, "events").where("event_id % 4 = 0").select(F.col("event_type").alias("key"), F.col("user_id").alias("pos")).distinct()
+    return read(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("pos")).distinct()
 
 
 def _two(spark, d):
@@ -42,9 +42,10 @@ for _op, _test in (("and", "count(*) = 2"), ("or", "true"), ("xor", "count(*) %
         return bitmaps.bitop(_bits(spark, d), op, _two(spark, d))
 
 
-@query("bit_op_not", f"WITH {BITS}, {TWO} SELECT i AS pos FROM range(0, 4096) t(i) WHERE i NOT IN (SELECT pos FROM bits, two WHERE key = a)")
+@query("bit_op_not", f"WITH {BITS}, {TWO} SELECT i AS pos FROM range(0, (SELECT max(user_id) + 1 FROM events)) t(i) WHERE i NOT IN (SELECT pos FROM bits, two WHERE key = a)")
 def bit_op_not(spark, d):
-    return bitmaps.bitop(_bits(spark, d), "NOT", _two(spark, d)[:1], 4096)
+    longest = read(spark, d, "events").agg(F.max("user_id")).first()[0]
+    return bitmaps.bitop(_bits(spark, d), "NOT", _two(spark, d)[:1], longest + 1)
 
 
 @query("bit_pos", f"WITH {BITS} SELECT key, min(pos) AS pos FROM bits GROUP BY key")
@@ -84,16 +85,6 @@ def hll_registers(spark, d):
     return sketches.registers(_hashed(spark, d), hashed=F.col("h"))
 
 
-@query("hll_count")
-def hll_count(spark, d):
-    return sketches.estimate(sketches.registers(_hashed(spark, d), hashed=F.col("h")))
-
-
-@query("hll_merge")
-def hll_merge(spark, d):
-    return sketches.estimate(sketches.merge(sketches.registers(_hashed(spark, d), hashed=F.col("h")), "all"))
-
-
 @query("frequencies", "SELECT event_type AS key, user_id AS member, count(*) AS n FROM events GROUP BY 1, 2")
 def frequencies(spark, d):
     return sketches.frequencies(read(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("member")))
@@ -141,11 +132,6 @@ def geo_pos(spark, d):
     return geo.geoadd(points(spark, d)).select("member", F.round(lon, 5).alias("lon"), F.round(lat, 5).alias("lat"))
 
 
-@query("geo_hash")
-def geo_hash(spark, d):
-    return geo.geohash(geo.geoadd(points(spark, d))).select("member", "hash")
-
-
 @query("geo_dist", f"WITH {POINTS} SELECT a.member AS member1, a.member + 1 AS member2, round({distance_sql('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 2) AS dist FROM points a LEFT JOIN points b ON b.member = a.member + 1")
 def geo_dist(spark, d):
     p = points(spark, d)

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from keyloom.plans import collections, logs, numeric  # noqa: F401
+    from keyloom.plans import collections, commands, logs, numeric  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -396,3 +396,82 @@ def test_vector_batch_keeps_least_ids_of_equal_distances(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q array<double>")
     got = vectors.vsearch_batch(v, q, 3, "L2").orderBy("rank").collect()
     assert [r.ext_id for r in got] == [1, 2, 3]
+
+
+def test_rename_needs_a_source_and_nx_a_free_name(spark):
+    t = spark.createDataFrame([("a", 1), ("b", 2)], "key string, member int")
+    with pytest.raises(ValueError, match="no such key"):
+        keyspace.rename(t, "absent", "b")
+    assert vals(keyspace.rename(t, "a", "b", nx=True), "key", "member") == [("a", 1), ("b", 2)]
+    assert vals(keyspace.rename(t, "a", "b"), "key", "member") == [("b", 1)] and vals(keyspace.rename(t, "a", "c", nx=True), "key", "member") == [("b", 2), ("c", 1)]
+
+
+def test_zadd_settles_several_rows_of_a_member(spark, z):
+    new = spark.createDataFrame([("zseta", "m", 5.0, 1), ("zseta", "m", 4.0, 2)], "key string, member string, score double, at int")
+    assert ("zseta", "m", 4.0) in vals(zsets.zadd(z, new, order="at"), "key", "member", "score")
+    with pytest.raises(Exception, match="several rows"):
+        zsets.zadd(z, new).collect()
+
+
+def test_lag_with_deletions(spark):
+    """Entries 1 to 5: what was read is deleted, then something ahead, then all."""
+    ids = lambda *n: spark.createDataFrame([("s", i, 0) for i in n], "key string, ms long, seq long")
+    none = spark.createDataFrame([], "key string, grp string, ms long, seq long, consumer string")
+
+    def lag(kept, gone, last, read, trimmed=()):
+        g = spark.createDataFrame([("s", "g", last, 0, read)], "key string, grp string, last_ms long, last_seq long, entries_read long")
+        state = streams.xstate(ids(*kept), ids(*gone), ids(*trimmed))
+        return streams.xinfo_groups(ids(*kept), g, none, state).first().lag
+
+    assert lag([3, 4, 5], [1, 2], 2, 2) is None or lag([3, 4, 5], [1, 2], 2, 2) == 3
+    assert lag([1, 2, 3, 4, 5], [], 2, 2) == 3 and lag([1, 2, 4, 5], [3], 2, 2) is None and lag([1, 2, 4, 5], [3], 4, 4) == 1
+    assert lag([], [1, 2, 3, 4, 5], 5, 5) == 0 and lag([1, 2, 3], [4, 5], 5, None) == 0 and lag([4, 5], [], 0, None, [1, 2, 3]) == 2
+    assert lag([4, 5], [], 4, None, [1, 2, 3]) == 1 and lag([1, 2, 3], [], 2, None) is None
+
+
+def test_cells_find_nine_of_ten_neighbours(spark):
+    v = tables.read(spark, "/root/testdata/sf0.01", "embeddings").select(F.col("vec_id").alias("ext_id"), "embedding", F.lit(False).alias("deleted"))
+    q = v.where("ext_id % 50 = 0").select(F.col("ext_id").alias("query_id"), F.col("embedding").alias("q"))
+    exact = set(vals(vectors.vsearch_batch(v, q, 5), "query_id", "ext_id"))
+    got = set(vals(vectors.vsearch_cells(v, q, vectors.cells_fit(v), 5), "query_id", "ext_id"))
+    assert len(exact & got) >= 0.9 * len(exact) and len(exact) == 5 * q.count()
+
+
+def test_batch_search_leaves_out_nulls_and_other_dimensions(spark):
+    rows = [("a", [1.0, 0.0], False), ("b", [0.0, 1.0], True), ("c", None, False), ("d", [1.0, 1.0, 1.0], False), ("e", [0.5, 0.5], None)]
+    v = spark.createDataFrame(rows, "ext_id string, embedding array<float>, deleted boolean")
+    q = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "query_id long, q array<double>")
+    assert vals(vectors.vsearch_batch(v, q, 5, "L2"), "query_id", "ext_id", "rank") == [(1, "a", 2), (1, "e", 1), (2, "a", 1), (2, "e", 2)]
+    assert vectors.vsearch_batch(v, q.limit(0), 5).count() == 0
+    assert vals(vectors.vsearch_batch(v, q, 1, "L2", block_bytes=16), "query_id", "ext_id") == [(1, "e"), (2, "a")]
+
+
+def test_long_texts_have_a_common_subsequence():
+    rnd = random.Random(5)
+    a = "".join(rnd.choices("abcd", k=3000))
+    b = "".join(c for c in a if rnd.random() < 0.9)
+    text, ranges = strings.lcs_table(a, b)
+    assert text == b and sum(r[4] for r in ranges) == len(b)
+
+
+def test_percentile_sketches_and_scripts(spark):
+    from keyloom.operators import observability, scripting
+
+    s = spark.createDataFrame([("e", i) for i in range(1001)], "event string, ms long")
+    assert observability.percentiles(s, [0.5, 0.999]).first().asDict() == {"event": "e", "p50": 500.0, "p99_9": 999.0}
+    assert abs(observability.percentiles(s, [0.5], exact=False).first().p50 - 500) <= 1
+    f = scripting.Functions()
+    f.load("l", {"f": scripting.SqlFunction("ms + 1")})
+    dumped = f.dump()
+    with pytest.raises(ValueError):
+        f.restore(dumped)
+    f.restore(dumped, "REPLACE")
+    f.restore(dumped, "FLUSH")
+    assert f.stats() == {"libraries": 1, "functions": 1}
+    scripts = scripting.Scripts()
+    with pytest.raises(ValueError):
+        scripts.evalsha(s, "0" * 40)
+    assert "Project" in scripts.debug(s, "ms * argv1", [2]) and scripts.exists(scripts.digest("ms * argv1")) == [1]
+    scripts.flush()
+    assert scripts.exists(scripts.digest("ms * argv1")) == [0]
+    scripting.kill(spark, "no such group")
