@@ -83,8 +83,9 @@ def _circulant(*key: int) -> Circulant:
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each component of edges (a, b), by alternating large and small stars.
 
-    The edges of a round are a table in the shared folder; only whether a round is the last comes to the driver. A hub's
-    edges meet its minimum in a join that adaptive execution can split.
+    The edges of a round, and the least neighbours that they are joined with, are tables in the shared folder, so that adaptive
+    execution can split the join of a hub; only whether a round is the last comes to the driver. Edges with a null are not
+    edges; no edges give no rows.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
     while True:
@@ -93,12 +94,13 @@ def connected(edges: DataFrame) -> DataFrame:
         if inner.unionByName(now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")).isEmpty():
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a"), F.least("a", "m").alias("m")), "stars-least")
+        large = written(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")), "stars-large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "stars-low")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         new = written(small, "stars")
-        release(now)
+        for made in (now, least, large, low):
+            release(made)
         now = new
 
 
@@ -195,7 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The linked ones of pairs (a, b): a's text is dealt once to each task that holds some of its partners."""
-        counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _PER_TASK).cast("int").alias("parts"))
+        counts = written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / _PER_TASK).cast("int").alias("parts")), "minhash-centres")
         partners = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
         centres = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         rows_ = partners.join(held.withColumnRenamed("class", "b"), "b").select("a", "part", "b", "text").unionByName(centres.join(held.withColumnRenamed("class", "a"), "a").select("a", "part", F.lit(None).cast("binary").alias("b"), "text"))
