@@ -408,7 +408,7 @@ class _Tables:
                             keys, bad = np.frombuffer(f[slot % 2], dtype=np.uint64), int(y[slot // 2])
                             one = np.ones(len(keys), dtype=np.int64)
                             tally.add(keys, one, bad * one, 1, bad)
-                if sum(t.size for t in tallies) > 1 << 21:
+                if sum(t.size for t in tallies) > 1 << 20:
                     yield from out(tallies)
             yield from out(tallies)
 
@@ -419,7 +419,7 @@ class _Tables:
                 for c in chunks(values):
                     made = _views(values[c], langs[c], sources[c])
                     _teach(tallies, made, [y for views in shared.value[0] for y in _taught(views, made, sure)])
-                    if sum(t.size for t in tallies) > 1 << 21:
+                    if sum(t.size for t in tallies) > 1 << 20:
                         yield from out(tallies)
             yield from out(tallies)
 

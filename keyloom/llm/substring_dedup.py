@@ -31,7 +31,7 @@ from keyloom.llm.bloom import repeated_hashes, size_for
 from keyloom.llm.common import bounded_batches, mix, rolling, row_key, texts, word_bounds, word_hashes
 
 _ANCHOR = 16
-_WORDS_HELD = 1 << 21
+_WORDS_HELD = 1 << 20
 _BLOCK = 1 << 20
 
 
