@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import bounded_batches, texts
+from keyloom.llm.common import bounded_batches, texts, word_hashes
 
 # White space, and the pattern that cuts a text into words, as the byte-level pre-tokenizer has them.
 _S = "\t\n\v\f\r \x85\xa0  -     　"
@@ -28,6 +28,11 @@ _WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}
 #: A unit is a run without white space, with the one space before it. No word crosses a unit's end.
 _UNITS = re.compile(f"[{_S}]+(?![^{_S}])| ?[^{_S}]+|[{_S}]+")
 _PUNCTUATION = ".,;:!?|&%$*#)"
+_SPACES = [c for c in map(chr, range(0x3001)) if re.fullmatch(f"[{_S}]", c)]
+#: White space beyond ASCII: a text that has some is cut by the pattern, others byte by byte.
+_WIDE = "|".join(c for c in _SPACES if ord(c) > 127).encode()
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[ord(c) for c in _SPACES if ord(c) < 128]] = True
 _CACHE = 1_000_000
 _LANE = 48  # bytes of words that are matched, and merged, side by side; longer ones are taken one by one
 _NEVER = np.int64(1) << 40
@@ -40,6 +45,26 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _same(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each run of bytes is the same as that numbered ``other``, eight bytes at a time."""
+    n = ends - starts
+    if not (n == n[other]).all():
+        return False
+    pad = np.zeros(len(buf) + 8, dtype=np.uint8)
+    pad[: len(buf)] = buf
+    view = np.lib.stride_tricks.as_strided(pad, shape=(len(buf) + 1, 8), strides=(1, 1))
+    apart = np.flatnonzero(other != np.arange(len(other)))
+    a, b, left = starts[apart], starts[other[apart]], n[apart]
+    while len(a):
+        x = np.ascontiguousarray(view[a]).view("<u8").ravel() ^ np.ascontiguousarray(view[b]).view("<u8").ravel()
+        x <<= ((8 - np.minimum(left, 8)) * 8).astype(np.uint64)
+        if x.any():
+            return False
+        more = left > 8
+        a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
+    return True
+
+
 class IntMap:
     """A fixed map from non-negative longs to longs, looked up for whole arrays; what is missing gives -1."""
 
@@ -84,6 +109,7 @@ class Bpe:
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.odd = re.compile(b"|".join([_WIDE, *(re.escape(t.encode()) for t in self.special)]))
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.bytes: list[bytes] = [b""] * size
         for token, i in vocab.items():
@@ -99,7 +125,7 @@ class Bpe:
         self.proposed = {b: i for b, i in self.of.items() if self.exact(b) == [i]}
         self._single = np.array(self.single, dtype=np.int64)
         self._trie()
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def _spines(self, pairs: list[tuple[int, int, int]], size: int) -> None:
         parts = {made: (a, b, rank) for rank, (a, b, made) in reversed([*enumerate(pairs)])}
@@ -298,36 +324,112 @@ class Bpe:
                 out[i] = ids.astype("<u4").tobytes()
         return out
 
-    def _learn(self, units: list[str]) -> None:
-        parts, distinct = [], set()
+    def _learn(self, units: list[bytes]) -> None:
+        plain, parts, distinct = [], [], set()
         find = self.words.findall
-        for u in units:
+        for raw in units:
+            u = raw.decode("utf-8", errors="replace")
             # Letters with plain punctuation after them, the most common unit, need no pattern.
+            if u.isalpha() or u[:1] == " " and u[1:].isalpha():
+                plain.append(raw)
+                continue
             core = u.rstrip(_PUNCTUATION)
             if core.isalpha() or core[:1] == " " and core[1:].isalpha():
-                ws = (u,) if len(core) == len(u) else (core, u[len(core) :])
+                ws = (core.encode(), u[len(core) :].encode())
             else:
-                ws = find(u)
-            parts.append(ws)
+                ws = [w.encode() for w in find(u)]
+            parts.append((raw, ws))
             distinct.update(ws)
-        words = list(distinct)
-        ids = dict(zip(words, self.encode_words([x.encode() for x in words]), strict=True))
-        self.cache.update((u, ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])) for u, ws in zip(units, parts, strict=True))
+        ids = self.cache
+        words = [w for w in distinct.difference(plain) if w not in ids]
+        made = self.encode_words(plain + words)
+        ids.update(zip(plain, made, strict=False))
+        own = dict(zip(words, made[len(plain) :], strict=True))
+        ids.update((u, b"".join([own[w] if w in own else ids[w] for w in ws])) for u, ws in parts)
+
+    def _known(self, units: list[bytes]) -> list[bytes]:
+        """The ids of distinct units, from the cache or learned."""
+        new = [u for u in units if u not in self.cache]
+        if len(self.cache) + len(new) > _CACHE:
+            self.cache = {u: self.cache[u] for u in units if u in self.cache}
+        if new:
+            self._learn(new)
+        return list(map(self.cache.__getitem__, units))
 
     def encode_batch(self, batch: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit values. Strings of special tokens become their ids."""
+        return self.encode_bytes([t.encode("utf-8", errors="replace") for t in batch])
+
+    def encode_bytes(self, values: list[bytes]) -> list[bytes]:
+        """The same of texts in UTF-8. Texts without special tokens and white space beyond ASCII are cut, and their equal units
+        told, in arrays; the others text by text."""
+        out = [b""] * len(values)
+        odd = self.odd.search
+        usual = [i for i, v in enumerate(values) if not odd(v)]
+        done = set(usual) if usual and self._encode_arrays(values, usual, out) else set()
+        rest = [i for i in range(len(values)) if i not in done]
+        for i, ids in zip(rest, self._encode_each([values[i].decode("utf-8", errors="replace") for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _encode_arrays(self, values: list[bytes], usual: list[int], out: list[bytes]) -> bool:
+        """Fill ``out``; False, with nothing done, if two different units have one hash."""
+        some = [values[i] for i in usual]
+        raw = b"\n".join(some) + b"\n"
+        buf = np.frombuffer(raw, dtype=np.uint8)
+        ends_of = np.cumsum([len(v) + 1 for v in some]) - 1  # the line ends between texts
+        kind = _BLANK[buf].astype(np.int8)
+        kind[ends_of] = 2
+        change = np.flatnonzero(np.diff(kind)) + 1
+        first = np.concatenate([[0], change])
+        last = np.concatenate([change, [len(buf)]])
+        of = kind[first]
+        # Units begin where a run does, but a word takes the one space before it, and of a longer run before a word the last
+        # character stands apart.
+        begins = np.zeros(len(buf), dtype=bool)
+        begins[first] = True
+        begins[ends_of] = True
+        begins[ends_of[:-1] + 1] = True
+        blank = np.flatnonzero((of[:-1] == 1) & (of[1:] == 0)) if len(of) > 1 else np.empty(0, dtype=np.int64)
+        tail = last[blank] - 1
+        begins[tail] = True
+        begins[tail[buf[tail] == 32] + 1] = False
+        starts = np.flatnonzero(begins)
+        ends = np.concatenate([starts[1:], [len(buf)]])
+        keep = kind[starts] != 2
+        starts, ends = starts[keep], ends[keep]
+        if len(starts):
+            hashes = word_hashes(buf, starts, ends)
+            order = np.argsort(hashes)
+            new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+            number = np.empty(len(order), dtype=np.int64)
+            number[order] = np.cumsum(new) - 1
+            one = order[new]
+            if not _same(buf, starts, ends, one[number]):
+                return False
+            units = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
+            known = self._known(units)
+            flat = np.frombuffer(b"".join(known), dtype="<u4")
+            size = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) >> 2
+            begin = np.cumsum(size) - size
+            each = size[number]
+            upto = np.cumsum(each)
+            ids = flat[np.repeat(begin[number] - (upto - each), each) + np.arange(int(upto[-1]))].astype("<u4").tobytes()
+            upto = np.concatenate([[0], upto])
+        else:
+            ids, upto = b"", np.zeros(1, dtype=np.int64)
+        cuts = (upto[np.searchsorted(starts, np.concatenate([[0], ends_of]))] * 4).tolist()
+        for i, a, b in zip(usual, cuts, cuts[1:], strict=False):
+            out[i] = ids[a:b]
+        return True
+
+    def _encode_each(self, batch: list[str]) -> list[bytes]:
+        if not batch:
+            return []
         cut, find = self.cut, _UNITS.findall
         parts = [[p if i % 2 else find(p) for i, p in enumerate(cut.split(t))] if cut else [find(t)] for t in batch]
-        distinct: set[str] = set()
-        for ps in parts:
-            for units in ps[::2]:
-                distinct.update(units)
-        new = [u for u in distinct if u not in self.cache]
-        if len(self.cache) + len(new) > _CACHE:
-            self.cache = {u: self.cache[u] for u in distinct if u in self.cache}
-        if new:
-            self._learn(new)
-        get = self.cache.__getitem__
+        units = list({u for ps in parts for us in ps[::2] for u in us})
+        get = dict(zip(units, self._known([u.encode() for u in units]), strict=True)).__getitem__
         out = []
         for ps in parts:
             got = b"".join(map(get, ps[0]))
@@ -375,7 +477,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             values = texts(batch.column(1))
             for a, b in slices(values):
-                got = bpe.encode_batch([v.decode("utf-8", errors="replace") for v in values[a:b]])
+                got = bpe.encode_bytes(values[a:b])
                 ids = np.frombuffer(b"".join(got), dtype="<i4")
                 offsets = np.concatenate([[0], np.cumsum([len(g) // 4 for g in got])]).astype(np.int32)
                 back = [bpe.decode(ids[s:e].tolist()) for s, e in zip(offsets, offsets[1:], strict=False)] if decode else [None] * (b - a)

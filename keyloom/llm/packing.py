@@ -53,7 +53,7 @@ def pack(docs: DataFrame, path: str, max_len: int = 2048, end_id: int | None = 1
         for batch in batches:
             values = texts(batch.column(1))
             for a, b in slices(values):
-                got = [g + tail for g in bpe.encode_batch([v.decode("utf-8", errors="replace") for v in values[a:b]])]
+                got = [g + tail for g in bpe.encode_bytes(values[a:b])]
                 lengths = [piece_lengths(len(g) // 4, max_len) for g in got]
                 counts = np.array([len(x) for x in lengths])
                 length = np.array([y for x in lengths for y in x], dtype=np.int64)
