@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import clamp_range
+from keyloom.functions.ranks import numbered
 
 
 def _at(rev: bool = False):
@@ -13,8 +14,8 @@ def _at(rev: bool = False):
 
 
 def indexed(lst: DataFrame) -> DataFrame:
-    """With ``idx`` from the head and ``len``."""
-    return lst.withColumns({"idx": (F.row_number().over(_at()) - 1).cast("long"), "len": F.count(F.lit(1)).over(Window.partitionBy("key"))})
+    """With ``idx`` from the head and ``len``; a list is spread over tasks by its positions."""
+    return numbered(lst, ["key"], "pos", out="idx", total="len")
 
 
 def llen(lst: DataFrame) -> DataFrame:

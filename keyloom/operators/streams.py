@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyloom.functions.ranks import numbered
+
 Id = tuple[int, int]
 FIRST, LAST = (0, 0), ((1 << 63) - 1, (1 << 63) - 1)
 
@@ -131,8 +133,7 @@ def xreadgroup(stream: DataFrame, groups: DataFrame, consumers: list[str], noack
     ``groups``: (key, grp, last_ms, last_seq, entries_read). Each entry goes to one consumer of each group.
     """
     rows = stream.join(groups.select("key", "grp", "last_ms", "last_seq"), "key").where((F.col("ms") > F.col("last_ms")) | ((F.col("ms") == F.col("last_ms")) & (F.col("seq") > F.col("last_seq")))).drop("last_ms", "last_seq")
-    n = F.row_number().over(Window.partitionBy("key", "grp").orderBy("ms", "seq")) - 1
-    dealt = rows.withColumn("_i", n)
+    dealt = numbered(rows, ["key", "grp"], "ms", ["seq"], out="_i")
     dealt = dealt if count is None else dealt.where(F.col("_i") < count)
     delivered = dealt.withColumn("consumer", F.element_at(F.array(*map(F.lit, consumers)), (F.col("_i") % len(consumers) + 1).cast("int"))).drop("_i")
     pending = delivered.select("key", "grp", "ms", "seq", "consumer", F.lit(1).alias("delivery_count"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import clamp_range, lex_range, score_range
+from keyloom.functions.ranks import numbered
 
 
 def _window(rev: bool = False):
@@ -54,8 +55,8 @@ def zlexcount(z: DataFrame, low: str = "-", high: str = "+") -> DataFrame:
 
 
 def zrank(z: DataFrame, rev: bool = False) -> DataFrame:
-    """0-based ranks of all members."""
-    return z.withColumn("rank", (F.row_number().over(_window(rev)) - 1).cast("long"))
+    """0-based ranks of all members; a key is spread over tasks by its scores."""
+    return numbered(z, ["key"], "score", ["member"], desc=rev, out="rank")
 
 
 def ztop(z: DataFrame, k: int, rev: bool = True) -> DataFrame:
@@ -68,10 +69,10 @@ def zrange(z: DataFrame, start: int, stop: int, rev: bool = False) -> DataFrame:
     if 0 <= start <= stop:
         return ztop(z, stop + 1, rev).where(F.col("rank") >= start)
     if start < 0 and stop < 0:  # the same rows counted from the other end
-        n = F.count(F.lit(1)).over(Window.partitionBy("key"))
-        back = ztop(z.withColumn("_n", n), -start, not rev).where(F.col("rank") >= -stop - 1)
+        sizes = z.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+        back = ztop(z, -start, not rev).where(F.col("rank") >= -stop - 1).join(sizes, "key")
         return back.withColumn("rank", (F.col("_n") - 1 - F.col("rank")).cast("long")).drop("_n")
-    sized = zrank(z, rev).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    sized = numbered(z, ["key"], "score", ["member"], desc=rev, out="rank", total="_n")
     low, high = clamp_range(F.col("_n"), start, stop)
     return sized.where(F.col("rank").between(low, high)).drop("_n")
 
@@ -119,7 +120,7 @@ def zremrangebylex(z: DataFrame, low: str = "-", high: str = "+") -> DataFrame:
 
 
 def zremrangebyrank(z: DataFrame, start: int, stop: int) -> DataFrame:
-    sized = zrank(z).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("key")))
+    sized = numbered(z, ["key"], "score", ["member"], out="rank", total="_n")
     low, high = clamp_range(F.col("_n"), start, stop)
     return sized.where(~F.col("rank").between(low, high)).drop("_n", "rank")
 

@@ -475,3 +475,18 @@ def test_percentile_sketches_and_scripts(spark):
     scripts.flush()
     assert scripts.exists(scripts.digest("ms * argv1")) == [0]
     scripting.kill(spark, "no such group")
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_numbers_within_keys(spark, desc):
+    from keyloom.functions.ranks import numbered
+
+    rnd = random.Random(7)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([0.0, 1.5, -3.0, 1e12, math.inf, -math.inf, rnd.random()]), i) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "key string, x double, m long"), ["key"], "x", ["m"], desc, "idx", "n").collect()
+    for k in ("a", "b", None):
+        want = sorted((r[1:] for r in rows if r[0] == k), reverse=desc)
+        mine = sorted((r for r in got if r.key == k), key=lambda r: r.idx)
+        assert [(r.x, r.m) for r in mine] == want and [r.idx for r in mine] == [*range(len(want))] and {r.n for r in mine} == {len(want)}
+    one = spark.createDataFrame([("a", 5.0, 1)], "key string, x double, m long")
+    assert numbered(one, ["key"], "x").first().idx == 0 and numbered(one.limit(0), ["key"], "x").count() == 0
