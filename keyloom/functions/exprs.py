@@ -162,10 +162,15 @@ def geohash_decode(code: Column) -> tuple[Column, Column]:
 
 def geohash_text(code: Column) -> Column:
     """The public 11-character geohash of a cell: encoded anew over all latitudes, its last character always 0."""
-    lon, lat = geohash_decode(code)
-    bits = geohash_encode(lon, lat, 90.0)
-    chars = [F.substring(F.lit(BASE32), F.pmod(F.shiftrightunsigned(bits, 52 - 5 * (i + 1)), F.lit(32)).cast("int") + 1, 1) if i < 10 else F.lit("0") for i in range(11)]
-    return F.concat(*chars)
+    at = lambda bits, i: F.substring(F.lit(BASE32), F.pmod(F.shiftrightunsigned(bits, 52 - 5 * (i + 1)), F.lit(32)).cast("int") + 1, 1)
+    point = F.struct(*[c.alias(n) for c, n in zip(geohash_decode(code), ("x", "y"), strict=True)])
+    bits = _once(point, lambda p: geohash_encode(p["x"], p["y"], 90.0))
+    return _once(bits, lambda b: F.concat(*[at(b, i) for i in range(10)], F.lit("0")))
+
+
+def _once(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:

@@ -58,7 +58,7 @@ def invalidations(access: DataFrame, prefixes: DataFrame | None = None, no_loop:
     The first write of a key after a client read it tells that client, once; after that it must read again to be told.
     Clients that named ``prefixes`` (client, prefix) are told of every write of a key that begins with one. With ``no_loop``
     a client is not told of its own writes."""
-    w = Window.partitionBy("key").orderBy("ts").rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy("key").orderBy(F.col("ts").desc()).rowsBetween(Window.unboundedPreceding, -1)  # what comes later, summed up once
     at = F.struct("ts", F.col("client").alias("writer"))
     told = access.withColumn("_w", F.min(F.when(F.col("write"), at)).over(w)).where(~F.col("write") & F.col("_w").isNotNull())
     out = told.select("client", "key", F.col("_w.ts").alias("ts"), F.col("_w.writer").alias("_by"))
