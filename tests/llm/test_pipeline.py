@@ -59,3 +59,13 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
             out = stage(spark, df, SF)
             assert name == "packing" or out.columns == corpus_pipeline.COLUMNS
             out.collect()
+
+
+def test_near_keeps_one_of_rows_that_repeat_an_id(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words)), (1, " ".join([*words[:-1], "x"])), (2, " ".join([*words[:-1], "y"])), (3, None), (4, ""), (None, "one two"), (5, "alone " * 3)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row string, kept boolean"
+    docs = spark.createDataFrame([(d, t, "en", None, 0, "r", False) for d, t in rows], kind)
+    got = corpus_pipeline.near(spark, docs, SF).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == [(False, 1), (False, 3), (False, 4), (False, 5), (True, 0)]
+    assert got[0].asDict().keys() == set(corpus_pipeline.COLUMNS) and corpus_pipeline.near(spark, docs.limit(0), SF).count() == 0
