@@ -8,7 +8,8 @@ once, however many pre-tokens share it. What a pre-token costs is the count at i
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +23,12 @@ _DEEP = 256  # characters of a pre-token that the trie holds; what follows needs
 _WORDS = 800_000
 _RUN = 4096  # words between looks at the limits: 4096 * _DEEP nodes can come in between at most
 _UNIT = 1 << 20
+_COUNT = (1 << 32) - 1
+
+
+def _value(score: int) -> int:
+    """The value of one token of this score."""
+    return (score << 32) - 1
 
 
 def rank_scores(pieces: list[str]) -> dict[str, int]:
@@ -42,70 +49,66 @@ def sentencepiece_scores(path: str) -> dict[str, int]:
 class Counter(dict):
     """A trie of pre-tokens, and the counts of whole pre-tokens as a dictionary that asks the trie for what it lacks.
 
-    A node is [score, -count, children]; a character that no piece has is its UTF-8 bytes. Pieces are kept by their last
+    Nodes are numbered: one dictionary leads from a node and a character to the next node, one list has the value of the best
+    segmentation of each node's prefix. A value is the score times 2**32 less the number of tokens, so one comparison prefers
+    the higher score and then fewer tokens. A character that no piece has is its UTF-8 bytes. Pieces are kept by their last
     character first, so that those that end at a node are found by walking back from it until none goes on."""
 
     def __init__(self, scores: dict[str, int]):
         super().__init__()
         self.longest = max(map(len, scores), default=1)
         self.byte = min(scores.values(), default=0) - 2 * _UNIT
+        self.other = _value(self.byte)
         self.ends: dict = {}
         for piece, score in scores.items():
             at = self.ends
             for c in reversed(piece):
-                at = at.setdefault(c, {})
-            at[""] = score
-        self.root: list = [0, 0, {}]
-        self.nodes = 0
+                at = at.setdefault(ord(c), {})
+            at[-1] = _value(score)
+        self.begin()
+
+    def begin(self) -> None:
+        """An empty trie."""
+        self.after: dict[int, int] = {}
+        self.values = [0]
+
+    @property
+    def nodes(self) -> int:
+        return len(self.values)
+
+    def _best(self, codes: Sequence[int], i: int, before: list[int]) -> int:
+        """The value of the prefix that ends with character ``i``; ``before`` has those of the shorter ones, the nearest last."""
+        c = codes[i]
+        best, at, back, j = before[-1] + self.other * (1 if c < 128 else 2 if c < 2048 else 3 if c < 65536 else 4), self.ends.get(c), -1, i
+        while at is not None:
+            s = at.get(-1)
+            if s is not None:
+                s += before[back]
+                if s > best:
+                    best = s
+            back -= 1
+            j -= 1
+            at = at.get(codes[j]) if j >= 0 else None
+        return best
 
     def insert(self, word: str) -> int:
         """The number of tokens in the best segmentation: the highest score, of those the fewest tokens."""
-        node, path, ends = self.root, [self.root], self.ends
-        for i, c in enumerate(word[:_DEEP]):
-            child = node[2].get(c)
-            if child is None:
-                n = len(c.encode("utf-8", errors="surrogatepass"))
-                score, fewest = node[0] + n * self.byte, node[1] - n
-                at, j = ends.get(c), i
-                while at is not None:
-                    s = at.get("")
-                    if s is not None:
-                        before = path[j]
-                        s += before[0]
-                        if s > score or s == score and before[1] - 1 > fewest:
-                            score, fewest = s, before[1] - 1
-                    j -= 1
-                    at = at.get(word[j]) if j >= 0 else None
-                child = node[2][c] = [score, fewest, {}]
-                self.nodes += 1
-            node = child
-            path.append(node)
-        return -node[1] if len(word) <= _DEEP else self._tail(word, path)
-
-    def _tail(self, word: str, path: list) -> int:
-        """The count of a pre-token longer than the trie is deep: a window of the last scores goes on from the trie's last node, so
-        memory does not grow with a text that has no white space."""
-        keep = self.longest + 1
-        scores, counts = [x[0] for x in path[-keep:]], [x[1] for x in path[-keep:]]
-        for i in range(_DEEP, len(word)):
-            c = word[i]
-            n = len(c.encode("utf-8", errors="surrogatepass"))
-            score, fewest = scores[-1] + n * self.byte, counts[-1] - n
-            at, j = self.ends.get(c), i
-            while at is not None:
-                s = at.get("")
-                if s is not None:
-                    back = j - i - 1
-                    s += scores[back]
-                    if s > score or s == score and counts[back] - 1 > fewest:
-                        score, fewest = s, counts[back] - 1
-                j -= 1
-                at = at.get(word[j]) if i - j < self.longest else None
-            scores.append(score)
-            counts.append(fewest)
-            if len(scores) > 4 * keep + 1024:
-                del scores[:-keep], counts[:-keep]
-        return -counts[-1]
+        codes = [*map(ord, word)] if len(word) <= _DEEP else array("I", word.encode("utf-32-le"))
+        after, values = self.after, self.values
+        node, path = 0, [0]
+        for i, c in enumerate(codes if len(codes) <= _DEEP else codes[:_DEEP]):
+            edge = node << 21 | c
+            node = after.get(edge)
+            if node is None:
+                node = after[edge] = len(values)
+                values.append(self._best(codes, i, path))
+            path.append(values[node])
+        if len(codes) > _DEEP:  # a window of the last values goes on, so memory does not grow with a text without white space
+            for i in range(_DEEP, len(codes)):
+                path.append(self._best(codes, i, path))
+                if len(path) > 4 * self.longest + 1024:
+                    del path[: -self.longest - 1]
+        return -path[-1] & _COUNT
 
     def __missing__(self, word: bytes) -> int:
         n = self.insert(SPACE + word.decode("utf-8", errors="replace"))
@@ -117,7 +120,7 @@ class Counter(dict):
         total = 0
         for at in range(0, len(words), _RUN):
             if self.nodes > _NODES:
-                self.root, self.nodes = [0, 0, {}], 0
+                self.begin()
             if len(self) > _WORDS:
                 self.clear()
             total += sum(map(self.__getitem__, words[at : at + _RUN]))
