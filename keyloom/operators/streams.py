@@ -261,21 +261,68 @@ def xgroup_createconsumer(consumers: DataFrame, key: str, grp: str, consumer: st
     return consumers.unionByName(new), 1
 
 
+_STRETCH = 1 << 16
+
+
 def backpressure(ops: DataFrame, strategy: str, max_pending: int, sample_rate: int = 10) -> DataFrame:
     """The credit counter over a log (stream, ord, op = add or ack, n): ``result`` 0 taken, 1 dropped, 2 sampled out, -1 no credit,
-    and ``pending`` afterwards. A counter with bounds depends on all before it, so each stream is walked in order, in batches."""
+    and ``pending`` afterwards. Rows of one ``ord`` go by op, then n; a null n is 0, a null stream is a stream.
+
+    A step adds one up to the limit or takes some down to nothing, and steps in a row are again a sum between two bounds. So a
+    stream is cut in stretches of 65,536 rows: each is summed up in its own task, one row a stretch gives the counts that the
+    stretches begin with, and each is walked in its own task. With SAMPLE a step also depends on how many found no room before,
+    which has no such sum, so there a stream is one task, in batches."""
     import pyarrow as pa
 
     if strategy not in ("BLOCK", "DROP", "SAMPLE", "EVICT_OLD"):
         raise ValueError(strategy)
+    most = max(max_pending, 0)
+    kinds = "stream string, _c long, _first boolean, _i long, ord long, op string, n long"
+
+    def lists(batch, *columns):
+        return zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
+
+    def summed(batches):
+        """Each stretch as (sum, what it makes of 0, what it makes of the limit)."""
+        at, out = (), []
+        for batch in batches:
+            for stream, c, op, n in lists(batch, 0, 1, 5, 6):
+                if (stream, c) != at:
+                    at = stream, c
+                    out.append([stream, c, 0, 0, most])
+                now = out[-1]
+                if op == "ack":
+                    now[2:] = now[2] - n, max(now[3] - n, 0), max(now[4] - n, 0)
+                else:
+                    now[2:] = now[2] + 1, min(now[3] + 1, most), min(now[4] + 1, most)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i == 0 else pa.int64()) for i, x in enumerate(zip(*out, strict=True))], ["stream", "_c", "total", "low", "high"])
+
+    def begun(batches):
+        """A row for each stretch, with the count it begins with, to stand before its others."""
+        at, pending = (), 0
+        for batch in batches:
+            out = []
+            for stream, c, total, low, high in lists(batch, 0, 1, 2, 3, 4):
+                if (stream,) != at:
+                    at, pending = (stream,), 0
+                out.append((stream, c, pending))
+                pending = min(high, max(low, pending + total))
+            if out:
+                stream, c, n = zip(*out, strict=True)
+                none = pa.nulls(len(out), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(stream, pa.string()), pa.array(c, pa.int64()), pa.array([True] * len(out)), none, none, pa.nulls(len(out), pa.string()), pa.array(n, pa.int64())], ["stream", "_c", "_first", "_i", "ord", "op", "n"])
 
     def walk(batches):
-        now, pending, seen = None, 0, 0
+        at, pending, seen = (), 0, 0
         for batch in batches:
-            results, after = [], []
-            for stream, op, n in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
-                if stream != now:
-                    now, pending, seen = stream, 0, 0
+            out = []
+            for stream, c, first, order, op, n in lists(batch, 0, 1, 2, 4, 5, 6):
+                if (stream, c) != at:
+                    at, pending, seen = (stream, c), 0, 0
+                if first:
+                    pending = n
+                    continue
                 r = 0
                 if op == "ack":
                     pending -= min(n, pending)
@@ -291,12 +338,22 @@ def backpressure(ops: DataFrame, strategy: str, max_pending: int, sample_rate: i
                         pending += 1
                 else:
                     r = 1 if strategy == "DROP" else -1
-                results.append(r)
-                after.append(pending)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(results, pa.int32()), pa.array(after, pa.int64())], ["stream", "ord", "result", "pending"])
-
-    rows = ops.select("stream", F.col("ord").cast("long"), "op", F.col("n").cast("long")).repartition("stream").sortWithinPartitions("stream", "ord")
-    return rows.mapInArrow(walk, "stream string, ord long, result int, pending long")
+                out.append((stream, order, r, pending))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["stream", "ord", "result", "pending"])
+
+    def dealt(rows, *keys):
+        return rows.repartition(*keys).sortWithinPartitions("stream", "_c", *([F.col("_first").desc(), "_i", "op", "n"] if "_c" in keys else []))
+
+    log = ops.select(F.col("stream").cast("string").alias("stream"), F.col("ord").cast("long").alias("ord"), F.col("op").cast("string").alias("op"), F.greatest(F.coalesce(F.col("n").cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("n"))
+    if strategy == "SAMPLE":
+        rows = log.select("stream", F.lit(0).cast("long").alias("_c"), F.lit(False).alias("_first"), F.col("ord").alias("_i"), "ord", "op", "n")
+        return rows.repartition("stream").sortWithinPartitions("stream", "_i", "op", "n").mapInArrow(walk, "stream string, ord long, result int, pending long")
+    placed = numbered(log, ["stream"], "ord", ["op", "n"], out="_i")
+    rows = placed.select("stream", F.expr(f"_i div {_STRETCH}").alias("_c"), F.lit(False).alias("_first"), "_i", "ord", "op", "n")
+    stretches = dealt(rows, "stream", "_c").mapInArrow(summed, "stream string, _c long, total long, low long, high long")
+    firsts = dealt(stretches, "stream").mapInArrow(begun, kinds)
+    return dealt(rows.unionByName(firsts), "stream", "_c").mapInArrow(walk, "stream string, ord long, result int, pending long")
 
 
 def backpressure_config(settings: DataFrame, stream: str, strategy: str | None = None, max_pending: int | None = None, sample_rate: int | None = None) -> DataFrame:

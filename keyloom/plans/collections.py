@@ -298,11 +298,11 @@ def string_getset(spark, d):
     return strings.getset(read(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"), F.col("event_type").alias("val")))
 
 
-@query("string_set_nx", "SELECT coalesce(o.c_custkey, n.k) AS key, coalesce(c_name, 'n' || k) AS val, c_name AS old FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) o FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0) n ON o.c_custkey = n.k")
+@query("string_set_nx", "SELECT coalesce(o.c_custkey, n.k) AS key, coalesce(c_name, 'n' || k) AS val, c_name AS old FROM customer o FULL JOIN (SELECT c_custkey * 2 AS k FROM customer) n ON o.c_custkey = n.k")
 def string_set_nx(spark, d):
     c = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("val"))
-    new = c.where("key % 3 = 0").withColumn("val", F.concat(F.lit("n"), "key"))
-    return strings.set_(c.where("key % 2 = 0"), new, nx=True)
+    new = c.select((F.col("key") * 2).alias("key")).withColumn("val", F.concat(F.lit("n"), "key"))
+    return strings.set_(c, new, nx=True)
 
 
 @query("string_mget", "SELECT pos, k AS key, c_name AS val FROM (SELECT o_orderkey AS pos, o_custkey * 2 AS k FROM orders) LEFT JOIN customer ON c_custkey = k")

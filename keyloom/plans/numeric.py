@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import geohash_decode
+from keyloom.functions.ranks import numbered
 from keyloom.operators import bitmaps, geo, sketches, vectors
 from keyloom.plans.base import POINTS, distance_sql, points
 from keyloom.plans.registry import query
@@ -53,7 +54,7 @@ def bit_pos(spark, d):
     return bitmaps.bitpos(_bits(spark, d))
 
 
-@query("bit_get", f"WITH {BITS} SELECT c_custkey AS pos, a AS key, CAST(EXISTS (SELECT 1 FROM bits WHERE key = a AND pos = c_custkey) AS INTEGER) AS bit FROM customer, two".replace("FROM customer, two", "FROM customer, two").replace(f"WITH {BITS}", f"WITH {BITS}, {TWO}"))
+@query("bit_get", f"WITH {BITS}, {TWO} SELECT c_custkey AS pos, a AS key, CAST(EXISTS (SELECT 1 FROM bits WHERE key = a AND pos = c_custkey) AS INTEGER) AS bit FROM customer, two")
 def bit_get(spark, d):
     probes = read(spark, d, "customer").select(F.lit(_two(spark, d)[0]).alias("key"), F.col("c_custkey").alias("pos"))
     return bitmaps.getbit(_bits(spark, d), probes)
@@ -179,17 +180,14 @@ def vector_int8(spark, d):
     return q.select("ext_id", F.aggregate("q8", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@query("vector_info", "SELECT max(len(embedding)) AS dim, count(*) AS count, count(*) AS live FROM embeddings".replace("max(len(embedding))", "CAST(max(len(embedding)) AS INTEGER)"))
+@query("vector_info", "SELECT CAST(max(len(embedding)) AS INTEGER) AS dim, count(*) AS count, count(*) AS live FROM embeddings")
 def vector_info(spark, d):
     return vectors.vinfo(_vectors(spark, d))
 
 
-@query("vector_fusion", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS pos FROM documents), u AS (SELECT * FROM a WHERE pos < 100 UNION ALL SELECT * FROM b WHERE pos < 100) SELECT doc_id, round(sum(1.0::DOUBLE / (pos + 60)), 9) AS score FROM u GROUP BY 1")
+@query("vector_fusion", "WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS pos FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos FROM documents), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT doc_id, round(sum(1.0::DOUBLE / (pos + 60)), 9) AS score FROM u GROUP BY 1")
 def vector_fusion(spark, d):
-    docs = read(spark, d, "documents")
-
-    def first(*order):
-        rows = docs.orderBy(*order, "doc_id").limit(100).select("doc_id").coalesce(1)
-        return rows.select("doc_id", F.monotonically_increasing_id().alias("pos"))
-
-    return vectors.rank_fusion(first(F.col("n_chars").desc()), first("source")).withColumn("score", F.round("score", 9))
+    docs = read(spark, d, "documents").select("doc_id", "n_chars", (-F.col("doc_id")).alias("_late"), F.lit(0).alias("key"))
+    longest = numbered(docs.withColumn("_short", -F.col("n_chars")), ["key"], "_short", ["doc_id"], out="pos")
+    latest = numbered(docs, ["key"], "_late", out="pos")
+    return vectors.rank_fusion(longest, latest).withColumn("score", F.round("score", 9))

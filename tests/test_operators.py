@@ -232,6 +232,33 @@ def test_backpressure(spark, strategy):
     assert got == want
 
 
+@pytest.mark.parametrize("strategy", ["BLOCK", "DROP", "EVICT_OLD"])
+def test_backpressure_over_stretches(spark, monkeypatch, strategy):
+    """Two streams, one of them null, in stretches of seven rows, with repeated places in the log and a null count."""
+    monkeypatch.setattr(streams, "_STRETCH", 7)
+    rnd = random.Random(5)
+    ops = [(s, i // 2, rnd.choice(["ack", "add", "add"]), rnd.choice([None, 0, 1, 4, 50])) for s in (None, "s") for i in range(300)]
+    log = spark.createDataFrame(ops, "stream string, ord long, op string, n long")
+    got = [(r.stream, r.ord, r.result, r.pending) for r in streams.backpressure(log.repartition(5), strategy, 6).collect()]
+    want = []
+    for s in (None, "s"):
+        pending = 0
+        for _, i, op, n in sorted(((s, i, op, n or 0) for t, i, op, n in ops if t == s), key=lambda x: x[1:]):
+            r = 0
+            if op == "ack":
+                pending = max(0, pending - n)
+            elif pending < 6:
+                pending += 1
+            elif strategy != "EVICT_OLD":
+                r = {"DROP": 1, "BLOCK": -1}[strategy]
+            want.append((s, i, r, pending))
+    key = lambda x: (x[0] or "", *x[1:])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert streams.backpressure(log.limit(0), strategy, 6).count() == 0
+    full = [(r.result, r.pending) for r in streams.backpressure(log.where("op = 'add'"), strategy, 0).collect()]
+    assert set(full) == {(0 if strategy == "EVICT_OLD" else {"DROP": 1, "BLOCK": -1}[strategy], 0)}
+
+
 def test_geo(spark):
     p = spark.createDataFrame([("Sicily", "Palermo", 13.361389, 38.115556), ("Sicily", "Catania", 15.087269, 37.502669), ("ny", "lic market", -73.9454966, 40.747533)], "key string, member string, lon double, lat double").cache()
     d = geo.geodist(geo.stored(p), spark.createDataFrame([("Sicily", "Palermo", "Catania"), ("Sicily", "Palermo", "none")], "key string, member1 string, member2 string"), "km").collect()
