@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import expire_applies, glob, key_slot, lit, live, ttl_code
+from keyloom.functions.ranks import beside
 
 
 def keys(space: DataFrame, pattern: str, now_ms=None) -> DataFrame:
@@ -119,7 +120,7 @@ def sort(elements: DataFrame, by: DataFrame | None = None, gets: dict[str, DataF
 
 def access_order(access: DataFrame) -> DataFrame:
     """P(next | key) over consecutive accesses of one client: rows (client, ts, key) to (key, next_key, n, p)."""
-    following = access.withColumn("next_key", F.lead("key").over(Window.partitionBy("client").orderBy("ts", "key"))).where("next_key is not null")
+    following = beside(access, ["client"], "ts", "key", "next_key", then=["key"], desc=True).where("next_key is not null")
     pairs = following.groupBy("key", "next_key").agg(F.count(F.lit(1)).alias("n"))
     total = pairs.groupBy("key").agg(F.sum("n").alias("_t"))
     return pairs.join(total, "key").select("key", "next_key", "n", (F.col("n") / F.col("_t")).alias("p"))

@@ -57,9 +57,12 @@ def lpush(lst: DataFrame, new: DataFrame, tail: bool = False, only_existing: boo
 
 def linsert(lst: DataFrame, pivot: str, value: str, before: bool = True) -> DataFrame:
     """``value`` next to the first ``pivot`` of each list that has it, halfway to its neighbour."""
-    rows = lst.withColumn("_near", F.coalesce((F.lag("pos") if before else F.lead("pos")).over(_at()).cast("double"), F.col("pos") + (F.lit(-1.0) if before else F.lit(1.0))))
-    first = rows.where(F.col("val") == pivot).groupBy("key").agg(F.min_by(F.struct("pos", "_near"), "pos").alias("p"))
-    new = first.select("key", ((F.col("p.pos") + F.col("p._near")) / 2).alias("pos"), F.lit(value).alias("val"))
+    first = lst.where(F.col("val") == pivot).groupBy("key").agg(F.min("pos").cast("double").alias("_at"))
+    beyond = F.col("pos") < F.col("_at") if before else F.col("pos") > F.col("_at")
+    same = F.col("l.key").eqNullSafe(F.col("f.key"))
+    near = lst.select("key", "pos").alias("l").join(first.alias("f"), same).where(beyond).groupBy("l.key").agg((F.max if before else F.min)("pos").cast("double").alias("_near"))
+    at = F.coalesce(F.col("l._near"), F.col("f._at") + (-1.0 if before else 1.0))
+    new = first.alias("f").join(near.alias("l"), same, "left").select("f.key", ((F.col("f._at") + at) / 2).alias("pos"), F.lit(value).alias("val"))
     return lst.select("key", F.col("pos").cast("double").alias("pos"), "val").unionByName(new)
 
 

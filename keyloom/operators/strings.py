@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.exprs import clamp_range
+from keyloom.functions.ranks import beside
 
 
 def set_(kv: DataFrame, new: DataFrame, nx: bool = False, xx: bool = False, if_equal: str | None = None) -> DataFrame:
@@ -74,7 +75,7 @@ def incrbyfloat(deltas: DataFrame) -> DataFrame:
 
 def getset(log: DataFrame) -> DataFrame:
     """Each write of a log with the value it replaced."""
-    return log.withColumn("old", F.lag("val").over(Window.partitionBy("key").orderBy("version")))
+    return beside(log, ["key"], "version", "val", "old")
 
 
 def lcs_table(a: str, b: str) -> tuple[str, list[tuple[int, int, int, int, int]]]:

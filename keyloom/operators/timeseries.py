@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.functions.ranks import beside, running
+
 
 def ts_range(samples: DataFrame, start: int, end: int, limit: int | None = None) -> DataFrame:
     rows = samples.where(F.col("ts").between(start, end))
@@ -47,16 +49,11 @@ def ts_buckets(samples: DataFrame, width_ms: int) -> DataFrame:
 
 def delta_encode(samples: DataFrame, resolution: float = 0.001) -> DataFrame:
     """Differences of rounded values as zigzag whole numbers."""
-    from pyspark.sql import Window
-
-    q = F.round(F.col("value") / resolution).cast("long")
-    d = q - F.coalesce(F.lag(q).over(Window.partitionBy("series").orderBy("ts")), F.lit(0))
-    return samples.withColumn("delta", F.when(d >= 0, d * 2).otherwise(-d * 2 - 1))
+    rows = beside(samples.withColumn("_q", F.round(F.col("value") / resolution).cast("long")), ["series"], "ts", "_q", "_prior")
+    d = F.col("_q") - F.coalesce("_prior", F.lit(0))
+    return rows.withColumn("delta", F.when(d >= 0, d * 2).otherwise(-d * 2 - 1)).drop("_q", "_prior")
 
 
 def delta_decode(encoded: DataFrame, resolution: float = 0.001) -> DataFrame:
-    from pyspark.sql import Window
-
     d = F.when(F.col("delta") % 2 == 0, F.floor(F.col("delta") / 2)).otherwise(-F.floor((F.col("delta") + 1) / 2))
-    w = Window.partitionBy("series").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return encoded.withColumn("value", F.sum(d).over(w) * resolution)
+    return running(encoded, ["series"], "ts", d, "_sum").withColumn("value", F.col("_sum") * resolution).drop("_sum")

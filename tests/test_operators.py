@@ -517,3 +517,25 @@ def test_numbers_within_keys(spark, desc):
         assert [(r.x, r.m) for r in mine] == want and [r.idx for r in mine] == [*range(len(want))] and {r.n for r in mine} == {len(want)}
     one = spark.createDataFrame([("a", 5.0, 1)], "key string, x double, m long")
     assert numbered(one, ["key"], "x").first().idx == 0 and numbered(one.limit(0), ["key"], "x").count() == 0
+
+
+@pytest.mark.parametrize("desc", [False, True])
+def test_neighbours_and_sums_over_buckets(spark, desc):
+    """A hot key, a null key, nulls, ties, infinities and what is not a number as places, and null values."""
+    from pyspark.sql import Window
+
+    from keyloom.functions.ranks import beside, running
+
+    rnd = random.Random(3)
+    places = [None, float("inf"), float("-inf"), float("nan"), 1e300, *[rnd.random() * 10 for _ in range(40)]]
+    rows = [(rnd.choice(["hot", "hot", "hot", None, "few"]), rnd.choice(places), i, rnd.choice([None, i])) for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, x double, m long, v long").repartition(5)
+    w = Window.partitionBy("key").orderBy(*([F.col("x").desc(), F.col("m").desc()] if desc else ["x", "m"]))
+    want = vals(df.withColumn("o", F.lag("v").over(w)).select("m", F.coalesce("o", F.lit(-1)).alias("o")), "m", "o")
+    got = beside(df, ["key"], "x", "v", "o", ["m"], desc)
+    assert got.columns == ["key", "x", "m", "v", "o"] and vals(got.select("m", F.coalesce("o", F.lit(-1)).alias("o")), "m", "o") == want
+    sums = running(df, ["key"], "x", F.col("v") * 2, "o", ["m"])
+    upto = Window.partitionBy("key").orderBy("x", "m").rowsBetween(Window.unboundedPreceding, 0)
+    want = vals(df.select("m", F.coalesce(F.sum(F.col("v") * 2).over(upto), F.lit(-1)).alias("o")), "m", "o")
+    assert vals(sums.select("m", F.coalesce("o", F.lit(-1)).alias("o")), "m", "o") == want
+    assert beside(df.limit(0), ["key"], "x", "v", "o").count() == 0 and running(df.limit(0), ["key"], "x", F.col("v"), "o").count() == 0
