@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="keyloom-")
         atexit.register(shutil.rmtree, named, True)
     elif not named:
-        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
