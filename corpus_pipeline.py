@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import row_key, table, written
+from keyloom.llm.common import release, row_key, table, written
 from keyloom.llm.exact_dedup import drop_exact_duplicates
 from keyloom.llm.minhash import near_duplicates
 from keyloom.llm.packing import pack
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(before)  # what the stage before wrote; nothing reads it any more
     return STAGES[-1][1](spark, docs, sf_dir)
