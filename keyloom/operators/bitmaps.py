@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.functions.ranks import numbered
+
 
 def setbit(bits: DataFrame, new: DataFrame) -> DataFrame:
     """Bits after writes (key, pos, bit), one per position."""
@@ -28,10 +30,8 @@ def bitpos(bits: DataFrame, bit: int = 1, length_bits: int | None = None) -> Dat
     """The first set or clear position of each key. Beyond a full value the next clear bit is at its end."""
     if bit:
         return bits.groupBy("key").agg(F.min("pos").alias("pos"))
-    from pyspark.sql import Window
-
     # Set bits from 0 without a gap: position equals rank.
-    run = bits.select("key", "pos").distinct().withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("pos")) - 1)
+    run = numbered(bits.select("key", "pos").distinct(), ["key"], "pos", out="_r")
     first = run.groupBy("key").agg(F.coalesce(F.count_if(F.col("pos") == F.col("_r")), F.lit(0)).alias("pos"))
     return first if length_bits is None else first.withColumn("pos", F.when(F.col("pos") >= length_bits, F.lit(-1)).otherwise(F.col("pos")))
 

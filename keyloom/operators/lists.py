@@ -42,15 +42,14 @@ def ltrim(lst: DataFrame, start: int, stop: int) -> DataFrame:
 
 def lpop(lst: DataFrame, count: int = 1, tail: bool = False) -> tuple[DataFrame, DataFrame]:
     """(popped, kept)."""
-    ranked = lst.withColumn("_i", F.row_number().over(_at(tail)))
-    return ranked.where(F.col("_i") <= count).drop("_i"), ranked.where(F.col("_i") > count).drop("_i")
+    ranked = numbered(lst, ["key"], "pos", desc=tail, out="_i")
+    return ranked.where(F.col("_i") < count).drop("_i"), ranked.where(F.col("_i") >= count).drop("_i")
 
 
 def lpush(lst: DataFrame, new: DataFrame, tail: bool = False, only_existing: bool = False) -> DataFrame:
     """``new`` (key, ord, val) pushed one after another in the order of ``ord``, at the head or the tail."""
     ends = lst.groupBy("key").agg((F.max("pos") if tail else F.min("pos")).cast("double").alias("_e"))
-    step = F.row_number().over(Window.partitionBy("key").orderBy("ord"))
-    more = new.withColumn("_i", step).join(ends, "key", "inner" if only_existing else "left")
+    more = numbered(new, ["key"], "ord", out="_i").withColumn("_i", F.col("_i") + 1).join(ends, "key", "inner" if only_existing else "left")
     pos = F.coalesce("_e", F.lit(0.0)) + (F.col("_i") if tail else -F.col("_i"))
     return lst.select("key", F.col("pos").cast("double").alias("pos"), "val").unionByName(more.select("key", pos.alias("pos"), "val"))
 
@@ -77,18 +76,19 @@ def lrem(lst: DataFrame, count: int, value: str) -> DataFrame:
     """Without the first ``count`` equal elements, the last ones if it is negative, all if it is 0."""
     if count == 0:
         return lst.where(F.col("val") != value)
-    w = Window.partitionBy("key", "val").orderBy(F.col("pos").desc() if count < 0 else F.col("pos"))
-    return lst.withColumn("_m", F.row_number().over(w)).where((F.col("val") != value) | (F.col("_m") > abs(count))).drop("_m")
+    matches = numbered(lst.where(F.col("val") == value), ["key"], "pos", desc=count < 0, out="_m")
+    return lst.where(F.col("val") != value).unionByName(matches.where(F.col("_m") >= abs(count)).drop("_m"))
 
 
 def lpos(lst: DataFrame, value: str, rank: int = 1, count: int | None = 1, maxlen: int = 0) -> DataFrame:
     """(key, idx) of matches from the ``rank``-th on (from the tail if negative), at most ``count``, all for 0."""
     rev = rank < 0
-    rows = indexed(lst).withColumn("_scan", F.row_number().over(_at(rev)))
-    rows = rows.where(F.col("_scan") <= maxlen) if maxlen else rows
-    hits = rows.where(F.col("val") == value).withColumn("_m", F.row_number().over(Window.partitionBy("key").orderBy("_scan")))
-    hits = hits.where(F.col("_m") >= abs(rank))
-    hits = hits.where(F.col("_m") < abs(rank) + count) if count else hits
+    rows = indexed(lst)
+    if maxlen:
+        rows = rows.where((F.col("len") - F.col("idx") if rev else F.col("idx") + 1) <= maxlen)
+    hits = numbered(rows.where(F.col("val") == value), ["key"], "idx", desc=rev, out="_m")
+    hits = hits.where(F.col("_m") >= abs(rank) - 1)
+    hits = hits.where(F.col("_m") < abs(rank) - 1 + count) if count else hits
     return hits.select("key", "idx")
 
 
@@ -102,9 +102,8 @@ def lmove(lst: DataFrame, source: str, destination: str, from_tail: bool = True,
 def serve(queue: DataFrame, waiters: DataFrame) -> DataFrame:
     """Blocking pops over what is there: waiters (key, client, ord) get the elements of their list one each, first come, first
     served; those beyond its end keep a null. ``streaming.jobs.blocking_pops`` is the same on a stream."""
-    at = F.row_number().over(Window.partitionBy("key").orderBy("ord"))
-    ranked = queue.select("key", "val", F.row_number().over(_at()).alias("_i"))
-    return waiters.withColumn("_i", at).join(ranked, ["key", "_i"], "left").drop("_i")
+    ranked = numbered(queue.select("key", "pos", "val"), ["key"], "pos", out="_i").drop("pos")
+    return numbered(waiters, ["key"], "ord", out="_i").join(ranked, ["key", "_i"], "left").drop("_i")
 
 
 def lmpop(lst: DataFrame, keys: list[str], count: int = 1, tail: bool = False) -> DataFrame:
