@@ -133,13 +133,23 @@ def cells_fit(vectors: DataFrame, cells: int = 64, sample: int = 20_000, seed: i
 
 
 def _cells(embedding, centres, n: int):
-    """The ``n`` nearest cells of a vector, nearest first, as a native expression over the centres."""
-    sims = F.array(*[F.struct((-_dot(embedding, c)).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres.tolist())])
-    return F.transform(F.slice(F.array_sort(sims), 1, n), lambda s: s["cell"])
-
-
-def _dot(v, c: list[float]):
-    return F.aggregate(F.zip_with(v, F.array(*map(F.lit, c)), lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, p: s + p)
+    """The ``n`` nearest cells of a vector, nearest first; null for null and for another dimension. All products of a batch are one
+    of matrices, which lambdas over as many literals as the centres have numbers are not."""
+
+    @F.pandas_udf("array<int>")
+    def near(vectors):
+        import numpy as np
+        import pandas as pd
+
+        out: list = [None] * len(vectors)
+        fit = [(i, x) for i, x in enumerate(vectors) if x is not None and len(x) == centres.shape[1]]
+        if fit:
+            sims = np.stack([np.asarray(x, dtype=float) for _, x in fit]) @ centres.T
+            for (i, _), cells in zip(fit, np.argsort(-sims, axis=1, kind="stable")[:, :n].tolist(), strict=True):
+                out[i] = cells
+        return pd.Series(out, dtype=object)
+
+    return near(embedding)
 
 
 def vsearch_cells(vectors: DataFrame, queries: DataFrame, centres, k: int, probes: int = 32) -> DataFrame:
