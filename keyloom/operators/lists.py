@@ -94,9 +94,13 @@ def lpos(lst: DataFrame, value: str, rank: int = 1, count: int | None = 1, maxle
 
 def lmove(lst: DataFrame, source: str, destination: str, from_tail: bool = True, to_tail: bool = False) -> DataFrame:
     """One element of the source list put on the destination; the two may be the same list."""
-    moved, kept = lpop(lst.where(F.col("key") == source), 1, from_tail)
-    rest = lst.where(F.col("key") != source).unionByName(kept)
-    return lpush(rest, moved.select(F.lit(destination).alias("key"), F.lit(1).alias("ord"), "val"), tail=to_tail)
+    end = lst.where(F.col("key") == source).agg((F.max if from_tail else F.min)("pos").alias("_p"))  # one row
+    marked = lst.join(F.broadcast(end))
+    taken = F.coalesce((F.col("key") == source) & (F.col("pos") == F.col("_p")), F.lit(False))
+    kept = marked.where(~taken).select("key", F.col("pos").cast("double").alias("pos"), "val")
+    beyond = kept.where(F.col("key") == destination).agg((F.max if to_tail else F.min)("pos").alias("_e"))  # one row
+    pos = F.coalesce("_e", F.lit(0.0)) + (1.0 if to_tail else -1.0)
+    return kept.unionByName(marked.where(taken).join(F.broadcast(beyond)).select(F.lit(destination).alias("key"), pos.alias("pos"), "val"))
 
 
 def serve(queue: DataFrame, waiters: DataFrame) -> DataFrame:
