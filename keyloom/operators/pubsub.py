@@ -37,7 +37,7 @@ def deliver_all(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     to_regex = F.udf(glob_regex, "string")  # of each distinct pattern, once
     patterns = subscriptions.where("kind = 'pattern'").select("client", F.col("pattern").alias("via"))
     each = patterns.select("via").distinct().select("via", F.regexp_extract("via", r"^[^*?\[\\]*", 0).alias("_head"), to_regex("via").alias("_re")).withColumn("_len", F.length("_head"))
-    lengths = sorted(r[0] for r in each.select("_len").distinct().limit(256).collect())  # a number for each length of head
+    lengths = sorted(r[0] for r in each.select("_len").distinct().collect())  # a number for each length of head
     if not lengths:
         return out
     heads = F.explode(F.array(*[F.struct(F.lit(n).alias("_len"), F.substring("channel", 1, n).alias("_head")) for n in lengths])).alias("_h")
@@ -46,6 +46,14 @@ def deliver_all(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     return out.unionByName(hits.select(*out.columns))
 
 
+def deliver_counts(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """(client, channel, via, n): how many messages each subscription gets, by ``deliver_all`` of one row per channel, which carries
+    its number of messages. So no message meets its subscribers one by one, and rows grow with channels and subscriptions only."""
+    keys = ["channel", *(["sharded"] if "sharded" in messages.columns else [])]
+    counted = messages.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return deliver_all(counted, subscriptions).groupBy("client", "channel", "via").agg(F.sum("_n").alias("n"))
+
+
 def unsubscribe(subscriptions: DataFrame, gone: DataFrame) -> DataFrame:
     """Subscriptions without those named by ``gone`` (client, kind, pattern); a null pattern stands for all of that kind."""
     named = subscriptions.join(gone.where("pattern is not null"), ["client", "kind", "pattern"], "left_anti")

@@ -547,7 +547,7 @@ def _subs(spark, d):
 @query("pubsub_deliver_all", f"WITH {SUBS} SELECT client, source AS channel, pattern AS via, count(*) AS n FROM documents JOIN subs ON kind = 'channel' AND source = pattern OR kind = 'pattern' AND regexp_full_match(source, replace(replace(pattern, '*', '.*'), '?', '.')) GROUP BY 1, 2, 3")
 def pubsub_deliver_all(spark, d):
     messages = read(spark, d, "documents").select(F.col("source").alias("channel"), "doc_id")
-    return pubsub.deliver_all(messages, _subs(spark, d)).groupBy("client", "channel", "via").agg(F.count(F.lit(1)).alias("n"))
+    return pubsub.deliver_counts(messages, _subs(spark, d))
 
 
 @query("pubsub_channels", f"WITH {SUBS} SELECT DISTINCT pattern AS channel FROM subs WHERE kind = 'channel' AND pattern LIKE 'src1%'")
