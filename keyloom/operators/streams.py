@@ -78,6 +78,13 @@ def xtrim(stream: DataFrame, maxlen: int | None = None, minid: str | None = None
     return stream.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= maxlen).drop("_r")
 
 
+def xtrim_split(stream: DataFrame, maxlen: int) -> tuple[DataFrame, DataFrame]:
+    """(left, gone): the newest ``maxlen`` entries of each stream, and those that trimming to it takes away. For any ``maxlen``: places
+    are counted by buckets, not by one task for a stream."""
+    placed = numbered(stream, ["key"], "ms", ["seq"], desc=True, out="_r")
+    return placed.where(F.col("_r") < maxlen).drop("_r"), placed.where(F.col("_r") >= maxlen).drop("_r")
+
+
 def xinfo_stream(stream: DataFrame) -> DataFrame:
     ids = F.struct("ms", "seq")
     g = stream.groupBy("key").agg(F.count(F.lit(1)).alias("length"), F.min(ids).alias("f"), F.max(ids).alias("l"))

@@ -1,8 +1,9 @@
 """Cases that show in small how a query grows."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import pubsub
+from keyloom.operators import pubsub, streams
 from keyloom.plans import registry
 
 
@@ -46,3 +47,21 @@ def test_deliver_counts_keeps_repeated_subscriptions_and_shards(spark):
     messages = spark.createDataFrame([("c", False), ("c", False), ("c", True), (None, False)], "channel string, sharded boolean")
     got = {(r.client, r.via): r.n for r in pubsub.deliver_counts(messages, subs).collect()}
     assert got == {("a", "c"): 4, ("b", "c"): 1, ("b", "?"): 2}
+
+
+def test_setid_of_a_stream_longer_than_its_counter(spark, tmp_path):
+    n = 1_000_100
+    rows = spark.range(n + 3).select(F.when(F.col("id") < n, "a").otherwise("b").alias("event_type"), F.timestamp_millis(F.col("id") % 50_000).alias("ts"), F.col("id").alias("event_id"), F.lit(1).alias("user_id"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["stream_setid"](spark, str(tmp_path)).collect()
+    assert {r.key: (r.last_ms, r.entries_added) for r in got} == {"a": (9_000_000_000_000, 1_000_000), "b": ((n + 2) % 50_000, 3)}
+
+
+def test_setid_still_refuses_a_counter_below_the_length(spark):
+    s = spark.createDataFrame([("a", i, 0) for i in range(5)], "key string, ms long, seq long")
+    left, gone = streams.xtrim_split(s, 3)
+    assert sorted(r.ms for r in left.collect()) == [2, 3, 4] and sorted(r.ms for r in gone.collect()) == [0, 1]
+    r = streams.xsetid(streams.xstate(left, trimmed=gone), "a", "9-0", 3).first()
+    assert (r.length, r.last_ms, r.entries_added) == (3, 9, 3)
+    with pytest.raises(Exception, match="smaller than what the stream has"):
+        streams.xsetid(streams.xstate(s), "a", "9-0", 3).collect()
