@@ -1,9 +1,14 @@
 """Cases that show in small how a query grows."""
 
+import math
+import random
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from keyloom.operators import pubsub, streams
+from keyloom.operators import pubsub, streams, vectors
 from keyloom.plans import registry
 
 
@@ -65,3 +70,25 @@ def test_setid_still_refuses_a_counter_below_the_length(spark):
     assert (r.length, r.last_ms, r.entries_added) == (3, 9, 3)
     with pytest.raises(Exception, match="smaller than what the stream has"):
         streams.xsetid(streams.xstate(s), "a", "9-0", 3).collect()
+
+
+def test_cell_search_makes_no_row_of_a_pair(spark):
+    df = registry.queries()["vector_cells"](spark, "/root/testdata/sf0.001")
+    assert df.count() == 5 * 10 and rows_of_joins(df) == 0 and "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cell_search_is_exact_within_what_it_probes(spark):
+    rng = random.Random(5)
+    data = {i: [rng.gauss(0, 1) for _ in range(6)] for i in range(400)}
+    v = spark.createDataFrame(list(data.items()), "ext_id long, embedding array<double>").repartition(3)
+    q = v.where("ext_id % 40 = 0").select(F.col("ext_id").alias("query_id"), F.col("embedding").alias("q"))
+    centres = vectors.cells_fit(v, cells=8)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    near = lambda x, n: sorted(range(8), key=lambda c: -dot(x, centres[c]))[:n]
+    expected = set()
+    for i in range(0, 400, 40):
+        ask = [j for j in data if near(data[j], 1)[0] in near(data[i], 3)]
+        ask.sort(key=lambda j: (1 - dot(data[i], data[j]) / math.sqrt(dot(data[i], data[i]) * dot(data[j], data[j])), j))
+        expected |= {(i, j, r + 1) for r, j in enumerate(ask[:4])}
+    for block in (16, 16 << 20):
+        assert {tuple(r) for r in vectors.vsearch_cells(v, q, centres, 4, 3, block).select("query_id", "ext_id", "rank").collect()} == expected
