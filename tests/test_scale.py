@@ -92,3 +92,49 @@ def test_cell_search_is_exact_within_what_it_probes(spark):
         expected |= {(i, j, r + 1) for r, j in enumerate(ask[:4])}
     for block in (16, 16 << 20):
         assert {tuple(r) for r in vectors.vsearch_cells(v, q, centres, 4, 3, block).select("query_id", "ext_id", "rank").collect()} == expected
+
+
+def peak_of_a_batch(spark, monkeypatch, metric):
+    """MB that a task of a batch search allocates at most for 10,000 vectors and 2,000 queries."""
+    v = spark.range(1).select(F.col("id").alias("ext_id"), F.array([F.rand(i) for i in range(8)]).alias("embedding"))
+    q = spark.range(2_000).select(F.col("id").alias("query_id"), F.array([F.rand(i + 8) for i in range(8)]).alias("q"))
+    tasks, real = [], type(v).mapInArrow
+    monkeypatch.setattr(type(v), "mapInArrow", lambda self, f, *a, **b: tasks.append(f) or real(self, f, *a, **b))
+    vectors.vsearch_batch(v, q, 5, metric)
+    rng = random.Random(1)
+    flat = pa.array([rng.gauss(0, 1) for _ in range(80_000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000), pa.int64()), pa.ListArray.from_arrays(pa.array(range(0, 80_001, 8), pa.int32()), flat)], ["ext_id", "embedding"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in tasks[0](iter([batch]))) == 10_000
+        return tracemalloc.get_traced_memory()[1] >> 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_batch_search_holds_no_distances_of_a_whole_batch(spark, monkeypatch):
+    assert peak_of_a_batch(spark, monkeypatch, "COSINE") < 60
+
+
+@pytest.mark.parametrize("metric", ["COSINE", "L2", "IP"])
+def test_batch_search_of_odd_vectors_and_ids(spark, metric):
+    rng = random.Random(3)
+    data = [[float(rng.randint(-1, 1)) for _ in range(3)] for _ in range(3_000)]  # 27 kinds, zero among them
+    rows = [(None if i == 7 else f"n{i:04}", x) for i, x in enumerate(data)] + [("zz", [math.nan, 0.0, 1.0]), ("zy", [math.inf, 0.0, 1.0])]
+    v = spark.createDataFrame(rows, "ext_id string, embedding array<double>").repartition(3)
+    asked = [data[0], [0.0, 0.0, 0.0], [0.3, -0.2, 0.9], data[7]]
+    q = spark.createDataFrame(list(enumerate(asked)), "query_id long, q array<double>")
+
+    def far(a, b):
+        inner, both = sum(x * y for x, y in zip(a, b, strict=True)), math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        if metric == "COSINE":
+            return 1.0 if both < 1e-12 else 1 - max(-1, min(1, inner / both))
+        return sum((x - y) ** 2 for x, y in zip(a, b, strict=True)) if metric == "L2" else 1 - inner
+
+    expected = set()
+    for i, x in enumerate(asked):
+        order = sorted((far(y, x), n is not None, n) for n, y in rows if all(map(math.isfinite, y)))
+        if not (metric == "IP" and (x[0] > 0 or x[0] < 0)):  # an infinite number would be nearest of all
+            expected |= {(i, n, r + 1) for r, (_, _, n) in enumerate(order[:6])}
+    got = {tuple(r) for r in vectors.vsearch_batch(v, q, 6, metric).select("query_id", "ext_id", "rank").collect()}
+    assert len(got) == 24 and expected <= got
