@@ -138,3 +138,18 @@ def test_batch_search_of_odd_vectors_and_ids(spark, metric):
             expected |= {(i, n, r + 1) for r, (_, _, n) in enumerate(order[:6])}
     got = {tuple(r) for r in vectors.vsearch_batch(v, q, 6, metric).select("query_id", "ext_id", "rank").collect()}
     assert len(got) == 24 and expected <= got
+
+
+def test_batch_search_by_l2_holds_no_distances_of_a_whole_batch(spark, monkeypatch):
+    assert peak_of_a_batch(spark, monkeypatch, "L2") < 60
+
+
+def test_batch_search_by_l2_tells_copies_and_deleted_apart_by_id(spark):
+    """Copies far from zero are at distance 0 exactly, wherever they stand in a product."""
+    rng = random.Random(9)
+    kinds = [[1e4 + rng.random() for _ in range(7)] for _ in range(40)]
+    v = spark.createDataFrame([(i, kinds[i * 7 % 40], False) for i in range(2_000)], "ext_id long, embedding array<double>, deleted boolean").repartition(3)
+    q = v.where("ext_id < 40").select(F.col("ext_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = vectors.vsearch_batch(vectors.vdel(v, [0, 40, 41]), q, 4, "L2").collect()
+    expected = {(j, i, r + 1) for j in range(40) for r, i in enumerate([i for i in range(j, 400, 40) if i not in (0, 40, 41)][:4])}
+    assert {(r.query_id, r.ext_id, r["rank"]) for r in got} == expected and {r.distance for r in got} == {0.0}
